@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, mixing, simhash, toxicity
+from . import ann, bpe, exact_dedup, html_text, line_dedup, lm_score, mixing, simhash, substring_dedup, toxicity
 
 #: Target weights of the sources; the others share what is left alike, each with weight 1.
 WEIGHTS = {"src0": 2.0, "src1": 3.0, "src2": 0.5}
@@ -40,6 +40,24 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), ["doc_id"])
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document that goes, with the one that stays for it."""
+    return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of every passage that repeats."""
+    return substring_dedup.occurrences(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxic documents (P(severity > 0) of a half at least) with their expected severity."""
     docs = table(spark, sf_dir, "documents")
@@ -51,15 +69,25 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), WEIGHTS, share=SHARE).select("doc_id", "source", "tokens", "finish", "taken_tokens")
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of each vector."""
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document that goes, with the one that stays for it."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "kept_doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op7_toxicity, op8_mixing, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_exact_dedup, op4_lm_scoring, op5_html_extraction, op6_substring_dedup, op7_toxicity, op8_mixing, op9_ann, op10_simhash)}
 
 _CASE = " ".join(f"WHEN '{s}' THEN CAST({w!r} AS DOUBLE)" for s, w in sorted(WEIGHTS.items()))
 ORACLES: dict[str, str] = {
+    "op3_exact_dedup": """
+SELECT doc_id, kept_doc_id FROM (
+  SELECT doc_id, first_value(doc_id) OVER w AS kept_doc_id, row_number() OVER w AS nth
+  FROM documents WHERE text IS NOT NULL WINDOW w AS (PARTITION BY text ORDER BY doc_id)) WHERE nth > 1
+""",
     "op8_mixing": f"""
 WITH words AS (
   SELECT doc_id, source, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'), ' ') AS squeezed, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),

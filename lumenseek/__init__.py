@@ -1,0 +1 @@
+"""Code-search analytics on Spark: a search language, a content-addressed index, and its upkeep."""

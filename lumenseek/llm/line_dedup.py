@@ -116,27 +116,59 @@ def buckets(table: pa.Table) -> pa.Table:
     return pa.table({"bucket": t[many, 0], "a": first[many], "b": t[many, 1]})
 
 
+def _shared_bounds(texts: pa.Array, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each pair of rows of texts may reach THRESHOLD, by 32-bit hashes of shingles (a collision only adds)."""
+    data, offsets = text_buffers(texts)
+    lo, hi = int(offsets[0]), int(offsets[-1])
+    h, rows = shingles(padded(data, lo, hi), offsets - lo)
+    keys = np.unique((np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(rows)) << S32) | h)
+    edges = np.searchsorted(keys, np.arange(len(texts) + 1, dtype=np.uint64) << S32)
+    size = np.diff(edges)
+    x, y = size[a], size[b]
+    ok = np.minimum(x, y) >= THRESHOLD * np.maximum(x, y)
+    maybe = np.flatnonzero(ok & (x > 0) & (y > 0))
+    per = max(1, int(2_000_000 / max(1, size.mean() if len(size) else 1)))
+    for k in range(0, len(maybe), per):
+        own = maybe[k : k + per]
+        nth = np.arange(len(own), dtype=np.uint64) << S32
+        both = []
+        for side in (a[own], b[own]):
+            n = size[side]
+            at = np.arange(n.sum()) + np.repeat(edges[:-1][side] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+            both.append((keys[at] & np.uint64(0xFFFFFFFF)) | np.repeat(nth, n))
+        merged = np.sort(np.concatenate(both))
+        same = merged[1:][merged[1:] == merged[:-1]] >> S32
+        shared = np.bincount(same.astype(np.int64), minlength=len(own))
+        # a little less than THRESHOLD, for collisions inside a set
+        ok[own] = shared + 1 >= THRESHOLD * (x[own] + y[own] - shared - 1)
+    return ok
+
+
 def jaccard_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) of pairs of lines whose shingle sets have a Jaccard similarity of THRESHOLD at least."""
-    sets: dict[int, frozenset] = {}
-
-    def of(k: int, line: str) -> frozenset:
-        if (s := sets.get(k)) is None:
-            if len(sets) > 200:
-                sets.clear()
-            s = sets[k] = frozenset([line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)] or [line])
-        return s
-
-    for batch in batches:
-        a, b, la, lb = (c.to_pylist() for c in batch.columns)
-        ok = []
-        for i in range(len(a)):
-            x, y = of(a[i], la[i]), of(b[i], lb[i])
-            if min(len(x), len(y)) >= THRESHOLD * max(len(x), len(y)):
+    """(a, b) of pairs of lines whose shingle sets have a Jaccard similarity of THRESHOLD at least: pairs that hashes of
+    shingles leave are compared by the shingles themselves."""
+
+    def of(line: str) -> set[str]:
+        return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)} or {line}
+
+    for whole in batches:
+        lengths = np.diff(text_buffers(whole.column(2))[1]) + np.diff(text_buffers(whole.column(3))[1])
+        for i, j in blocks(np.concatenate([[0], np.cumsum(lengths)]), 4 << 20):
+            batch = whole.slice(i, j - i)
+            texts = pa.concat_arrays([batch.column(2), batch.column(3)])
+            ids, first, at = np.unique(np.concatenate([np.asarray(batch.column(0)), np.asarray(batch.column(1))]), return_index=True, return_inverse=True)
+            n = j - i
+            own = texts.take(pa.array(first))
+            left = np.flatnonzero(_shared_bounds(own, at[:n], at[n:]))
+            strings = own.to_pylist()
+            ok = []
+            for k in left:
+                x, y = of(strings[at[k]]), of(strings[at[n + k]])
                 both = len(x & y)
                 if both >= THRESHOLD * (len(x) + len(y) - both):
-                    ok.append(i)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok, pa.int64())), batch.column(1).take(pa.array(ok, pa.int64()))], ["a", "b"])
+                    ok.append(k)
+            kept = pa.array(ok, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], ["a", "b"])
 
 
 def similar_lines(lines: DataFrame) -> DataFrame:

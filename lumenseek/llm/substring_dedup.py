@@ -3,13 +3,19 @@
 1. Winnowed anchors (hashes of ANCHOR words, the least of each WINDOW + 1 - ANCHOR in a row) of all texts are grouped;
    every passage of WINDOW words that two different texts share has an anchor that both select.
 2. Around recurring anchors all windows of WINDOW words are hashed and grouped; a window that two different texts have
-   recurs. Maximal runs of recurring windows are passages, and so is a whole text of WINDOW words that several rows have.
+   recurs. Of each maximal run of recurring windows those at its ends and a winnowed choice between, close enough to
+   overlap, are passages; so is a whole text of WINDOW words that several rows have.
 3. The first words of each passage are compiled into Aho-Corasick automata (pyahocorasick), in shards of bounded size.
 4. All documents are streamed through every shard. A hit is confirmed by comparing the whole passage's hash and its ends
    at word limits; a passage is confirmed if it occurs in two rows.
+5. Overlapping occurrences in a document become one span.
 
-Defined cases: null, empty and short texts have no passage; repeated rows are two rows with a passage each; words are
-apart by ASCII white space, and passages match byte by byte, inner white space included; other columns don't matter.
+Passages of a fixed length keep the hits in proportion to the repeated text; maximal runs as passages would nest in each
+other, by the square of a group of near copies.
+
+Defined cases: null, empty and short texts have no passage; rows with the same doc_id and text are reported as one, but
+repeat each other; words are apart by ASCII white space, and passages match byte by byte, inner white space included;
+other columns don't matter.
 """
 
 from __future__ import annotations
@@ -23,15 +29,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import C1, SPACE, blocks, hash_spans, mix, padded, partitions, sized, text_buffers, word_spans, written
+from .common import C1, SPACE, blocks, hash_spans, mix, padded, partitions, text_buffers, word_spans, written
 from .line_dedup import shards, unpack
 
 WINDOW = 50
 ANCHOR = 25
-PHRASE = 12
+PHRASE = 8
 #: Characters of phrases in one automaton; a scan task holds one automaton (up to some 60 bytes a character).
-SHARD_CHARS = 1_500_000
+SHARD_CHARS = 2_000_000
 BLANK = np.frombuffer(SPACE.tobytes(), bool)
 
 _B = 0x9E3779B97F4A7C15 | 1
@@ -96,6 +103,21 @@ def anchors(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.flatnonzero((most == h) & (h != 0))
 
 
+def chosen(places: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Of runs of consecutive window starts: both ends, and each whose hash is the least of WINDOW - 1 in a row of its run.
+    Copies choose alike, and neighbours overlap."""
+    span = WINDOW - 1
+    edge = np.diff(places, prepend=places[0] - 2) > 1
+    keep = edge | np.append(edge[1:], True)
+    if len(places) >= span:
+        own = h[places]
+        least = _slide(own, span, np.minimum)
+        least = np.where(places[span - 1 :] - places[: len(least)] == span - 1, least, np.uint64(0))
+        pad = np.zeros(span - 1, np.uint64)
+        keep |= (_slide(np.concatenate([pad, least, pad]), span, np.maximum) == own) & (own != 0)
+    return places[keep]
+
+
 def recurring(table: pa.Table) -> pa.Table:
     """(text, value) for keys that two different texts have; words are [key, text, value]."""
     t = unpack(table, 3)
@@ -110,7 +132,7 @@ def recurring(table: pa.Table) -> pa.Table:
 
 
 def passages(docs: DataFrame) -> DataFrame:
-    """(pid, phrase, n_chars, n_words) of the passages to look for; pid is the xxHash64 of the passage."""
+    """(pid, phrase, n_chars) of the passages to look for; pid is the xxHash64 of the passage."""
     n = partitions(docs.sparkSession)
     rows = docs.select("text").filter("text is not null").select(F.xxhash64("text").alias("th"), "text")
 
@@ -160,35 +182,28 @@ def passages(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            out: dict[str, list] = {"pid": [], "phrase": [], "n_chars": [], "n_words": []}
+            out: dict[str, list] = {"pid": [], "phrase": [], "n_chars": []}
             seen = set()
             for i, (th, _, places, whole_text) in enumerate(zip(*(c.to_pylist() if k != 1 else [None] * len(batch) for k, c in enumerate(batch.columns)), strict=True)):
                 if th in seen:
                     continue
                 seen.add(th)
-                _, starts, ends, _ = split(data, offsets, i, i + 1)
-                ranges = []
-                if places:
-                    p = np.sort(np.array(places))
-                    first = np.concatenate([[True], p[1:] != p[:-1] + 1])
-                    last = np.concatenate([first[1:], [True]])
-                    ranges = list(zip(p[first], p[last] + WINDOW, strict=True))
-                if whole_text and len(starts) >= WINDOW and (0, len(starts)) not in ranges:
+                words, starts, ends, _ = split(data, offsets, i, i + 1)
+                ranges = [(p, p + WINDOW) for p in chosen(np.sort(np.array(places)), window_hashes(words, WINDOW)).tolist()] if places else []
+                if whole_text and len(starts) >= WINDOW:
                     ranges.append((0, len(starts)))
                 for s, e in ranges:
                     text = data[starts[s] : ends[e - 1]].tobytes()
                     out["pid"].append(xxhash.xxh64_intdigest(text) - (1 << 63))
-                    out["phrase"].append(data[starts[s] : ends[min(s + PHRASE, e) - 1]].tobytes().decode(errors="replace"))
+                    out["phrase"].append(data[starts[s] : ends[s + PHRASE - 1]].tobytes().decode(errors="replace"))
                     out["n_chars"].append(len(text.decode(errors="replace")))
-                    out["n_words"].append(int(e - s))
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("pid", pa.int64()), ("phrase", pa.string()), ("n_chars", pa.int32()), ("n_words", pa.int32())]))
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("pid", pa.int64()), ("phrase", pa.string()), ("n_chars", pa.int32())]))
 
-    return written(join(spans).select("th", "text", "places", "whole").mapInArrow(cut, "pid long, phrase string, n_chars int, n_words int").dropDuplicates(["pid"]))
+    return written(join(spans).select("th", "text", "places", "whole").mapInArrow(cut, "pid long, phrase string, n_chars int").dropDuplicates(["pid"]))
 
 
-def occurrences(docs: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """(doc_id, passage, start, end, n_words, is_first): every occurrence of every passage of WINDOW words or more that two
-    rows have; start and end are character offsets. is_first: the passage's first row by (doc_id, row key), first start."""
+def hits(docs: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """(doc_id, rk, passage, start, end): every place of every passage; start and end are character offsets."""
     spark = docs.sparkSession
     found = passages(docs)
     chars = found.agg(F.sum(F.length("phrase"))).first()[0] or 0
@@ -197,44 +212,54 @@ def occurrences(docs: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
 
     def stream(shard: int) -> DataFrame:
         own = found.filter(F.pmod(F.xxhash64("phrase"), F.lit(n_shards)) == shard)
-        shared = spark.sparkContext.broadcast([(r.phrase, r.pid, r.n_chars, r.n_words) for r in own.toLocalIterator()])
+        shared = spark.sparkContext.broadcast([(r.phrase, r.pid, r.n_chars) for r in own.toLocalIterator()])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            of_phrase: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
-            for phrase, *rest in shared.value:
-                of_phrase[phrase].append(tuple(rest))
+            of_phrase: dict[str, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+            for phrase, pid, n_chars in shared.value:
+                of_phrase[phrase][n_chars].add(pid)
             automaton = ahocorasick.Automaton()
             for phrase, own in of_phrase.items():
-                automaton.add_word(phrase, (len(phrase), sorted(own, key=lambda x: x[1])))
+                automaton.add_word(phrase, (len(phrase), sorted(own.items())))
             if of_phrase:
                 automaton.make_automaton()
             for batch in batches:
-                out: list[list] = [[] for _ in range(6)]
+                out: list[list] = [[] for _ in range(5)]
                 if of_phrase:
                     for doc, rk, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                         for last, (length, own) in automaton.iter(text):
                             s = last + 1 - length
                             if s and text[s - 1] not in BLANKS:
                                 continue
-                            for pid, n_chars, n_words in own:
+                            for n_chars, pids in own:
                                 e = s + n_chars
                                 if e > len(text):
                                     break
-                                if (e == len(text) or text[e] in BLANKS) and xxhash.xxh64_intdigest(text[s:e].encode()) - (1 << 63) == pid:
-                                    for column, v in zip(out, (doc, rk, pid, s, e, n_words), strict=True):
+                                if (e == len(text) or text[e] in BLANKS) and (pid := xxhash.xxh64_intdigest(text[s:e].encode()) - (1 << 63)) in pids:
+                                    for column, v in zip(out, (doc, rk, pid, s, e), strict=True):
                                         column.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 3 + [pa.int32()] * 3, strict=True)], ["doc_id", "rk", "passage", "start", "end", "n_words"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 3 + [pa.int32()] * 2, strict=True)], ["doc_id", "rk", "passage", "start", "end"])
 
-        return rows.mapInArrow(run, "doc_id long, rk long, passage long, start int, end int, n_words int")
+        return rows.mapInArrow(run, "doc_id long, rk long, passage long, start int, end int")
 
-    hits = stream(0)
+    out = stream(0)
     for shard in range(1, n_shards):
-        hits = hits.unionByName(stream(shard))
-    hits = written(hits)
-    places = hits.groupBy("passage").agg(F.min(F.struct("doc_id", "rk", "start")).alias("first"), F.min("rk").alias("a"), F.max("rk").alias("b"), F.count("*").alias("n"), F.min("start").alias("c"), F.max("start").alias("d"))
-    # two different rows, or one row's repetitions
-    confirmed = places.filter("a <> b or n > 1").select("passage", "first")
-    return hits.join(sized(confirmed), "passage").select("doc_id", "passage", "start", "end", "n_words", (F.col("rk").eqNullSafe(F.col("first.rk")) & (F.col("start") == F.col("first.start"))).alias("is_first"))
+        out = out.unionByName(stream(shard))
+    return out
+
+
+def occurrences(docs: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """(doc_id, start, end, is_first): spans, as long as can be, that passages of two rows or more cover. is_first: it is
+    the passages' first place by (doc_id, row key, start); without the other spans' text one copy of everything stays."""
+    every = written(hits(docs, shard_chars))
+    places = every.groupBy("passage").agg(F.min(F.struct("doc_id", "rk", "start")).alias("first"), F.min("rk").alias("a"), F.max("rk").alias("b"), F.count("*").alias("n"), F.count_distinct("start").alias("starts"))
+    # two different rows, or a row that is repeated
+    confirmed = places.filter("a <> b or n > starts").select("passage", "first")
+    rows = every.distinct().join(confirmed, "passage").select("doc_id", "rk", "start", "end", (F.col("rk").eqNullSafe(F.col("first.rk")) & (F.col("start") == F.col("first.start"))).alias("is_first"))
+    own = Window.partitionBy("rk", "is_first").orderBy("start", "end")
+    reached = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("new", F.when(reached.isNull() | (F.col("start") > reached), 1).otherwise(0)).withColumn("island", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("doc_id", "rk", "is_first", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("doc_id", "start", "end", "is_first")
 
 
 BLANKS = frozenset("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f ")

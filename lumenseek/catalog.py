@@ -152,7 +152,7 @@ def join_chunk_fanout(ix: Index) -> DataFrame:
 def theta_symbol_like(ix: Index) -> DataFrame:
     """An underscore in a term is a wildcard."""
     terms = search.terms_table(ix, ["tion_", "thea"])
-    return ix.symbols.join(terms, F.col("name_lc").like(F.concat(F.lit("%"), "term", F.lit("%")))).select("term", "content_hash", "name_lc")
+    return ix.symbols.join(terms, F.like("name_lc", F.concat(F.lit("%"), "term", F.lit("%")))).select("term", "content_hash", "name_lc")
 
 
 @query("SELECT s.content_hash, max(CASE WHEN s.name_lc = 'thandthe' THEN 50.0::DOUBLE WHEN s.name_lc LIKE 'thandthe::%' THEN 25.0::DOUBLE ELSE 1.0::DOUBLE / (1 + abs(length(s.name_lc) - 8)) END) AS symbol_score FROM symbols s WHERE s.name_lc LIKE '%thandthe%' GROUP BY 1", "symbols")
@@ -466,7 +466,7 @@ def prune_branch_survivors(ix: Index) -> DataFrame:
     return retention.prune_branch(ix, "src4", "main").files.select("file_id")
 
 
-@query("WITH c AS (SELECT DISTINCT repository, commit_sha FROM files), r AS (SELECT c.*, max(b.indexed_at) AS at FROM c LEFT JOIN branches b USING (repository, commit_sha) GROUP BY ALL) SELECT repository, commit_sha, at IS NOT NULL OR row_number() OVER (PARTITION BY repository ORDER BY at DESC NULLS LAST, commit_sha) <= 1 AS keep FROM r", "files", "branches")
+@query("WITH c AS (SELECT DISTINCT repository, commit_sha FROM files), r AS (SELECT c.*, max(b.indexed_at) AS seen FROM c LEFT JOIN branches b USING (repository, commit_sha) GROUP BY ALL) SELECT repository, commit_sha, seen IS NOT NULL OR row_number() OVER (PARTITION BY repository ORDER BY seen DESC NULLS LAST, commit_sha) <= 1 AS keep FROM r", "files", "branches")
 def manual_retention(ix: Index) -> DataFrame:
     return retention.manual_retention(ix, True, 1)
 
@@ -531,7 +531,7 @@ for _mode, _keys in (("repo_path_line", "repository, file_path, line"), ("repo_p
         return upkeep.batch_dedup(out, mode)
 
     QUERIES[f"batch_dedup_{_mode}"] = _batch
-    ORACLES[f"batch_dedup_{_mode}"] = with_tables("files", "chunks", "mapping", body="WITH q AS (SELECT CAST(i AS INTEGER) AS query_ord, f.file_id AS rank, f.repository, f.file_path, m.chunk_index AS line FROM chunks c JOIN mapping m USING (chunk_hash) JOIN files f USING (content_hash) JOIN (VALUES (0, 'thonin'), (1, 'inthe'), (2, 'tionth')) t(i, term) ON contains(lower(c.text_content), term)) SELECT * FROM q" + (f" QUALIFY row_number() OVER (PARTITION BY {_keys} ORDER BY query_ord, rank) = 1" if _keys else ""))
+    ORACLES[f"batch_dedup_{_mode}"] = with_tables("files", "chunks", "mapping", body="WITH q AS (SELECT CAST(i AS INTEGER) AS query_ord, f.file_id AS rank, f.repository, f.file_path, m.chunk_index AS line FROM chunks c JOIN mapping m USING (chunk_hash) JOIN files f USING (content_hash) JOIN (VALUES (0, 'thonin'), (1, 'inthe'), (2, 'tionth')) t(i, term) ON contains(lower(c.text_content), term)) SELECT * FROM q" + (f" QUALIFY row_number() OVER (PARTITION BY {_keys} ORDER BY query_ord, rank, line) = 1" if _keys else ""))
 
 
 @query('WITH j AS (SELECT repository, file_path, file_id, strlen(\'{"repository":"\' || repository || \'","file_path":"\' || file_path || \'","file_id":\' || CAST(file_id AS VARCHAR) || \'}\') AS n FROM files), r AS (SELECT *, sum(n) OVER w + row_number() OVER w - 1 + 2 AS total FROM j WINDOW w AS (ORDER BY file_id ROWS UNBOUNDED PRECEDING)) SELECT repository, file_path, file_id FROM r WHERE total <= 5000', "files")

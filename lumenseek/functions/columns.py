@@ -114,7 +114,7 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def _prefix(text: Column, prefix: Column) -> Column:
-    return text.like(F.concat(prefix, F.lit("%")))
+    return F.like(text, F.concat(prefix, F.lit("%")))
 
 
 def symbol_weight(name: Column, qualified: Column, namespace: Column, kind: Column, path: Column, needle: str | None = None, wanted: str | None = None, path_hint: str | None = None) -> Column:
@@ -127,11 +127,11 @@ def symbol_weight(name: Column, qualified: Column, namespace: Column, kind: Colu
         total += F.when(bare, 70.0).otherwise(-15.0)
     else:
         w = F.lit(wanted)
-        near = F.when(namespace == w, 95.0).when(_prefix(namespace, F.lit(wanted + "::")), 75.0).when(w.like(F.concat(namespace, F.lit("::%"))), 55.0).otherwise(-20.0)
+        near = F.when(namespace == w, 95.0).when(_prefix(namespace, F.lit(wanted + "::")), 75.0).when(F.like(w, F.concat(namespace, F.lit("::%"))), 55.0).otherwise(-20.0)
         total += F.when(bare, -25.0).otherwise(near)
     if path_hint:
         h = F.lit(path_hint)
-        total += F.when(path == h, 150.0).when(_prefix(path, h), 90.0).when(h.like(F.concat(path, F.lit("%"))), 70.0).otherwise(F.greatest(similarity(path, h) * 120 - 30, F.lit(-30.0)))
+        total += F.when(path == h, 150.0).when(_prefix(path, h), 90.0).when(F.like(h, F.concat(path, F.lit("%"))), 70.0).otherwise(F.greatest(similarity(path, h) * 120 - 30, F.lit(-30.0)))
     return total
 
 

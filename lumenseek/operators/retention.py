@@ -22,7 +22,7 @@ def keep_set(ix: Index, now: datetime) -> DataFrame:
     newest = Window.partitionBy("repository", "branch").orderBy(F.desc("indexed_at"), "commit_sha")
     rows = ix.snapshots.join(ix.policies, ["repository", "branch"]).withColumn("nth", F.row_number().over(newest))
     latest = rows.select(*SNAPSHOT, (F.col("nth") <= F.greatest("latest_keep_count", F.lit(1))).alias("keep"))
-    elapsed = F.floor((F.unix_micros(at) - F.unix_micros("indexed_at")) / 1e6)
+    elapsed = F.floor((F.unix_micros(at) - F.unix_micros(F.col("indexed_at").cast("timestamp"))) / 1e6)
     bucket = F.when(elapsed <= 0, 0).otherwise(F.floor(elapsed / F.col("interval_seconds")))
     specs = ix.snapshot_policies.filter("interval_seconds > 0 and keep_count > 0")
     aged = ix.snapshots.join(ix.policies.select("repository", "branch"), ["repository", "branch"], "left_semi").join(specs, ["repository", "branch"]).withColumn("bucket", bucket).filter("bucket < keep_count")

@@ -120,8 +120,8 @@ def symbol_scores(ix: Index, hashes: DataFrame, terms: list[str]) -> DataFrame:
     """(content_hash, symbol_score): a symbol equal to a term counts most, then one of its namespace, then likeness."""
     names = ix.symbols.select("content_hash", "name_lc").join(hashes.select("content_hash").distinct(), "content_hash", "left_semi")
     t, n = F.col("term"), F.col("name_lc")
-    found = names.join(terms_table(ix, terms), n.like(F.concat(F.lit("%"), t, F.lit("%"))))
-    value = F.when(n == t, 50.0).when(n.like(F.concat(t, F.lit("::%"))), 25.0).otherwise(F.lit(1.0) / (1 + F.abs(F.length(n) - F.length(t))))
+    found = names.join(terms_table(ix, terms), F.like(n, F.concat(F.lit("%"), t, F.lit("%"))))
+    value = F.when(n == t, 50.0).when(F.like(n, F.concat(t, F.lit("::%"))), 25.0).otherwise(F.lit(1.0) / (1 + F.abs(F.length(n) - F.length(t))))
     return found.groupBy("content_hash").agg(F.max(value).alias("symbol_score"))
 
 
@@ -130,7 +130,7 @@ def definition_scores(ix: Index, hashes: DataFrame, terms: list[str]) -> DataFra
     names = ix.symbols.select("symbol_id", "content_hash", "name_lc").join(hashes.select("content_hash").distinct(), "content_hash", "left_semi")
     defined = ix.references.filter("kind = 'definition'").select("symbol_id")
     t, n = F.col("term"), F.col("name_lc")
-    found = names.join(terms_table(ix, terms), (n == t) | n.like(F.concat(t, F.lit("%")))).join(defined, "symbol_id", "left_semi")
+    found = names.join(terms_table(ix, terms), (n == t) | F.like(n, F.concat(t, F.lit("%")))).join(defined, "symbol_id", "left_semi")
     return found.groupBy("content_hash").agg(F.max(F.when(n == t, 2).otherwise(1)).alias("definition_matches"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -62,7 +62,7 @@ def filtered(ix: Index, r: SymbolRequest) -> DataFrame:
         r.include_paths and in_paths(F.col("file_path"), list(r.include_paths)),
         r.excluded_paths and ~in_paths(F.col("file_path"), list(r.excluded_paths)),
     ):
-        if test is not None and test != () and not isinstance(test, str):
+        if isinstance(test, Column):  # else that part of the request is empty
             rows = rows.filter(test)
     if r.q:
         hashes = ix.chunks.filter(F.col("text_content").like(f"%{r.q}%")).join(ix.mapping, "chunk_hash").select("content_hash").distinct()

@@ -78,7 +78,7 @@ def batch_dedup(rows: DataFrame, mode: str) -> DataFrame:
     """Results of several queries without repetitions: by repo_path_line, repo_path or none; the first stays, in the order
     of queries (query_ord) and ranks (rank)."""
     keys = {"repo_path_line": ["repository", "file_path", "line"], "repo_path": ["repository", "file_path"], "none": None}[mode]
-    return rows if keys is None else first_by(rows, keys, "query_ord", "rank")
+    return rows if keys is None else first_by(rows, keys, "query_ord", "rank", "line")
 
 
 def byte_budget(rows: DataFrame, most: int, *order: str | Column) -> DataFrame:

@@ -12,16 +12,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import characters
 from .common import C1, S32, blocks, mix, padded, partitions, row_key, sized, text_buffers, without_rows, written
 from .components import components
 
 SHINGLE = 7
 THRESHOLD = 0.75
 BANDS, ROWS = 12, 4
+#: Bits of the sketch by which pairs that can't reach THRESHOLD are refused before their texts are moved.
+SKETCH = 2048
 
 _rng = np.random.default_rng(20240607)
 MULTIPLY = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
@@ -116,58 +120,100 @@ def buckets(table: pa.Table) -> pa.Table:
     return pa.table({"bucket": t[many, 0], "a": first[many], "b": t[many, 1]})
 
 
-def _shared_bounds(texts: pa.Array, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether each pair of rows of texts may reach THRESHOLD, by 32-bit hashes of shingles (a collision only adds)."""
+def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, line, n, sketch): shingles of a line, repeated ones too, and the set of their hashes modulo SKETCH as bits."""
+    for whole in batches:
+        data, offsets = text_buffers(whole.column("line"))
+        for i, j in blocks(offsets, 1 << 20):
+            h, rows = shingles(padded(data, int(offsets[i]), int(offsets[j])), offsets[i : j + 1] - offsets[i])
+            bits = np.zeros((j - i) * SKETCH, bool)
+            bits[np.repeat(np.arange(j - i) * SKETCH, np.diff(rows)) + (h & np.uint32(SKETCH - 1))] = True
+            sketch = np.packbits(bits, bitorder="little")
+            at = pa.array(np.arange(j - i + 1, dtype=np.int32) * (SKETCH // 8))
+            binary = pa.Array.from_buffers(pa.binary(), j - i, [None, at.buffers()[1], pa.py_buffer(sketch)])
+            yield pa.RecordBatch.from_arrays([whole.column("id").slice(i, j - i), whole.column("line").slice(i, j - i), pa.array(np.diff(rows).astype(np.int32)), binary], ["id", "line", "n", "sketch"])
+
+
+def may_reach(n_a: np.ndarray, a: np.ndarray, n_b: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of at most n_a and n_b shingles can have a similarity of THRESHOLD. Each bit that only one sketch has
+    stands for a shingle at least that only its line has, so no pair that reaches it is refused."""
+    only_a, only_b = (np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64) for x, y in ((a, b), (b, a)))
+    shared = np.minimum(n_a - only_a, n_b - only_b)
+    return shared >= THRESHOLD * (shared + only_a + only_b)
+
+
+def likely_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of rows (a, b, n_a, sketch_a, n_b, sketch_b) that sketches leave."""
+
+    def words(column: pa.Array) -> np.ndarray:
+        data, offsets = text_buffers(column)
+        return np.frombuffer(data[int(offsets[0]) : int(offsets[-1])], np.uint64).reshape(len(column), -1)
+
+    for batch in batches:
+        if len(batch):
+            n_a, n_b = (np.asarray(batch.column(c)).astype(np.int64) for c in (2, 4))
+            kept = pa.array(np.flatnonzero(may_reach(n_a, words(batch.column(3)), n_b, words(batch.column(5)))))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], ["a", "b"])
+
+
+def exact_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
+    """Distinct shingles of each text as sorted (row << 32 | number of the shingle), and the rows' offsets. A shingle is
+    packed in one word, nine bits a character, and numbered, so equal numbers are equal shingles; None if the texts have
+    more kinds of characters than nine bits tell apart."""
     data, offsets = text_buffers(texts)
     lo, hi = int(offsets[0]), int(offsets[-1])
-    h, rows = shingles(padded(data, lo, hi), offsets - lo)
-    keys = np.unique((np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(rows)) << S32) | h)
-    edges = np.searchsorted(keys, np.arange(len(texts) + 1, dtype=np.uint64) << S32)
+    at, code = characters(padded(data, lo, hi), hi - lo, offsets[:-1] - lo)
+    kinds = np.flatnonzero(np.bincount(code)) if len(code) else code
+    if len(kinds) > 1 << (63 // SHINGLE):
+        return None
+    number = np.zeros(int(kinds[-1]) + 1 if len(kinds) else 1, np.int64)
+    number[kinds] = np.arange(len(kinds))
+    c, rows = number[code], np.searchsorted(at, offsets - lo)
+    count = np.maximum(np.diff(rows) - SHINGLE + 1, 0)
+    first = np.arange(count.sum()) + np.repeat(rows[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
+    packed = np.zeros(len(first), np.int64)
+    for k in range(SHINGLE):
+        packed = (packed << (63 // SHINGLE)) | c[first + k]
+    keys = np.unique((np.repeat(np.arange(len(texts), dtype=np.uint64), count) << S32) | pd.factorize(packed)[0].astype(np.uint64))
+    return keys, np.searchsorted(keys, np.arange(len(texts) + 1, dtype=np.uint64) << S32)
+
+
+def shared_counts(keys: np.ndarray, edges: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many numbers rows a[i] and b[i] have in common."""
     size = np.diff(edges)
-    x, y = size[a], size[b]
-    ok = np.minimum(x, y) >= THRESHOLD * np.maximum(x, y)
-    maybe = np.flatnonzero(ok & (x > 0) & (y > 0))
-    per = max(1, int(2_000_000 / max(1, size.mean() if len(size) else 1)))
-    for k in range(0, len(maybe), per):
-        own = maybe[k : k + per]
-        nth = np.arange(len(own), dtype=np.uint64) << S32
+    out = np.zeros(len(a), np.int64)
+    for i, j in blocks(np.concatenate([[0], np.cumsum(size[a] + size[b])]), 4_000_000):
+        nth = np.arange(j - i, dtype=np.uint64) << S32
         both = []
-        for side in (a[own], b[own]):
+        for side in (a[i:j], b[i:j]):
             n = size[side]
             at = np.arange(n.sum()) + np.repeat(edges[:-1][side] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
             both.append((keys[at] & np.uint64(0xFFFFFFFF)) | np.repeat(nth, n))
         merged = np.sort(np.concatenate(both))
         same = merged[1:][merged[1:] == merged[:-1]] >> S32
-        shared = np.bincount(same.astype(np.int64), minlength=len(own))
-        # a little less than THRESHOLD, for collisions inside a set
-        ok[own] = shared + 1 >= THRESHOLD * (x[own] + y[own] - shared - 1)
-    return ok
+        out[i:j] = np.bincount(same.astype(np.int64), minlength=j - i)
+    return out
 
 
 def jaccard_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) of pairs of lines whose shingle sets have a Jaccard similarity of THRESHOLD at least: pairs that hashes of
-    shingles leave are compared by the shingles themselves."""
+    """(a, b) of pairs of lines whose sets of shingles have a Jaccard similarity of THRESHOLD at least."""
 
     def of(line: str) -> set[str]:
-        return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)} or {line}
+        return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
 
     for whole in batches:
         lengths = np.diff(text_buffers(whole.column(2))[1]) + np.diff(text_buffers(whole.column(3))[1])
         for i, j in blocks(np.concatenate([[0], np.cumsum(lengths)]), 4 << 20):
             batch = whole.slice(i, j - i)
-            texts = pa.concat_arrays([batch.column(2), batch.column(3)])
             ids, first, at = np.unique(np.concatenate([np.asarray(batch.column(0)), np.asarray(batch.column(1))]), return_index=True, return_inverse=True)
-            n = j - i
-            own = texts.take(pa.array(first))
-            left = np.flatnonzero(_shared_bounds(own, at[:n], at[n:]))
-            strings = own.to_pylist()
-            ok = []
-            for k in left:
-                x, y = of(strings[at[k]]), of(strings[at[n + k]])
-                both = len(x & y)
-                if both >= THRESHOLD * (len(x) + len(y) - both):
-                    ok.append(k)
-            kept = pa.array(ok, pa.int64())
+            own, a, b = pa.concat_arrays([batch.column(2), batch.column(3)]).take(pa.array(first)), at[: j - i], at[j - i :]
+            if (found := exact_shingles(own)) is not None:
+                size, both = np.diff(found[1]), shared_counts(*found, a, b)
+                x, y = size[a], size[b]
+            else:
+                sets = [of(line) for line in own.to_pylist()]
+                x, y, both = (np.array([f(sets[u], sets[v]) for u, v in zip(a, b, strict=True)]) for f in (lambda s, t: len(s), lambda s, t: len(t), lambda s, t: len(s & t)))
+            kept = pa.array(np.flatnonzero(both >= THRESHOLD * (x + y - both)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], ["a", "b"])
 
 
@@ -196,11 +242,17 @@ def similar_lines(lines: DataFrame) -> DataFrame:
 
     members = written(lines.select("id", "line").mapInArrow(sign, "part int, data binary").groupBy("part").applyInArrow(buckets, "bucket long, a long, b long"))
     wanted = written(members.select(F.col("b").alias("id")).distinct())
-    texts = written(lines.select("id", "line").join(sized(wanted), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")))
-    sides = [texts.select(F.col("id").alias(s), F.col("line").alias(f"line_{s}")) for s in "ab"]
+    texts = lines.select("id", "line").join(sized(wanted), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    texts = written(texts.mapInArrow(sketched, "id long, line string, n int, sketch binary"))
+
+    def sides(pairs: DataFrame, *columns: str) -> DataFrame:
+        for s in "ab":
+            pairs = pairs.join(texts.select(F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in columns)), s)
+        return pairs.select("a", "b", *(f"{c}_{s}" for s in "ab" for c in columns))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return written(pairs.distinct().join(sides[0], "a").join(sides[1], "b").select("a", "b", "line_a", "line_b").mapInArrow(jaccard_pairs, "a long, b long"))
+        likely = written(sides(pairs.distinct(), "n", "sketch").mapInArrow(likely_pairs, "a long, b long"))
+        return written(sides(likely, "line").mapInArrow(jaccard_pairs, "a long, b long"))
 
     # Each bucket's least line against the others; then, in buckets that this leaves in several components, all pairs
     # across components. A pair that is already connected can't change the components, so this equals trying all pairs.

@@ -5,7 +5,7 @@ Every derivation has a twin in SQL (SQL below), so that queries can be compared
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,14 +20,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def file_columns() -> dict[str, Column]:
+    return {
+        "file_id": F.col("doc_id"),
+        "repository": F.col("source"),
+        "commit_sha": F.left(F.sha2("source", 256), F.lit(40)),
+        "file_path": F.concat("lang", F.lit("/d"), (F.col("doc_id") % 50).cast("string"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")),
+        "content_hash": F.sha2("text", 256),
+    }
+
+
 def files(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.col("doc_id").alias("file_id"),
-        F.col("source").alias("repository"),
-        F.left(F.sha2("source", 256), F.lit(40)).alias("commit_sha"),
-        F.concat("lang", F.lit("/d"), (F.col("doc_id") % 50).cast("string"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"),
-        F.sha2("text", 256).alias("content_hash"),
-    )
+    return docs.select(*(c.alias(k) for k, c in file_columns().items()))
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -64,7 +68,7 @@ def words(docs: DataFrame) -> DataFrame:
     return lines.select("content_hash", "language", (F.col("n") + 1).alias("line_number"), F.posexplode(found).alias("k", "name")).select("content_hash", "language", "name", "line_number", (F.col("k") + 1).alias("column_number"))
 
 
-def symbol_id(content_hash: str = "content_hash", name: str = "name") -> F.Column:
+def symbol_id(content_hash: str = "content_hash", name: str = "name") -> Column:
     """A stable surrogate in place of a sequence."""
     return F.conv(F.left(F.sha2(F.concat(F.col(content_hash), F.lit(":"), F.col(name)), 256), F.lit(15)), 16, 10).cast("long")
 

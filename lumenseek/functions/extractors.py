@@ -433,7 +433,7 @@ class _Walk:
                 k += 2
             if self.text(self.solid(k, 1)) == "=" and k == i and self.text(self.solid(i, 1)) == "=" or self.text(i + 1) == ":":
                 self.add(i, "definition")
-                if self.text(self.solid(self.solid(i, 1), 1)) in ("{", "rec"):
+                if self.text(i + 1) != ":" and self.text(self.solid(self.solid(i, 1), 1)) in ("{", "rec"):
                     self.opens(i, self.text(i), "set")
                 return
         if lang in ("js", "ts", "swift") and body in ("class", "interface") and x == "(" and before != ".":

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import infer_language, line_count, relative_path, skipped_path
 
+#: Files that a task of walk() reads.
+FILES_A_TASK = 200
+
 
 def walk(spark: SparkSession, root: str, ignored: list[str] | None = None) -> DataFrame:
     """(path, content) of all files under a folder, hidden ones too, but for build folders and ignored paths. ignored:
     lines as in .gitignore (globs; a trailing slash for folders; a leading one for the root; ! takes a path back)."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root if root.startswith("file:") else "file:" + root
-    # paths may come as file:/x or file:///x
-    plain = F.regexp_replace(F.col("path"), "^file:/+", "/")
-    rel = relative_path(plain, "/" + base.removeprefix("file:").lstrip("/"))
-    rows = raw.select(rel.alias("path"), "content").filter(F.col("path").isNotNull() & ~skipped_path(F.col("path")))
+    # Spark's own file source leaves hidden files out: the listing is made here, contents are read by the executors
+    where = root if "://" in root else os.path.abspath(root)
+    store, base = fs.FileSystem.from_uri(where)
+    found = [(f.path,) for f in store.get_file_info(fs.FileSelector(base, recursive=True)) if f.type == fs.FileType.File]
+    listed = spark.createDataFrame(found, "full string").withColumn("path", relative_path(F.col("full"), base))
+    rows = listed.filter(F.col("path").isNotNull() & ~skipped_path(F.col("path")))
     keep = F.lit(True)
     for line in ignored or []:
         line = line.strip()
@@ -25,7 +33,17 @@ def walk(spark: SparkSession, root: str, ignored: list[str] | None = None) -> Da
         back = line.startswith("!")
         hit = F.col("path").rlike(ignore_regex(line.lstrip("!")))
         keep = F.when(hit, F.lit(back)).otherwise(keep)
-    return rows.filter(keep)
+
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = fs.FileSystem.from_uri(where)[0]
+        for batch in batches:
+            for full, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with own.open_input_stream(full) as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read()], pa.binary())], ["path", "content"])
+
+    parts = max(1, -(-len(found) // FILES_A_TASK))
+    return rows.filter(keep).select("full", "path").repartition(parts, "path").mapInArrow(read, "path string, content binary")
 
 
 def ignore_regex(rule: str) -> str:

@@ -168,12 +168,12 @@ def theta_symbol_like(ix: Index) -> DataFrame:
 
 @query("SELECT s.content_hash, max(CASE WHEN s.name_lc = 'ontion' THEN 50.0::DOUBLE WHEN s.name_lc LIKE 'ontion::%' THEN 25.0::DOUBLE ELSE 1.0::DOUBLE / (1 + abs(length(s.name_lc) - 6)) END) AS symbol_score FROM symbols s WHERE s.name_lc LIKE '%ontion%' GROUP BY 1", "symbols")
 def symbol_score(ix: Index) -> DataFrame:
-    return search.symbol_scores(ix, ix.files, ["ontion"])
+    return search.symbol_scores(ix, ["ontion"])
 
 
 @query("SELECT s.content_hash, CAST(max(CASE WHEN s.name_lc = 'ontio' THEN 2 ELSE 1 END) AS INTEGER) AS definition_matches FROM symbols s WHERE s.name_lc LIKE 'ontio%' GROUP BY 1", "symbols")
 def definition_score(ix: Index) -> DataFrame:
-    return search.definition_scores(ix, ix.files, ["ontio"])
+    return search.definition_scores(ix, ["ontio"])
 
 
 @query(f"WITH known AS ({_KNOWN}), live_commits AS ({_LIVE_COMMITS}) SELECT f.file_id, f.content_hash, false AS include_historical, CAST(count(*) AS BIGINT) AS score, min(m.chunk_index) AS min_chunk_index FROM chunks c JOIN mapping m USING (chunk_hash) JOIN files f USING (content_hash) WHERE {_ci('the the')} AND {_IS_LIVE} GROUP BY ALL", "files", "chunks", "mapping", "branches", "snapshots", "live")

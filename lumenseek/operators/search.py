@@ -116,33 +116,40 @@ def terms_table(ix: Index, terms: list[str]) -> DataFrame:
     return F.broadcast(ix.files.sparkSession.createDataFrame([(t,) for t in terms], "term string"))  # a query's own words
 
 
-def symbol_scores(ix: Index, hashes: DataFrame, terms: list[str]) -> DataFrame:
-    """(content_hash, symbol_score): a symbol equal to a term counts most, then one of its namespace, then likeness."""
-    names = ix.symbols.select("content_hash", "name_lc").join(hashes.select("content_hash").distinct(), "content_hash", "left_semi")
+def symbol_scores(ix: Index, terms: list[str]) -> DataFrame:
+    """(content_hash, symbol_score): a symbol equal to a term counts most, then one of its namespace, then likeness. Terms
+    leave few names, so all contents are scored, and the files found are joined afterwards."""
+    names = ix.symbols.select("content_hash", "name_lc")
     t, n = F.col("term"), F.col("name_lc")
     found = names.join(terms_table(ix, terms), F.like(n, F.concat(F.lit("%"), t, F.lit("%"))))
     value = F.when(n == t, 50.0).when(F.like(n, F.concat(t, F.lit("::%"))), 25.0).otherwise(F.lit(1.0) / (1 + F.abs(F.length(n) - F.length(t))))
     return found.groupBy("content_hash").agg(F.max(value).alias("symbol_score"))
 
 
-def definition_scores(ix: Index, hashes: DataFrame, terms: list[str]) -> DataFrame:
+def definition_scores(ix: Index, terms: list[str]) -> DataFrame:
     """(content_hash, definition_matches): 2 if a term is defined, 1 if a name that begins with it is."""
-    names = ix.symbols.select("symbol_id", "content_hash", "name_lc").join(hashes.select("content_hash").distinct(), "content_hash", "left_semi")
+    names = ix.symbols.select("symbol_id", "content_hash", "name_lc")
     defined = ix.references.filter("kind = 'definition'").select("symbol_id")
     t, n = F.col("term"), F.col("name_lc")
     found = names.join(terms_table(ix, terms), (n == t) | F.like(n, F.concat(t, F.lit("%")))).join(defined, "symbol_id", "left_semi")
     return found.groupBy("content_hash").agg(F.max(F.when(n == t, 2).otherwise(1)).alias("definition_matches"))
 
 
+FIRST = ["chunk_index", "highlight_pattern", "chunk_hash", "highlight_case_sensitive", "repository", "commit_sha", "file_path"]
+
+
 def top_files(ix: Index, rows: DataFrame, request: Request) -> DataFrame:
-    scored = score_files(rows)
+    """Each file with its score and its first matching chunk (FIRST columns), by one aggregate over the matches."""
+    weight = F.when(F.col("highlight_case_sensitive"), 2).otherwise(1)
+    scored = rows.groupBy(KEYS).agg(F.sum(weight).alias("score"), F.min(F.struct(*FIRST)).alias("first"))
+    extra, defs = F.lit(0.0), F.lit(0)
     if request.symbol_terms:
-        scored = scored.join(symbol_scores(ix, scored, request.symbol_terms), "content_hash", "left")
+        scored = scored.join(symbol_scores(ix, request.symbol_terms), "content_hash", "left")
+        extra = F.coalesce("symbol_score", F.lit(0.0))
         if request.definition_terms:
-            scored = scored.join(definition_scores(ix, scored, request.definition_terms), "content_hash", "left")
-    extra = F.coalesce("symbol_score", F.lit(0.0)) if "symbol_score" in scored.columns else F.lit(0.0)
-    defs = F.coalesce("definition_matches", F.lit(0)) if "definition_matches" in scored.columns else F.lit(0)
-    return scored.select(*KEYS, (F.col("score").cast("double") + extra).alias("total_score"), defs.alias("definition_matches"), "min_chunk_index")
+            scored = scored.join(definition_scores(ix, request.definition_terms), "content_hash", "left")
+            defs = F.coalesce("definition_matches", F.lit(0))
+    return scored.select(*KEYS, (F.col("score").cast("double") + extra).alias("total_score"), defs.alias("definition_matches"), "first.*")
 
 
 def first_chunks(rows: DataFrame) -> DataFrame:
@@ -151,23 +158,20 @@ def first_chunks(rows: DataFrame) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(w)).filter("nth = 1").drop("nth")
 
 
-def branch_columns(ix: Index, keys: DataFrame) -> DataFrame:
-    """For (repository, commit_sha): branches with such a snapshot, else such a head; live ones of these likewise; the last
-    snapshot's time; is_historical, which holds where no live branch is at the commit."""
-    k = ["repository", "commit_sha"]
-    live = ix.live.select("repository", "branch")
+def branch_columns(ix: Index) -> DataFrame:
+    """For each (repository, commit_sha) of a branch: branches with such a snapshot, else such a head; live ones of these
+    likewise; the last snapshot's time. One aggregate over the branch tables, which are small next to files."""
+    columns = ["repository", "branch", "commit_sha", "indexed_at"]
+    every = ix.snapshots.select(*columns, F.lit(True).alias("snap")).unionByName(ix.branches.select(*columns, F.lit(False).alias("snap")))
+    every = every.join(ix.live.select("repository", "branch").distinct().withColumn("on", F.lit(True)), ["repository", "branch"], "left")
 
-    def names(table: DataFrame, name: str) -> DataFrame:
-        return table.groupBy(k).agg(F.array_sort(F.collect_set("branch")).alias(name))
+    def names(test: Column) -> Column:
+        return F.array_sort(F.collect_set(F.when(test, F.col("branch"))))
 
-    snaps = ix.snapshots.join(keys.select(k).distinct(), k, "left_semi")
-    heads = ix.branches.join(keys.select(k).distinct(), k, "left_semi")
-    out = keys.select(k).distinct()
-    for part in (names(snaps, "b1"), snaps.groupBy(k).agg(F.max("indexed_at").alias("snapshot_indexed_at")), names(heads, "b2"), names(snaps.join(live, ["repository", "branch"], "left_semi"), "l1"), names(heads.join(live, ["repository", "branch"], "left_semi"), "l2")):
-        out = out.join(part, k, "left")
-    none = F.array().cast("array<string>")
-    out = out.select(*k, F.coalesce("b1", "b2", none).alias("branches"), F.coalesce("l1", "l2", none).alias("live_branches"), "snapshot_indexed_at")
-    return out.withColumn("is_historical", F.size("live_branches") == 0)
+    snap, on = F.col("snap"), F.col("on").isNotNull()
+    out = every.groupBy("repository", "commit_sha").agg(names(snap).alias("b1"), names(~snap).alias("b2"), names(snap & on).alias("l1"), names(~snap & on).alias("l2"), F.max(F.when(snap, F.col("indexed_at"))).alias("snapshot_indexed_at"))
+    first = lambda a, b: F.when(F.size(a) > 0, F.col(a)).otherwise(F.col(b))
+    return out.select("repository", "commit_sha", first("b1", "b2").alias("branches"), first("l1", "l2").alias("live_branches"), "snapshot_indexed_at")
 
 
 def result_order() -> list[Column | str]:
@@ -176,12 +180,13 @@ def result_order() -> list[Column | str]:
 
 def ranked(ix: Index, request: Request, capped: bool = False) -> DataFrame:
     """Every file that the request finds, with its score and branches, unordered."""
-    rows = matches(ix, request, capped)
-    top = top_files(ix, rows, request)
+    out = top_files(ix, matches(ix, request, capped), request)
     if capped:
-        top = top.orderBy(F.desc("definition_matches"), F.desc("total_score"), "min_chunk_index", "file_id").limit(request.file_limit)
-    out = first_chunks(rows).join(top.drop("min_chunk_index"), KEYS)
-    out = out.join(branch_columns(ix, out), ["repository", "commit_sha"])
+        out = out.orderBy(F.desc("definition_matches"), F.desc("total_score"), "chunk_index", "file_id").limit(request.file_limit)
+    out = out.join(branch_columns(ix), ["repository", "commit_sha"], "left")
+    none = F.array().cast("array<string>")
+    out = out.withColumns({c: F.coalesce(c, none) for c in ("branches", "live_branches")})
+    out = out.withColumn("is_historical", F.size("live_branches") == 0)  # no live branch is at the commit
     return out.filter(F.col("include_historical") | (F.size("live_branches") > 0) | (F.size("branches") > 0))
 
 

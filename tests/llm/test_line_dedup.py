@@ -76,3 +76,29 @@ def test_first_place_stays_and_copies_go(spark):
 def test_empty_table(spark):
     assert op.dedup_lines(frame(spark, [])).count() == 0
     assert op.duplicate_lines(frame(spark, [])).count() == 0
+
+
+def test_pairs_by_sets_and_sketches():
+    """Packed shingles, sets (where there are too many kinds of characters to pack) and sketches agree with plain sets."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    for alphabet in ("abcdef é", "abc" + "".join(chr(0x4E00 + k) for k in range(700))):
+        lines = []
+        for _ in range(60):
+            line = "".join(rng.choice(alphabet) for _ in range(rng.randint(7, 300)))
+            cut = rng.randint(0, len(line) // 3)
+            lines += [line, line[cut:] if len(line) - cut >= 7 else line + "x", line + "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 60)))]
+        pairs = [(i, j) for i in range(0, len(lines), 3) for j in (i + 1, i + 2, (i + 3) % len(lines))]
+        want = {(i, j) for i, j in pairs if len(grams(lines[i]) & grams(lines[j])) >= op.THRESHOLD * len(grams(lines[i]) | grams(lines[j]))}
+        batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs]), pa.array([j for _, j in pairs]), pa.array([lines[i] for i, _ in pairs]), pa.array([lines[j] for _, j in pairs])], ["a", "b", "line_a", "line_b"])
+        assert (op.exact_shingles(pa.array(lines)) is None) == (len(set("".join(lines))) > 512)
+        got = {p for out in op.jaccard_pairs(iter([batch])) for p in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)}
+        assert got == want and 0 < len(want) < len(pairs)
+        (sketches,) = op.sketched(iter([pa.RecordBatch.from_arrays([pa.array(range(len(lines))), pa.array(lines)], ["id", "line"])]))
+        bits = np.array([np.frombuffer(s, np.uint64) for s in sketches.column("sketch").to_pylist()])
+        n = np.asarray(sketches.column("n")).astype(np.int64)
+        a, b = (np.array(x) for x in zip(*pairs, strict=True))
+        left = {p for p, ok in zip(pairs, op.may_reach(n[a], bits[a], n[b], bits[b]), strict=True) if ok}
+        assert want <= left and len(left) < len(pairs)

@@ -5,9 +5,11 @@
 2. Around recurring anchors all windows of WINDOW words are hashed and grouped; a window that two different texts have
    recurs. Of each maximal run of recurring windows those at its ends and a winnowed choice between, close enough to
    overlap, are passages; so is a whole text of WINDOW words that several rows have.
-3. The first words of each passage are compiled into Aho-Corasick automata (pyahocorasick), in shards of bounded size.
-4. All documents are streamed through every shard. A hit is confirmed by comparing the whole passage's hash and its ends
-   at word limits; a passage is confirmed if it occurs in two rows.
+3. The documents are cut in shards of bounded size. The first words of the passages that a shard's documents can hold,
+   told by anchors, are compiled into the shard's Aho-Corasick automaton (pyahocorasick).
+4. All documents are streamed through their shard's automaton, once each, so work follows the corpus and not its square.
+   A hit is confirmed by comparing the whole passage's hash and its ends at word limits; a passage is confirmed if it
+   occurs in two rows.
 5. Overlapping occurrences in a document become one span.
 
 Passages of a fixed length keep the hits in proportion to the repeated text; maximal runs as passages would nest in each
@@ -37,8 +39,10 @@ from .line_dedup import shards, unpack
 WINDOW = 50
 ANCHOR = 25
 PHRASE = 8
-#: Characters of phrases in one automaton; a scan task holds one automaton (up to some 60 bytes a character).
-SHARD_CHARS = 2_000_000
+#: Bytes of documents in a shard; what repeats in them bounds its automaton (up to some 60 bytes a character).
+SHARD_BYTES = 8 << 20
+#: Longs in a broadcast table; beyond that the join shuffles.
+BROADCAST_ENTRIES = 4_000_000
 BLANK = np.frombuffer(SPACE.tobytes(), bool)
 
 _B = 0x9E3779B97F4A7C15 | 1
@@ -58,7 +62,7 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     if n < k:
         return np.zeros(0, np.uint64)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _powers(_B, n))])
-    return mix((sums[k:] - sums[: n - k + 1]) * _powers(_BI, n - k + 1) + np.uint64(k) * C1)
+    return mix((sums[k:] - sums[: n - k + 1]) * _powers(_BI, n - k + 1) + np.uint64(k * int(C1) % (1 << 64)))
 
 
 def split(data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -131,8 +135,10 @@ def recurring(table: pa.Table) -> pa.Table:
     return pa.table({"th": t[:, 1], "value": t[:, 2]})
 
 
-def passages(docs: DataFrame) -> DataFrame:
-    """(pid, phrase, n_chars) of the passages to look for; pid is the xxHash64 of the passage."""
+def passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pid, phrase, n_chars, key) of the passages to look for, and (th, key) of the texts that may hold those of a key.
+    pid is the xxHash64 of the passage; its key is the least anchor of its first WINDOW words. Winnowing makes every text
+    with a passage select that anchor too, so no text with it is left out. Copies of one text have its hash as a key."""
     n = partitions(docs.sparkSession)
     rows = docs.select("text").filter("text is not null").select(F.xxhash64("text").alias("th"), "text")
 
@@ -171,87 +177,95 @@ def passages(docs: DataFrame) -> DataFrame:
                 places.append(place)
             yield from shards(np.concatenate(keys), [np.concatenate(texts), np.concatenate(places)], n)
 
-    def join(texts: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(texts) if texts.count() <= 100_000 else texts, "th")
-
-    again = join(near).mapInArrow(windows, "part int, data binary").groupBy("part").applyInArrow(recurring, "th long, value long")
-    runs = again.groupBy("th").agg(F.collect_set("value").alias("places"))
+    def in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sets of places as runs: first place and length of each, one after the other."""
+        for batch in batches:
+            out = []
+            for places in batch.column(1).to_pylist():
+                p = np.sort(np.array(places, np.int64))
+                at = np.flatnonzero(np.diff(p, prepend=-2) > 1)
+                out.append(np.column_stack([p[at], np.diff(at, append=len(p))]).ravel().astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["th", "runs"])
+
+    def join(texts: DataFrame, entries: str) -> DataFrame:
+        size = texts.agg(F.count("*") + F.coalesce(F.sum(F.size(entries)), F.lit(0))).first()[0]
+        return rows.join(F.broadcast(texts) if size <= BROADCAST_ENTRIES else texts, "th")
+
+    again = join(near, "keys").mapInArrow(windows, "part int, data binary").groupBy("part").applyInArrow(recurring, "th long, value long")
+    runs = again.groupBy("th").agg(F.collect_set("value").alias("places")).mapInArrow(in_runs, "th long, runs array<int>")
     whole = rows.groupBy("th").count().filter("count > 1").select("th", F.lit(True).alias("whole"))
-    spans = written(runs.join(whole, "th", "full").select("th", "places", F.coalesce("whole", F.lit(False)).alias("whole")))
+    spans = written(runs.join(whole, "th", "full").select("th", F.coalesce("runs", F.array().cast("array<int>")).alias("runs"), F.coalesce("whole", F.lit(False)).alias("whole")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            out: dict[str, list] = {"pid": [], "phrase": [], "n_chars": []}
+            out: dict[str, list] = {"pid": [], "phrase": [], "n_chars": [], "key": []}
             seen = set()
-            for i, (th, _, places, whole_text) in enumerate(zip(*(c.to_pylist() if k != 1 else [None] * len(batch) for k, c in enumerate(batch.columns)), strict=True)):
+            for i, (th, own, whole_text) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True)):
                 if th in seen:
                     continue
                 seen.add(th)
                 words, starts, ends, _ = split(data, offsets, i, i + 1)
-                ranges = [(p, p + WINDOW) for p in chosen(np.sort(np.array(places)), window_hashes(words, WINDOW)).tolist()] if places else []
+                h = window_hashes(words, ANCHOR).view(np.int64)
+                places = np.concatenate([np.arange(p, p + k) for p, k in zip(own[::2], own[1::2], strict=True)]) if own else np.zeros(0, int)
+                ranges = [(p, p + WINDOW, False) for p in chosen(places, window_hashes(words, WINDOW)).tolist()] if len(places) else []
                 if whole_text and len(starts) >= WINDOW:
-                    ranges.append((0, len(starts)))
-                for s, e in ranges:
+                    ranges += [(0, len(starts), False), (0, len(starts), True)]
+                for s, e, to_copies in ranges:
                     text = data[starts[s] : ends[e - 1]].tobytes()
                     out["pid"].append(xxhash.xxh64_intdigest(text) - (1 << 63))
                     out["phrase"].append(data[starts[s] : ends[s + PHRASE - 1]].tobytes().decode(errors="replace"))
                     out["n_chars"].append(len(text.decode(errors="replace")))
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("pid", pa.int64()), ("phrase", pa.string()), ("n_chars", pa.int32())]))
+                    out["key"].append(th if to_copies else int(h[s : s + WINDOW - ANCHOR + 1].view(np.uint64).min().view(np.int64)))
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("pid", pa.int64()), ("phrase", pa.string()), ("n_chars", pa.int32()), ("key", pa.int64())]))
 
-    return written(join(spans).select("th", "text", "places", "whole").mapInArrow(cut, "pid long, phrase string, n_chars int").dropDuplicates(["pid"]))
+    found = join(spans, "runs").select("th", "text", "runs", "whole").mapInArrow(cut, "pid long, phrase string, n_chars int, key long").dropDuplicates(["pid", "key"])
+    routes = near.select("th", F.explode("keys").alias("key")).unionByName(spans.filter("whole").select("th", F.col("th").alias("key")))
+    return written(found), routes
 
 
-def hits(docs: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """(doc_id, rk, passage, start, end): every place of every passage; start and end are character offsets."""
-    spark = docs.sparkSession
-    found = passages(docs)
-    chars = found.agg(F.sum(F.length("phrase"))).first()[0] or 0
-    n_shards = max(1, -(-chars // shard_chars))
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("rk"), "text").filter("text is not null")
+def hits(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(doc_id, rk, passage, start, end): every place of every passage; start and end are character offsets.
 
-    def stream(shard: int) -> DataFrame:
-        own = found.filter(F.pmod(F.xxhash64("phrase"), F.lit(n_shards)) == shard)
-        shared = spark.sparkContext.broadcast([(r.phrase, r.pid, r.n_chars) for r in own.toLocalIterator()])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            of_phrase: dict[str, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-            for phrase, pid, n_chars in shared.value:
-                of_phrase[phrase][n_chars].add(pid)
-            automaton = ahocorasick.Automaton()
-            for phrase, own in of_phrase.items():
-                automaton.add_word(phrase, (len(phrase), sorted(own.items())))
-            if of_phrase:
-                automaton.make_automaton()
-            for batch in batches:
-                out: list[list] = [[] for _ in range(5)]
-                if of_phrase:
-                    for doc, rk, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                        for last, (length, own) in automaton.iter(text):
-                            s = last + 1 - length
-                            if s and text[s - 1] not in BLANKS:
-                                continue
-                            for n_chars, pids in own:
-                                e = s + n_chars
-                                if e > len(text):
-                                    break
-                                if (e == len(text) or text[e] in BLANKS) and (pid := xxhash.xxh64_intdigest(text[s:e].encode()) - (1 << 63)) in pids:
-                                    for column, v in zip(out, (doc, rk, pid, s, e), strict=True):
-                                        column.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 3 + [pa.int32()] * 2, strict=True)], ["doc_id", "rk", "passage", "start", "end"])
-
-        return rows.mapInArrow(run, "doc_id long, rk long, passage long, start int, end int")
-
-    out = stream(0)
-    for shard in range(1, n_shards):
-        out = out.unionByName(stream(shard))
-    return out
-
-
-def occurrences(docs: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    A shard is so many bytes of documents, by row key, with an automaton of the passages that can be in them."""
+    found, routes = passages(docs)
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("rk"), "text").filter("text is not null")
+    n_shards = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
+    rows = rows.withColumn("shard", F.pmod("rk", F.lit(n_shards)))
+    wanted = rows.select(F.col("shard").alias("part"), F.xxhash64("text").alias("th")).distinct().join(routes, "th").select("part", "key").distinct()
+    wanted = wanted.join(found, "key").select("part", "pid", "phrase", "n_chars").distinct()
+
+    def scan(docs: pa.Table, own: pa.Table) -> pa.Table:
+        of_phrase: dict[str, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+        for phrase, pid, n_chars in zip(*(own.column(c).to_pylist() for c in ("phrase", "pid", "n_chars")), strict=True):
+            of_phrase[phrase][n_chars].add(pid)
+        automaton = ahocorasick.Automaton()
+        for phrase, sizes in of_phrase.items():
+            automaton.add_word(phrase, (len(phrase), sorted(sizes.items())))
+        out: list[list] = [[] for _ in range(5)]
+        if of_phrase:
+            automaton.make_automaton()
+            for doc, rk, text in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "rk", "text")), strict=True):
+                for last, (length, sizes) in automaton.iter(text):
+                    s = last + 1 - length
+                    if s and text[s - 1] not in BLANKS:
+                        continue
+                    for n_chars, pids in sizes:
+                        e = s + n_chars
+                        if e > len(text):
+                            break
+                        if (e == len(text) or text[e] in BLANKS) and (pid := xxhash.xxh64_intdigest(text[s:e].encode()) - (1 << 63)) in pids:
+                            for column, v in zip(out, (doc, rk, pid, s, e), strict=True):
+                                column.append(v)
+        return pa.table([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 3 + [pa.int32()] * 2, strict=True)], ["doc_id", "rk", "passage", "start", "end"])
+
+    return rows.groupBy("shard").cogroup(wanted.groupBy("part")).applyInArrow(scan, "doc_id long, rk long, passage long, start int, end int")
+
+
+def occurrences(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, start, end, is_first): spans, as long as can be, that passages of two rows or more cover. is_first: it is
     the passages' first place by (doc_id, row key, start); without the other spans' text one copy of everything stays."""
-    every = written(hits(docs, shard_chars))
+    every = written(hits(docs, shard_bytes))
     places = every.groupBy("passage").agg(F.min(F.struct("doc_id", "rk", "start")).alias("first"), F.min("rk").alias("a"), F.max("rk").alias("b"), F.count("*").alias("n"), F.count_distinct("start").alias("starts"))
     # two different rows, or a row that is repeated
     confirmed = places.filter("a <> b or n > starts").select("passage", "first")

@@ -33,8 +33,8 @@ def covered(rows):
 def test_against_all_windows(spark):
     rows = [r for r in corpus(random.Random(1))]
     texts = {r[0]: r[1] for r in rows}
-    for chars in (op.SHARD_CHARS, 100):  # one shard and many
-        got = op.occurrences(frame(spark, rows), chars).collect()
+    for size in (op.SHARD_BYTES, 2000):  # one shard and many
+        got = op.occurrences(frame(spark, rows), size).collect()
         words_of, repeats = set(), set()
         for r in got:
             span = texts[r.doc_id][r.start : r.end]

@@ -124,7 +124,7 @@ def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, line, n, sketch): shingles of a line, repeated ones too, and the set of their hashes modulo SKETCH as bits."""
     for whole in batches:
         data, offsets = text_buffers(whole.column("line"))
-        for i, j in blocks(offsets, 1 << 20):
+        for i, j in blocks(offsets + SKETCH * np.arange(len(offsets)), 8 << 20):  # the bits count too
             h, rows = shingles(padded(data, int(offsets[i]), int(offsets[j])), offsets[i : j + 1] - offsets[i])
             bits = np.zeros((j - i) * SKETCH, bool)
             bits[np.repeat(np.arange(j - i) * SKETCH, np.diff(rows)) + (h & np.uint32(SKETCH - 1))] = True
@@ -182,7 +182,7 @@ def shared_counts(keys: np.ndarray, edges: np.ndarray, a: np.ndarray, b: np.ndar
     """How many numbers rows a[i] and b[i] have in common."""
     size = np.diff(edges)
     out = np.zeros(len(a), np.int64)
-    for i, j in blocks(np.concatenate([[0], np.cumsum(size[a] + size[b])]), 4_000_000):
+    for i, j in blocks(np.concatenate([[0], np.cumsum(size[a] + size[b])]), 1_000_000):
         nth = np.arange(j - i, dtype=np.uint64) << S32
         both = []
         for side in (a[i:j], b[i:j]):
@@ -203,7 +203,7 @@ def jaccard_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     for whole in batches:
         lengths = np.diff(text_buffers(whole.column(2))[1]) + np.diff(text_buffers(whole.column(3))[1])
-        for i, j in blocks(np.concatenate([[0], np.cumsum(lengths)]), 4 << 20):
+        for i, j in blocks(np.concatenate([[0], np.cumsum(lengths)]), 1 << 20):
             batch = whole.slice(i, j - i)
             ids, first, at = np.unique(np.concatenate([np.asarray(batch.column(0)), np.asarray(batch.column(1))]), return_index=True, return_inverse=True)
             own, a, b = pa.concat_arrays([batch.column(2), batch.column(3)]).take(pa.array(first)), at[: j - i], at[j - i :]

@@ -21,11 +21,17 @@ from .bpe import characters
 from .common import C1, S32, blocks, mix, padded, partitions, row_key, sized, text_buffers, without_rows, written
 from .components import components
 
-SHINGLE = 7
-THRESHOLD = 0.75
-BANDS, ROWS = 12, 4
+SHINGLE = 5
+THRESHOLD = 0.6
+BANDS, ROWS = 16, 4
+#: Longer lines are banded by longer shingles: unrelated ones share too many short ones.
+LONG_SHINGLE = 7
+#: Lines of so many shingles are banded as long, and of fewer distinct ones than FEW as short, many lines as both. As
+#: LONG <= THRESHOLD * FEW, each pair that reaches THRESHOLD has a kind in common.
+LONG, FEW = 60, 100
 #: Bits of the sketch by which pairs that can't reach THRESHOLD are refused before their texts are moved.
 SKETCH = 2048
+CODE_BITS = 9
 
 _rng = np.random.default_rng(20240607)
 MULTIPLY = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
@@ -64,6 +70,20 @@ def shingles(data: np.ndarray, offsets: np.ndarray, w: int = SHINGLE) -> tuple[n
     return h, np.concatenate([[0], np.cumsum(count)])
 
 
+def of_rows(h: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the wanted rows only, and their offsets."""
+    count = np.diff(rows)
+    return h[np.repeat(wanted, count)], np.concatenate([[0], np.cumsum(count[wanted])])
+
+
+def kinds_of(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether rows of shingles are banded as short, and whether as long. Residues are at most as many as shingles."""
+    count = np.diff(rows)
+    seen = np.zeros(len(count) * 256, bool)
+    seen[np.repeat(np.arange(len(count)) * 256, count) + (h & np.uint32(255))] = True
+    return (count > 0) & (seen.reshape(-1, 256).sum(axis=1) < FEW), count >= LONG
+
+
 def signatures(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """MinHash signatures of rows, each of one shingle at least."""
     out = np.empty((len(rows) - 1, BANDS * ROWS), np.uint32)
@@ -158,13 +178,13 @@ def likely_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def exact_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
     """Distinct shingles of each text as sorted (row << 32 | number of the shingle), and the rows' offsets. A shingle is
-    packed in one word, nine bits a character, and numbered, so equal numbers are equal shingles; None if the texts have
-    more kinds of characters than nine bits tell apart."""
+    packed in one word, CODE_BITS a character, and numbered, so equal numbers are equal shingles; None if the texts have
+    more kinds of characters than these tell apart."""
     data, offsets = text_buffers(texts)
     lo, hi = int(offsets[0]), int(offsets[-1])
     at, code = characters(padded(data, lo, hi), hi - lo, offsets[:-1] - lo)
     kinds = np.flatnonzero(np.bincount(code)) if len(code) else code
-    if len(kinds) > 1 << (63 // SHINGLE):
+    if len(kinds) > 1 << CODE_BITS:
         return None
     number = np.zeros(int(kinds[-1]) + 1 if len(kinds) else 1, np.int64)
     number[kinds] = np.arange(len(kinds))
@@ -173,8 +193,9 @@ def exact_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
     first = np.arange(count.sum()) + np.repeat(rows[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
     packed = np.zeros(len(first), np.int64)
     for k in range(SHINGLE):
-        packed = (packed << (63 // SHINGLE)) | c[first + k]
-    keys = np.unique((np.repeat(np.arange(len(texts), dtype=np.uint64), count) << S32) | pd.factorize(packed)[0].astype(np.uint64))
+        packed = (packed << CODE_BITS) | c[first + k]
+    keys = np.sort((np.repeat(np.arange(len(texts), dtype=np.uint64), count) << S32) | pd.factorize(packed)[0].astype(np.uint64))
+    keys = keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]]  # np.unique hashes, which takes many times as long
     return keys, np.searchsorted(keys, np.arange(len(texts) + 1, dtype=np.uint64) << S32)
 
 
@@ -231,12 +252,14 @@ def similar_lines(lines: DataFrame) -> DataFrame:
             data, offsets = text_buffers(batch.column("line"))
             keys, own = [], []
             for i, j in blocks(offsets, 1 << 17):
-                h, rows = shingles(padded(data, int(offsets[i]), int(offsets[j])), offsets[i : j + 1] - offsets[i])
-                has = np.flatnonzero(np.diff(rows) > 0)
-                if len(has):
-                    k = band_keys(signatures(h, rows[np.append(has, has[-1] + 1)]))
-                    keys.append(k.ravel())
-                    own.append(np.repeat(ids[i:j][has], BANDS))
+                text, at = padded(data, int(offsets[i]), int(offsets[j])), offsets[i : j + 1] - offsets[i]
+                h, rows = shingles(text, at)
+                short, long = kinds_of(h, rows)
+                for wanted, w in ((short, SHINGLE), (long, LONG_SHINGLE)):
+                    if wanted.any():
+                        k = band_keys(signatures(*of_rows(*((h, rows) if w == SHINGLE else shingles(text, at, w)), wanted)))
+                        keys.append(k.ravel())
+                        own.append(np.repeat(ids[i:j][wanted], BANDS))
             if keys:
                 yield from shards(np.concatenate(keys), [np.concatenate(own)], n)
 

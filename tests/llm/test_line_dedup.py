@@ -102,3 +102,56 @@ def test_pairs_by_sets_and_sketches():
         a, b = (np.array(x) for x in zip(*pairs, strict=True))
         left = {p for p, ok in zip(pairs, op.may_reach(n[a], bits[a], n[b], bits[b]), strict=True) if ok}
         assert want <= left and len(left) < len(pairs)
+
+
+def test_edited_lines(spark):
+    """Lines with one character or word changed inside, labelled by how they were made, and clean lines beside them."""
+    rng = random.Random(12)
+    rows, edited = [], set()
+
+    def line(least, most):
+        text = words(rng, 30)[: rng.randint(least, most)]
+        return text.strip() + "."
+
+    for d in range(0, 400, 2):
+        if d % 4:
+            a = line(30, 54)
+            k = rng.randrange(8, len(a) - 8)
+            b = a[:k] + "#" + a[k + 1 :]
+        else:
+            w = line(60, 100).split()
+            a = " ".join(w)
+            w[rng.randrange(1, len(w) - 1)] = "changed"
+            b = " ".join(w)
+        rows += [doc(d, a), doc(d + 1, b), doc(1000 + d, line(30, 100)), doc(1001 + d, line(100, 150))]
+        edited.add((d + 1, d))
+    got = {(r.doc_id, r.kept_doc_id) for r in op.duplicate_lines(frame(spark, rows)).collect()}
+    assert got <= edited
+    assert len(got) >= 0.95 * len(edited)
+
+
+def test_rules_of_any_length(spark):
+    """Lines of a few distinct shingles meet whatever their lengths."""
+    rows = [doc(k, mark * n) for k, (mark, n) in enumerate([("-", 20), ("-", 59), ("-", 70), ("-", 5000), ("=-", 40), ("=-", 90)])]
+    got = {(r.doc_id, r.kept_doc_id) for r in op.duplicate_lines(frame(spark, rows)).collect()}
+    assert got == {(1, 0), (2, 0), (3, 0), (5, 4)}
+
+
+def test_near_lines_share_a_kind():
+    """Any two lines that reach the threshold are banded as short both, or as long both."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    lines = []
+    for _ in range(300):
+        a = words(rng, rng.randint(2, 40))
+        lines += [a, a + " " + words(rng, rng.randint(1, 10)), a * rng.randint(1, 4)]
+    data, offsets = op.text_buffers(pa.array(lines))
+    short, long = op.kinds_of(*op.shingles(op.padded(data, 0, int(offsets[-1])), offsets))
+    sets = [grams(x) for x in lines]
+    for i in range(0, len(lines), 3):
+        for a, b in ((i, i + 1), (i, i + 2), (i + 1, i + 2)):
+            if len(sets[a] & sets[b]) >= op.THRESHOLD * len(sets[a] | sets[b]):
+                assert short[a] and short[b] or long[a] and long[b]
+    assert op.LONG <= op.THRESHOLD * op.FEW and np.any(~short) and np.any(~long)

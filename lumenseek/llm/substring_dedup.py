@@ -1,16 +1,18 @@
 """Substring dedup by repeated-phrase automata.
 
 1. Winnowed anchors (hashes of ANCHOR words, the least of each WINDOW + 1 - ANCHOR in a row) of all texts are grouped;
-   every passage of WINDOW words that two different texts share has an anchor that both select.
-2. Around recurring anchors all windows of WINDOW words are hashed and grouped; a window that two different texts have
-   recurs. Of each maximal run of recurring windows those at its ends and a winnowed choice between, close enough to
+   every passage of WINDOW words that two different texts share has an anchor that both select, as has one text that
+   holds it twice.
+2. Around recurring anchors all windows of WINDOW words are hashed and grouped; a window that two different texts have,
+   or one text at two places that don't overlap, recurs. Of each maximal run of recurring windows those at its ends and a winnowed choice between, close enough to
    overlap, are passages; so is a whole text of WINDOW words that several rows have.
 3. The documents are cut in shards of bounded size. The first words of the passages that a shard's documents can hold,
    told by anchors, are compiled into the shard's Aho-Corasick automaton (pyahocorasick).
 4. All documents are streamed through their shard's automaton, once each, so work follows the corpus and not its square.
    A hit is confirmed by comparing the whole passage's hash and its ends at word limits; a passage is confirmed if it
-   occurs in two rows.
-5. Overlapping occurrences in a document become one span.
+   occurs in two rows, or at two places of one that don't overlap.
+5. Overlapping occurrences in a document become one span. An occurrence that overlaps the passage's first place counts
+   from that place's end, so that removing the others leaves the first whole.
 
 Passages of a fixed length keep the hits in proportion to the repeated text; maximal runs as passages would nest in each
 other, by the square of a group of near copies.
@@ -122,16 +124,27 @@ def chosen(places: np.ndarray, h: np.ndarray) -> np.ndarray:
     return places[keep]
 
 
+def apart(texts: np.ndarray, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a text has the hash at two places that are WINDOW words apart at least, as 0 or 1 for each row."""
+    order = np.lexsort((at, h, texts))
+    texts, h, at = texts[order], h[order], at[order]
+    new = np.flatnonzero((np.diff(texts, prepend=-1) != 0) | np.append(True, h[1:] != h[:-1])[: len(h)])
+    size = np.diff(new, append=len(h))
+    out = np.zeros(len(h), np.int64)
+    out[order] = np.repeat(at[new + size - 1] - at[new] >= WINDOW, size)
+    return out
+
+
 def recurring(table: pa.Table) -> pa.Table:
-    """(text, value) for keys that two different texts have; words are [key, text, value]."""
-    t = unpack(table, 3)
+    """(text, value) for keys that two different texts have, or one twice; words are [key, text, value, twice]."""
+    t = unpack(table, 4)
     t = t[np.lexsort((t[:, 1], t[:, 0]))]
     if not len(t):
         return pa.table({"th": np.zeros(0, np.int64), "value": np.zeros(0, np.int64)})
     new = np.concatenate([[True], t[1:, 0] != t[:-1, 0]])
     group = np.cumsum(new) - 1
     other = np.concatenate([[False], (t[1:, 0] == t[:-1, 0]) & (t[1:, 1] != t[:-1, 1])])
-    t = t[np.bincount(group, weights=other)[group] > 0]
+    t = t[np.bincount(group, weights=other | (t[:, 3] > 0))[group] > 0]
     return pa.table({"th": t[:, 1], "value": t[:, 2]})
 
 
@@ -146,14 +159,16 @@ def passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             th = np.asarray(batch.column(0))
-            keys, texts = [], []
+            keys, texts, twice = [], [], []
             for i, j in blocks(offsets, 1 << 20):
                 words, _, _, edges = split(data, offsets, i, j)
                 at = anchors(words, edges)
+                row = np.searchsorted(edges, at, "right") - 1
                 keys.append(window_hashes(words, ANCHOR)[at])
-                texts.append(th[i:j][np.searchsorted(edges, at, "right") - 1])
+                texts.append(th[i:j][row])
+                twice.append(apart(row, keys[-1], at))
             k, t = np.concatenate(keys), np.concatenate(texts)
-            yield from shards(k, [t, k], n)
+            yield from shards(k, [t, k, np.concatenate(twice)], n)
 
     found = rows.mapInArrow(select, "part int, data binary").groupBy("part").applyInArrow(recurring, "th long, value long")
     near = written(found.groupBy("th").agg(F.collect_set("value").alias("keys")))
@@ -162,7 +177,7 @@ def passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             th, wanted = np.asarray(batch.column(0)), batch.column(2)
-            keys, texts, places = [], [], []
+            keys, texts, places, twice = [], [], [], []
             for i in range(len(batch)):
                 words, *_ = split(data, offsets, i, i + 1)
                 h = window_hashes(words, ANCHOR)
@@ -175,7 +190,8 @@ def passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 keys.append(w[place])
                 texts.append(np.full(len(place), th[i]))
                 places.append(place)
-            yield from shards(np.concatenate(keys), [np.concatenate(texts), np.concatenate(places)], n)
+                twice.append(apart(np.zeros(len(place), np.int64), w[place], place))
+            yield from shards(np.concatenate(keys), [np.concatenate(c) for c in (texts, places, twice)], n)
 
     def in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sets of places as runs: first place and length of each, one after the other."""
@@ -263,13 +279,15 @@ def hits(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, start, end, is_first): spans, as long as can be, that passages of two rows or more cover. is_first: it is
+    """(doc_id, start, end, is_first): spans, as long as can be, that passages of two rows or places cover. is_first: it is
     the passages' first place by (doc_id, row key, start); without the other spans' text one copy of everything stays."""
     every = written(hits(docs, shard_bytes))
-    places = every.groupBy("passage").agg(F.min(F.struct("doc_id", "rk", "start")).alias("first"), F.min("rk").alias("a"), F.max("rk").alias("b"), F.count("*").alias("n"), F.count_distinct("start").alias("starts"))
-    # two different rows, or a row that is repeated
-    confirmed = places.filter("a <> b or n > starts").select("passage", "first")
-    rows = every.distinct().join(confirmed, "passage").select("doc_id", "rk", "start", "end", (F.col("rk").eqNullSafe(F.col("first.rk")) & (F.col("start") == F.col("first.start"))).alias("is_first"))
+    places = every.groupBy("passage").agg(F.min(F.struct("doc_id", "rk", "start", "end")).alias("first"), F.min("rk").alias("a"), F.max("rk").alias("b"), F.count("*").alias("n"), F.count_distinct("start").alias("starts"), F.max("start").alias("last_start"), F.min("end").alias("first_end"))
+    # two different rows, a row that is repeated, or two places in a row that don't overlap
+    confirmed = places.filter("a <> b or n > starts or last_start >= first_end").select("passage", "first")
+    same, is_first = F.col("rk").eqNullSafe(F.col("first.rk")), F.col("start") == F.col("first.start")
+    start = F.when(same & ~is_first, F.greatest("start", "first.end")).otherwise(F.col("start"))
+    rows = every.distinct().join(confirmed, "passage").select("doc_id", "rk", start.alias("start"), "end", (same & is_first).alias("is_first"))
     own = Window.partitionBy("rk", "is_first").orderBy("start", "end")
     reached = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("new", F.when(reached.isNull() | (F.col("start") > reached), 1).otherwise(0)).withColumn("island", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))

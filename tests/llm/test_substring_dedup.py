@@ -62,3 +62,24 @@ def test_odd_rows(spark):
     got = op.occurrences(clash(frame(spark, rows))).collect()
     assert [(r.doc_id, r.start, r.end) for r in got] == [(6, 0, len(rows[5][1]))]
     assert op.occurrences(frame(spark, [])).count() == 0
+
+
+def test_repeats_inside_one_document(spark):
+    rng = random.Random(4)
+    a, b, near = words(rng, 60), words(rng, 120), words(rng, 30)
+    rows = [doc(1, f"{words(rng, 40)} {a} {words(rng, 30)} {a} {words(rng, 9)}"), doc(2, f"{b} {b}\n{words(rng, 200)} {b}"), doc(3, words(rng, 400)), doc(4, f"{near} {near} {words(rng, 100)}")]
+    texts = {r[0]: r[1] for r in rows}
+    for size in (op.SHARD_BYTES, 500):
+        got = op.occurrences(frame(spark, rows), size).collect()
+        assert {r.doc_id for r in got} == {1, 2}
+        assert sorted(texts[1][r.start : r.end] for r in got if r.doc_id == 1) == [a, a]
+        assert [(r.start, r.end) for r in got if r.doc_id == 1 and r.is_first] == [(texts[1].index(a), texts[1].index(a) + len(a))]
+        assert {k for r in got if r.doc_id == 2 for k in range(r.start, r.end)} >= {i + k for i in (0, len(b) + 1, len(texts[2]) - len(b)) for k in range(len(b))}
+        assert [(r.start, r.end) for r in got if r.doc_id == 2 and r.is_first] == [(0, len(b))]
+
+
+def test_overlapping_repeats_leave_the_first(spark):
+    rows = [doc(1, " ".join(["word"] * 120)), doc(2, " ".join(["junk"] * 99))]
+    got = sorted((r.doc_id, r.is_first, r.start, r.end) for r in op.occurrences(frame(spark, rows)).collect())
+    # 99 words have no two places that don't overlap
+    assert got == [(1, False, 249, 599), (1, True, 0, 249)]

@@ -9,8 +9,8 @@ The index is cut in shards of rows, each with its own inverted files. Each block
 its own, and the shards' best are merged, as in a search engine: work per task is bounded whatever the table's size.
 
 Defined cases: null vectors, vectors with a null or of norm 0, and vectors of another length than most have no neighbours
-and are nobody's; ties of similarity go to the lesser vec_id; rows that repeat a vec_id are each other's neighbours only by
-their vectors; tables under top + 1 rows give all there are.
+and are nobody's; ties of similarity go to the lesser vec_id; rows that repeat a vec_id are one item,
+near another by their nearest vectors, that isn't its own neighbour and comes once among those of others; tables under top + 1 rows give all there are.
 """
 
 from __future__ import annotations
@@ -53,12 +53,17 @@ def search_shard(q: np.ndarray, q_ids: np.ndarray, q_near: np.ndarray, s: np.nda
     worth = np.arange(prefix, 0, -1, dtype=np.int16)
     files = np.zeros((m, len(s_ids)), np.int16)
     files[s_near, np.arange(len(s_ids))[:, None]] = worth
+    repeated = len(np.unique(s_ids)) < len(s_ids)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i in range(len(q_ids)):
         saved = np.minimum(files[q_near[i]], worth[:, None]).sum(axis=0, dtype=np.int16)
         near = np.argpartition(saved, len(saved) - take)[len(saved) - take :] if take < len(saved) else np.arange(len(saved))
         near = near[s_ids[near] != q_ids[i]]
         sims = s[near] @ q[i]
+        if repeated:  # the nearest row of each id
+            order = np.lexsort((-sims, s_ids[near]))
+            order = order[np.diff(s_ids[near][order], prepend=s_ids[near][order[:1]] - 1) != 0]
+            near, sims = near[order], sims[order]
         if len(sims) > 4 * top:
             best = np.argpartition(-sims, top)
             best = best[: top + 1]
@@ -79,8 +84,9 @@ def neighbours(vectors: DataFrame, top: int = 10, pivots: int = PIVOTS, prefix:
     most = usable.groupBy(width.alias("w")).count().orderBy(F.desc("count"), "w").first()
     if most is None:
         return spark.createDataFrame([], "vec_id long, neighbour_id long, rank int, similarity double")
-    usable = usable.filter(width == most["w"])
-    n = most["count"]
+    usable = usable.filter(width == most["w"]).dropDuplicates(["vec_id", "embedding"])
+    rows = usable.agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids")).first()
+    n = rows["n"]
     some = usable.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(SAMPLE).collect()  # so many whatever the table
     sample = np.array([r.embedding for r in some], np.float32)
     pivot = spread_pivots(sample / np.linalg.norm(sample, axis=1, keepdims=True), pivots)
@@ -114,5 +120,7 @@ def neighbours(vectors: DataFrame, top: int = 10, pivots: int = PIVOTS, prefix:
     s = packed.select(F.col("block").alias("s_block"), *(F.col(c).alias(f"s_{c}") for c in ("ids", "x", "nearest")))
     pairs = q.crossJoin(s).repartition(max(1, blocks * blocks), "q_block", "s_block").drop("q_block", "s_block")
     best = pairs.mapInArrow(search, "vec_id long, neighbour_id long, similarity double")
+    if rows["ids"] < n:
+        best = best.groupBy("vec_id", "neighbour_id").agg(F.max("similarity").alias("similarity"))
     w = Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbour_id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("vec_id", "neighbour_id", "rank", "similarity")

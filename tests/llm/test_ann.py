@@ -36,3 +36,25 @@ def test_odd_rows(spark):
     assert {r.vec_id for r in got} == set(range(5))
     assert all(sum(r.vec_id == i for r in got) == 4 for i in range(5))
     assert op.neighbours(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [4096, 40])
+def test_repeated_ids(spark, monkeypatch, block):
+    monkeypatch.setattr(op, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 16)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    other = [(i, rng.normal(size=16).astype(np.float32).tolist()) for i in range(0, 60, 3) for _ in range(12)]
+    schema = "vec_id long, embedding array<float>"
+    once, twice, several = ({v: {} for v in range(60)} for _ in range(3))
+    for out, own in ((once, rows), (twice, rows + rows + rows[:20]), (several, rows + other)):
+        for r in op.neighbours(spark.createDataFrame(own, schema)).collect():
+            out[r.vec_id][r.rank] = (r.neighbour_id, round(r.similarity, 4))
+    assert twice == once
+    vectors = [np.array([v for j, v in rows + other if j == i]) for i in range(60)]
+    unit = [v / np.linalg.norm(v, axis=1, keepdims=True) for v in vectors]
+    for i in range(60):
+        got = [several[i][k][0] for k in range(1, 11)]
+        assert len(set(got)) == 10 and i not in got
+        best = np.array([-9 if j == i else (unit[i] @ unit[j].T).max() for j in range(60)])
+        assert len(set(got) & set(np.argsort(-best)[:10].tolist())) >= 8

@@ -7,6 +7,7 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ann, bpe, exact_dedup, html_text, line_dedup, lm_score, mixing, simhash, substring_dedup, toxicity
 
@@ -59,10 +60,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxic documents (P(severity > 0) of a half at least) with their expected severity."""
+    """Each document's expected severity and probabilities; is_toxic: P(severity > 0) is a half at least."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, ["doc_id"]).filter("p_toxic >= 0.5")
+    return toxicity.score(docs, model, ["doc_id"]).withColumn("is_toxic", F.expr("p_toxic >= 0.5"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,3 +78,16 @@ def test_odd_rows(spark):
     none = op.train(frame(spark, rows), spark.createDataFrame([], known.schema))
     assert op.score(frame(spark, odd), none, ["doc_id"]).filter("p_toxic >= 0.5").count() == 0
     assert op.score(frame(spark, []), model, ["doc_id"]).count() == 0
+
+
+def test_query_scores_every_document(spark, tmp_path):
+    from lumenseek.llm.queries import op7_toxicity
+
+    rng = random.Random(6)
+    rows, labels = labelled(rng, 200)
+    frame(spark, [*rows, doc(500, None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = op7_toxicity(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == sorted([r[0] for r in rows] + [500])
+    assert all(r.is_toxic == (r.p_toxic >= 0.5) and r.expected_severity is not None for r in got)
+    assert 0 < sum(r.is_toxic for r in got) < len(got)

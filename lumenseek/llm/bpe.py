@@ -22,11 +22,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import blocks, hash_spans, padded, text_buffers, valid
+from .common import blocks, bounded, hash_spans, lean, padded, text_buffers, valid
 
 NONE = np.int32(2**31 - 1)
-#: Bytes of text that are encoded together.
-BLOCK = 12 << 20
+#: Bytes of text that are encoded together, and that are cut into pre-tokens at once (some forty times as many bytes).
+BLOCK, PIECE = 4 << 20, 1 << 19
 SPACE, LETTER, NUMBER, OTHER = range(4)
 
 
@@ -61,9 +61,17 @@ def characters(data: np.ndarray, n: int, bounds: np.ndarray) -> tuple[np.ndarray
     return at, np.minimum(code, 0x10FFFF)
 
 
-def pretokens(data: np.ndarray, n: int, offsets: np.ndarray) -> np.ndarray:
-    """Byte positions at which pre-tokens begin, for rows of padded data: contractions, runs of letters, of numbers or of
-    other characters with a blank before them, and white space."""
+def pretokens(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Byte positions at which pre-tokens begin, for rows of padded data, piece by piece."""
+    pieces = []
+    for i, j in blocks(offsets, PIECE):
+        lo, hi = int(offsets[i]), int(offsets[j])
+        pieces.append(_pretokens(data[lo : hi + 16], hi - lo, offsets[i : j + 1] - lo).astype(np.int32) + np.int32(lo))
+    return np.concatenate(pieces) if pieces else np.zeros(0, np.int32)
+
+
+def _pretokens(data: np.ndarray, n: int, offsets: np.ndarray) -> np.ndarray:
+    """Contractions, runs of letters, of numbers or of other characters with a blank before them, and white space."""
     at, code = characters(data, n, offsets[:-1])
     m = len(at)
     if not m:
@@ -183,18 +191,19 @@ class ByteBpe:
         """Ids of the words data[offsets[i]:offsets[i+1]], none of them empty, and the words' offsets among the ids."""
         n = len(data)
         tok = np.append(self.of_byte[data], np.int32(self.size))  # position n is the end of every word
-        nxt = np.arange(1, n + 2)
+        nxt = np.arange(1, n + 2, dtype=np.int32)
         nxt[offsets[1:] - 1] = n
-        prv = np.arange(-1, n)
+        prv = np.arange(-1, n, dtype=np.int32)
         prv[offsets[:-1]] = n
-        prv = np.append(prv, n)
+        prv = np.append(prv, np.int32(n))
         rank_at = np.full(n + 1, NONE, np.int32)
         rank_at[: n - 1] = self.byte_pairs[data[:-1], data[1:]]
         rank_at[offsets[1:] - 1] = NONE
         alive = np.ones(n, bool)
         queue = RankQueue()
-        has = np.flatnonzero(rank_at < NONE)
+        has = np.flatnonzero(rank_at < NONE).astype(np.int32)
         queue.push_groups(rank_at[has], has)
+        del has
         right, left = np.full(self.size + 1, NONE, np.int32), np.full(self.size + 1, NONE, np.int32)
         while (top := queue.pop()) is not None:
             rank, parts = top
@@ -236,12 +245,13 @@ class ByteBpe:
 
     def encode_rows(self, data: np.ndarray, n: int, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows of padded data, and the rows' offsets among them."""
-        starts = pretokens(data, n, offsets)
+        starts = pretokens(data, offsets)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        ends = np.append(starts[1:], n)
+        ends = np.append(starts[1:], np.int32(n))
         h = hash_spans(data, starts, ends - starts)
         code, distinct = pd.factorize(h)
+        del h
         where = np.empty(len(distinct), np.int64)
         where[code[::-1]] = np.arange(len(code))[::-1]  # each word's first place
         same = bytes_equal(data, starts, ends, where[code])
@@ -250,6 +260,7 @@ class ByteBpe:
             code[odd] = len(where) + np.arange(len(odd))
             where = np.append(where, odd)
         length = (ends - starts)[where]
+        del same, ends
         words, at = gathered(data, starts[where], length)
         ids, id_at = self.encode_words(words, at)
         count = np.diff(id_at)[code]
@@ -311,7 +322,8 @@ def encode(docs: DataFrame, path: str, keys: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:k]), lists, pa.array(np.diff(at).astype(np.int32), mask=null), pa.array(ok, mask=null)], [*keys, "token_ids", "n_tokens", "round_trip"])
 
     types = dict(docs.dtypes)
-    return docs.select(*keys, "text").mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keys) + ", token_ids array<int>, n_tokens int, round_trip boolean")
+    bounded(docs.sparkSession)
+    return docs.select(*keys, "text").mapInArrow(lean(run), ", ".join(f"`{c}` {types[c]}" for c in keys) + ", token_ids array<int>, n_tokens int, round_trip boolean")
 
 
 def decode(ids: DataFrame, path: str, keys: list[str]) -> DataFrame:
@@ -332,4 +344,5 @@ def decode(ids: DataFrame, path: str, keys: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], text], [*keys, "text"])
 
     types = dict(ids.dtypes)
-    return ids.select(*keys, "token_ids").mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keys) + ", text string")
+    bounded(ids.sparkSession)
+    return ids.select(*keys, "token_ids").mapInArrow(lean(run), ", ".join(f"`{c}` {types[c]}" for c in keys) + ", text string")

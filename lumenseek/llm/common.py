@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,57 @@ from pyspark.sql.window import Window
 BROADCAST_ROWS = 1_000_000
 
 
+#: Bytes of one Arrow batch of texts, in the JVM and in a worker; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Cut Arrow batches by bytes: ten thousand rows, Spark's default, are as large as their texts. A lower bound that the
+    session has stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+@cache
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library: nothing to ask for
+        return lambda _: 0
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving what the allocators keep back at the end of a task: workers outlive tasks and stages."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return task
+
+
+def lean_group(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """lean for functions of a group, or of two."""
+
+    def one(a: pa.Table) -> pa.Table:
+        try:
+            return run(a)
+        finally:
+            _trim()(0)
+
+    def two(a: pa.Table, b: pa.Table) -> pa.Table:
+        try:
+            return run(a, b)
+        finally:
+            _trim()(0)
+
+    return one if run.__code__.co_argcount == 1 else two
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; a temporary one only in local mode where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded, lean
+
 #: The labelled table: words and link density of predecessor, block and successor; 1 is content.
 LABELLED = np.array(
     [
@@ -149,4 +151,5 @@ def extract(pages: DataFrame, labelled: np.ndarray = LABELLED) -> DataFrame:
             rows = [(None, 0, 0) if p is None else extract_page(p, tree) for p in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())], ["page_id", "text", "n_blocks", "n_content"])
 
-    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, "page_id long, text string, n_blocks int, n_content int")
+    bounded(pages.sparkSession)
+    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(lean(run), "page_id long, text string, n_blocks int, n_content int")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import characters
-from .common import C1, S32, blocks, mix, padded, partitions, row_key, sized, text_buffers, without_rows, written
+from .common import C1, S32, blocks, bounded, lean, lean_group, mix, padded, partitions, row_key, sized, text_buffers, without_rows, written
 from .components import components
 
 SHINGLE = 5
@@ -242,6 +242,7 @@ def similar_lines(lines: DataFrame) -> DataFrame:
     """(id, root) of lines in components of two different lines or more, but for the roots."""
     spark = lines.sparkSession
     n = partitions(spark)
+    bounded(spark)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,10 +264,10 @@ def similar_lines(lines: DataFrame) -> DataFrame:
             if keys:
                 yield from shards(np.concatenate(keys), [np.concatenate(own)], n)
 
-    members = written(lines.select("id", "line").mapInArrow(sign, "part int, data binary").groupBy("part").applyInArrow(buckets, "bucket long, a long, b long"))
+    members = written(lines.select("id", "line").mapInArrow(lean(sign), "part int, data binary").groupBy("part").applyInArrow(lean_group(buckets), "bucket long, a long, b long"))
     wanted = written(members.select(F.col("b").alias("id")).distinct())
     texts = lines.select("id", "line").join(sized(wanted), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-    texts = written(texts.mapInArrow(sketched, "id long, line string, n int, sketch binary"))
+    texts = written(texts.mapInArrow(lean(sketched), "id long, line string, n int, sketch binary"))
 
     def sides(pairs: DataFrame, *columns: str) -> DataFrame:
         for s in "ab":
@@ -274,8 +275,8 @@ def similar_lines(lines: DataFrame) -> DataFrame:
         return pairs.select("a", "b", *(f"{c}_{s}" for s in "ab" for c in columns))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        likely = written(sides(pairs.distinct(), "n", "sketch").mapInArrow(likely_pairs, "a long, b long"))
-        return written(sides(likely, "line").mapInArrow(jaccard_pairs, "a long, b long"))
+        likely = written(sides(pairs.distinct(), "n", "sketch").mapInArrow(lean(likely_pairs), "a long, b long"))
+        return written(sides(likely, "line").mapInArrow(lean(jaccard_pairs), "a long, b long"))
 
     # Each bucket's least line against the others; then, in buckets that this leaves in several components, all pairs
     # across components. A pair that is already connected can't change the components, so this equals trying all pairs.

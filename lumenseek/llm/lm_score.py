@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import C1, MASK, S32, blocks, mix, padded, partitions, text_buffers, u64_at, written
+from .common import C1, MASK, S32, blocks, bounded, lean, lean_group, mix, padded, partitions, text_buffers, u64_at, written
 
 DEPTH = 5
 TOP = 2  # contexts of so many bytes own a subtree
@@ -159,7 +159,7 @@ def count_grams(docs: DataFrame, n: int) -> DataFrame:
         keys, counts = _packed(table)
         return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "data": pa.array([np.column_stack([keys.view(np.int64), counts]).tobytes()], pa.binary()), "grams": pa.array([len(keys)], pa.int64())})
 
-    return docs.select("text").filter("text is not null").mapInArrow(run, "part int, data binary").groupBy("part").applyInArrow(add, "part int, data binary, grams long")
+    return docs.select("text").filter("text is not null").mapInArrow(lean(run), "part int, data binary").groupBy("part").applyInArrow(lean_group(add), "part int, data binary, grams long")
 
 
 def model(docs: DataFrame) -> DataFrame:
@@ -200,9 +200,9 @@ def model(docs: DataFrame) -> DataFrame:
         bits = -np.log2(np.where(bit == 1, p, 1 - p)).reshape(-1, 8).sum(axis=1)
         return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "data": pa.array([np.column_stack([keys.view(np.int64), bits.view(np.int64)]).tobytes()], pa.binary()), "grams": pa.array([len(keys)], pa.int64())})
 
-    top = table.groupBy("part").applyInArrow(tops, "part int, node long, n0 long, n1 long, log_w double").withColumn("one", F.lit(0))
+    top = table.groupBy("part").applyInArrow(lean_group(tops), "part int, node long, n0 long, n1 long, log_w double").withColumn("one", F.lit(0))
     head = top.groupBy("one").applyInArrow(heads, "part int, node long, said double, left double")
-    return written(table.groupBy("part").cogroup(written(head).groupBy("part")).applyInArrow(finish, "part int, data binary, grams long"))
+    return written(table.groupBy("part").cogroup(written(head).groupBy("part")).applyInArrow(lean_group(finish), "part int, data binary, grams long"))
 
 
 class Lookup:
@@ -251,6 +251,7 @@ def score(docs: DataFrame, shard_grams: int = SHARD_GRAMS) -> DataFrame:
     The model is streamed past the documents in shards of at most about shard_grams grams, so that no task and no
     broadcast holds more, however large the corpus: one scan for each shard, and no text is shuffled."""
     spark = docs.sparkSession
+    bounded(spark)
     table = model(docs)
     sizes = table.select("part", "grams").orderBy("part").collect()
     shards: list[list[int]] = []
@@ -282,7 +283,7 @@ def score(docs: DataFrame, shard_grams: int = SHARD_GRAMS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(batch.columns) if batch.schema.names[k] != "text"), pa.array(np.diff(offsets)), pa.array(bits)], [*(k for k in batch.schema.names if k != "text"), "n_bytes", "bits"])
 
         keys = ", ".join(f"{k} long" for k in ids.columns if k != "text")
-        return ids.mapInArrow(run, f"{keys}, n_bytes long, bits double")
+        return ids.mapInArrow(lean(run), f"{keys}, n_bytes long, bits double")
 
     if len(shards) == 1:
         out = scan(shards[0], rows)

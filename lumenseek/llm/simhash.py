@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import APART, C1, C2, blocks, folded, hash_spans, mix, padded, partitions, row_key, sized, text_buffers, without_rows, word_spans, written
+from .common import APART, C1, C2, blocks, bounded, folded, hash_spans, lean, lean_group, mix, padded, partitions, row_key, sized, text_buffers, without_rows, word_spans, written
 from .components import components, forest
 from .line_dedup import shards, unpack
 
@@ -134,8 +134,9 @@ def signed(docs: DataFrame) -> DataFrame:
                     own = pa.array(has + i)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *(pa.array(f[:, w].view(np.int64)) for w in range(WORDS64))], ["doc_id", "rk", *(f"f{w}" for w in range(WORDS64))])
 
+    bounded(docs.sparkSession)
     rows = docs.select("doc_id", "text").filter("text is not null").select(F.col("doc_id").cast("long"), row_key(docs).alias("rk"), "text")
-    return rows.mapInArrow(run, "doc_id long, rk long, " + ", ".join(f"f{w} long" for w in range(WORDS64)))
+    return rows.mapInArrow(lean(run), "doc_id long, rk long, " + ", ".join(f"f{w} long" for w in range(WORDS64)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -153,7 +154,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             yield from shards(keys, [*(f[many, w] for w in range(WORDS64)), ids[many]], n)
 
     distinct = table.groupBy("id").agg(*(F.first(f).alias(f) for f in fs)).select(*fs, "id")
-    edges = distinct.mapInArrow(place, "part int, data binary").groupBy("part").applyInArrow(bucket_pairs, "a long, b long")
+    edges = distinct.mapInArrow(lean(place), "part int, data binary").groupBy("part").applyInArrow(lean_group(bucket_pairs), "a long, b long")
     roots = written(components(edges))
     groups = written(table.select("doc_id", "rk", "id").join(sized(roots), "id", "left").select("doc_id", "rk", F.coalesce("root", "id").alias("root")))
     kept = groups.groupBy("root").agg(F.min(F.struct("doc_id", "rk")).alias("kept"), F.count("*").alias("n")).filter("n > 1").select("root", "kept")

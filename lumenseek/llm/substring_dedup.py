@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import C1, SPACE, blocks, hash_spans, mix, padded, partitions, text_buffers, word_spans, written
+from .common import C1, SPACE, blocks, bounded, hash_spans, lean, lean_group, mix, padded, partitions, text_buffers, word_spans, written
 from .line_dedup import shards, unpack
 
 WINDOW = 50
@@ -153,6 +153,7 @@ def passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pid is the xxHash64 of the passage; its key is the least anchor of its first WINDOW words. Winnowing makes every text
     with a passage select that anchor too, so no text with it is left out. Copies of one text have its hash as a key."""
     n = partitions(docs.sparkSession)
+    bounded(docs.sparkSession)
     rows = docs.select("text").filter("text is not null").select(F.xxhash64("text").alias("th"), "text")
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +171,7 @@ def passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             k, t = np.concatenate(keys), np.concatenate(texts)
             yield from shards(k, [t, k, np.concatenate(twice)], n)
 
-    found = rows.mapInArrow(select, "part int, data binary").groupBy("part").applyInArrow(recurring, "th long, value long")
+    found = rows.mapInArrow(lean(select), "part int, data binary").groupBy("part").applyInArrow(lean_group(recurring), "th long, value long")
     near = written(found.groupBy("th").agg(F.collect_set("value").alias("keys")))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +208,7 @@ def passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         size = texts.agg(F.count("*") + F.coalesce(F.sum(F.size(entries)), F.lit(0))).first()[0]
         return rows.join(F.broadcast(texts) if size <= BROADCAST_ENTRIES else texts, "th")
 
-    again = join(near, "keys").mapInArrow(windows, "part int, data binary").groupBy("part").applyInArrow(recurring, "th long, value long")
+    again = join(near, "keys").mapInArrow(lean(windows), "part int, data binary").groupBy("part").applyInArrow(lean_group(recurring), "th long, value long")
     runs = again.groupBy("th").agg(F.collect_set("value").alias("places")).mapInArrow(in_runs, "th long, runs array<int>")
     whole = rows.groupBy("th").count().filter("count > 1").select("th", F.lit(True).alias("whole"))
     spans = written(runs.join(whole, "th", "full").select("th", F.coalesce("runs", F.array().cast("array<int>")).alias("runs"), F.coalesce("whole", F.lit(False)).alias("whole")))
@@ -235,7 +236,7 @@ def passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     out["key"].append(th if to_copies else int(h[s : s + WINDOW - ANCHOR + 1].view(np.uint64).min().view(np.int64)))
             yield pa.RecordBatch.from_pydict(out, pa.schema([("pid", pa.int64()), ("phrase", pa.string()), ("n_chars", pa.int32()), ("key", pa.int64())]))
 
-    found = join(spans, "runs").select("th", "text", "runs", "whole").mapInArrow(cut, "pid long, phrase string, n_chars int, key long").dropDuplicates(["pid", "key"])
+    found = join(spans, "runs").select("th", "text", "runs", "whole").mapInArrow(lean(cut), "pid long, phrase string, n_chars int, key long").dropDuplicates(["pid", "key"])
     routes = near.select("th", F.explode("keys").alias("key")).unionByName(spans.filter("whole").select("th", F.col("th").alias("key")))
     return written(found), routes
 
@@ -275,7 +276,7 @@ def hits(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
                                 column.append(v)
         return pa.table([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 3 + [pa.int32()] * 2, strict=True)], ["doc_id", "rk", "passage", "start", "end"])
 
-    return rows.groupBy("shard").cogroup(wanted.groupBy("part")).applyInArrow(scan, "doc_id long, rk long, passage long, start int, end int")
+    return rows.groupBy("shard").cogroup(wanted.groupBy("part")).applyInArrow(lean_group(scan), "doc_id long, rk long, passage long, start int, end int")
 
 
 def occurrences(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, blocks, folded, text_buffers, u64_at, written
+from .common import SPACE, blocks, bounded, folded, lean, text_buffers, u64_at, written
 
 BITS, GRAM = 20, 5
 TO_BLANK = np.where(SPACE, 32, np.arange(256)).astype(np.uint8)
@@ -112,12 +112,13 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, features
     table has no finer grade. Features: those most unlike in document frequency between clean and toxic rows.
     Rows with a null label, id or text don't count. Without rows of both kinds the model predicts the least grade.
     """
+    bounded(docs.sparkSession)
     half = max_labelled // 2
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("severity")).filter("doc_id is not null and severity is not null and severity >= 0").groupBy("doc_id").agg(F.max("severity").alias("severity"))
     order = F.xxhash64(F.col("doc_id"), F.lit(17))
     some = written(known.filter("severity = 0").orderBy(order, "doc_id").limit(half).unionByName(known.filter("severity > 0").orderBy(order, "doc_id").limit(half)))
     rows = written(docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(some), "doc_id"))
-    got = rows.mapInArrow(_sample_counts, "feature int, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    got = rows.mapInArrow(lean(_sample_counts), "feature int, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     sizes = {bool(r[0]): r[1] for r in rows.groupBy(F.col("severity") > 0).count().collect()}
     n0, n1 = sizes.get(False, 0), sizes.get(True, 0)
     if not n0 or not n1:
@@ -142,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, features
                     counts.append(k.astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("severity"), pa.array(cols, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "severity", "cols", "counts"])
 
-    table = sorted(rows.mapInArrow(vectors, "doc_id long, severity int, cols array<int>, counts array<int>").collect(), key=lambda r: r.doc_id)
+    table = sorted(rows.mapInArrow(lean(vectors), "doc_id long, severity int, cols array<int>, counts array<int>").collect(), key=lambda r: r.doc_id)
     x = [(np.array(r.cols, int), np.array(r.counts, float)) for r in table]
     y = np.array([r.severity for r in table])
     if y.max() == 1 and severity_grades > 1:
@@ -182,6 +183,7 @@ def score(docs: DataFrame, model: OrdinalModel, keys: list[str], names: list[str
             p = m.above(s)
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p >= 0.5).sum(axis=1).astype(np.int32))], [*keys, *names])
 
+    bounded(docs.sparkSession)
     used_columns = docs.select(*(f"`{k}`" for k in keys), *(["text"] if "text" not in keys else []))
     added = zip(names, (T.DoubleType(), T.DoubleType(), T.IntegerType()), strict=True)
-    return used_columns.mapInArrow(run, T.StructType([*used_columns.schema.fields[:n], *(T.StructField(k, t) for k, t in added)]))
+    return used_columns.mapInArrow(lean(run), T.StructType([*used_columns.schema.fields[:n], *(T.StructField(k, t) for k, t in added)]))

@@ -35,7 +35,7 @@ def _sha(text: str) -> str:
 
 def query(sql: str | None = None, *tables: str) -> Callable[[Callable[[Index], DataFrame]], Callable[[Index], DataFrame]]:
     def register(f: Callable[[Index], DataFrame]) -> Callable[[Index], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(corpus.index(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(corpus.stored(spark, sf_dir))
         if sql is not None:
             ORACLES[f.__name__] = with_tables(*tables, body=sql) if tables else sql
         return f
@@ -93,7 +93,7 @@ def _search_sql(*plans: tuple[str, str, bool, str, bool], terms: tuple[str, ...]
 
 
 def searched(name: str, text: str, *plans: tuple[str, str, bool, str, bool], terms: tuple[str, ...] = (), **how: bool) -> None:
-    QUERIES[name] = lambda spark, sf_dir: search.ranked(corpus.index(spark, sf_dir), request(text, **how)).select(search.RESULT)
+    QUERIES[name] = lambda spark, sf_dir: search.ranked(corpus.stored(spark, sf_dir), request(text, **how)).select(search.RESULT)
     ORACLES[name] = _search_sql(*plans, terms=terms)
 
 
@@ -129,9 +129,9 @@ searched("search_symbol_like_term", "ontion", (_ci("ontion"), _IS_LIVE, False, "
 
 _PAGE = "SELECT *, CAST(row_number() OVER (ORDER BY definition_matches DESC, total_score DESC, repository, commit_sha, file_path, chunk_index, file_id) AS INTEGER) AS position FROM found QUALIFY position > {0} AND position <= {1} ORDER BY position"
 for _name, _page in (("search_page_1", 1), ("search_page_2", 2)):
-    QUERIES[_name] = lambda spark, sf_dir, p=_page: search.search(corpus.index(spark, sf_dir), request("thonin", p)).select(*search.RESULT, "position")
+    QUERIES[_name] = lambda spark, sf_dir, p=_page: search.search(corpus.stored(spark, sf_dir), request("thonin", p)).select(*search.RESULT, "position")
     ORACLES[_name] = _search_sql((_ci("thonin"), _IS_LIVE, False, "thonin", False), terms=("thonin",), tail=_PAGE.format(25 * (_page - 1), 25 * _page))
-QUERIES["search_has_more"] = lambda spark, sf_dir: search.has_more(corpus.index(spark, sf_dir), request("thonin"))
+QUERIES["search_has_more"] = lambda spark, sf_dir: search.has_more(corpus.stored(spark, sf_dir), request("thonin"))
 ORACLES["search_has_more"] = _search_sql((_ci("thonin"), _IS_LIVE, False, "thonin", False), terms=("thonin",), tail="SELECT count(*) AS total, count(*) > 25 AS has_more FROM found")
 _TION = ((_ci("tion"), "true", False, "tion", True),)
 for _name, _facet, _sql in (
@@ -140,7 +140,7 @@ for _name, _facet, _sql in (
     ("facet_branches", facets.branches, "SELECT b AS value, count(*) AS count FROM (SELECT unnest(branches) AS b FROM found) GROUP BY 1 ORDER BY count DESC, lower(value), value LIMIT 8"),
     ("facet_file_types", facets.file_types, "SELECT lower(regexp_extract(file_path, '([^.]*)$', 1)) AS value, count(*) AS count FROM found GROUP BY 1 ORDER BY count DESC, value LIMIT 10"),
 ):
-    QUERIES[_name] = lambda spark, sf_dir, f=_facet: f(search.ranked(corpus.index(spark, sf_dir), request("tion historical:yes")))
+    QUERIES[_name] = lambda spark, sf_dir, f=_facet: f(search.ranked(corpus.stored(spark, sf_dir), request("tion historical:yes")))
     ORACLES[_name] = _search_sql(*_TION, terms=("tion",), tail=_sql)
 
 
@@ -271,7 +271,7 @@ for _name, _f, _typed, _sql, _need in (
     ("autocomplete_branches", paths.complete_branches, "a", "SELECT DISTINCT branch AS value FROM (SELECT branch FROM branches UNION SELECT branch FROM snapshots) WHERE contains(lower(branch), 'a') ORDER BY 1 LIMIT 10", ("branches", "snapshots")),
     ("autocomplete_symbols", paths.complete_symbols, "Tha", "WITH p AS (SELECT DISTINCT name_lc FROM symbols WHERE starts_with(name_lc, 'tha') ORDER BY 1 LIMIT 10) SELECT s.name_lc, min(f.repository) AS repository, min(f.file_path) AS file_path FROM p JOIN symbols s USING (name_lc) JOIN files f USING (content_hash) GROUP BY 1", ("symbols", "files")),
 ):
-    QUERIES[_name] = lambda spark, sf_dir, f=_f, t=_typed: f(corpus.index(spark, sf_dir), t)
+    QUERIES[_name] = lambda spark, sf_dir, f=_f, t=_typed: f(corpus.stored(spark, sf_dir), t)
     ORACLES[_name] = with_tables(*_need, body=_sql)
 
 
@@ -520,7 +520,7 @@ for _mode, _keys in (("repo_path_line", "repository, file_path, line"), ("repo_p
 
     def _batch(spark: SparkSession, sf_dir: str, mode: str = _mode) -> DataFrame:
         """Three terms searched on their own, merged in the order of the terms and of their ranks."""
-        ix = corpus.index(spark, sf_dir)
+        ix = corpus.stored(spark, sf_dir)
         out = None
         for n, term in enumerate(("thonin", "inthe", "tionth")):
             rows = search.matches(ix, request(f"{term} historical:yes")).select(F.lit(n).alias("query_ord"), F.col("file_id").alias("rank"), "repository", "file_path", F.col("chunk_index").alias("line"))

@@ -7,6 +7,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame, SparkSession
 
 from . import schema
+from .operators.textindex import write_postings
 
 
 @dataclass(frozen=True)
@@ -23,18 +24,27 @@ class Index:
     snapshots: DataFrame
     policies: DataFrame
     snapshot_policies: DataFrame
+    #: The trigram index of the chunks; without it every search reads all chunks.
+    postings: DataFrame | None = None
 
     def write(self, path: str) -> None:
-        """Parquet tables; files lie by repository so that repository filters prune partitions."""
+        """Parquet tables; files lie by repository so that repository filters prune partitions, symbols and references by
+        a name's or a symbol's order so that row groups are skipped. The trigram index is made from the stored chunks."""
         for f in fields(self):
-            writer = getattr(self, f.name).write.mode("overwrite")
-            (writer.partitionBy("repository") if f.name == "files" else writer).parquet(f"{path}/{f.name}")
+            if f.name != "postings":
+                rows = getattr(self, f.name)
+                if f.name in ORDER:
+                    rows = rows.repartitionByRange(*ORDER[f.name]).sortWithinPartitions(*ORDER[f.name])
+                writer = rows.write.mode("overwrite")
+                (writer.partitionBy("repository") if f.name == "files" else writer).parquet(f"{path}/{f.name}")
+        write_postings(self.files.sparkSession.read.schema(SCHEMAS["chunks"]).parquet(f"{path}/chunks"), f"{path}/postings")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Index:
         return Index(**{f.name: spark.read.schema(SCHEMAS[f.name]).parquet(f"{path}/{f.name}") for f in fields(Index)})
 
 
+ORDER = {"symbols": ["name_lc", "content_hash"], "references": ["symbol_id"]}
 SCHEMAS = {
     "files": schema.FILES,
     "blobs": schema.CONTENT_BLOBS,
@@ -48,4 +58,5 @@ SCHEMAS = {
     "snapshots": schema.BRANCH_SNAPSHOTS,
     "policies": schema.BRANCH_POLICIES,
     "snapshot_policies": schema.SNAPSHOT_POLICIES,
+    "postings": "bucket int, gram int, chunk_id long",
 }

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from ..functions.columns import content_predicate, path_matches
 from ..index import Index
 from ..plans.language import Plan, Request
+from .textindex import candidates, chunk_id
 
 
 def live_commits(ix: Index) -> DataFrame:
@@ -82,9 +83,17 @@ def plan_files(ix: Index, plan: Plan) -> DataFrame:
     return files
 
 
+def candidate_chunks(ix: Index, plans: list[Plan]) -> DataFrame:
+    """Chunks that may match a plan: by the trigram index, where there is one and each plan has a term that it knows."""
+    found = candidates(ix.postings, plans) if ix.postings is not None else None
+    if found is None:
+        return ix.chunks
+    return ix.chunks.withColumn("chunk_id", chunk_id()).join(found, "chunk_id", "left_semi").drop("chunk_id")
+
+
 def plan_matches(ix: Index, plan: Plan) -> DataFrame:
     """One row for each matching chunk of each file of the plan."""
-    chunks = ix.chunks.filter(chunk_filter(plan, F.col("text_content"))).select("chunk_hash")
+    chunks = candidate_chunks(ix, [plan]).filter(chunk_filter(plan, F.col("text_content"))).select("chunk_hash")
     places = ix.mapping.select("content_hash", "chunk_hash", "chunk_index").join(chunks, "chunk_hash")
     out = places.join(plan_files(ix, plan), "content_hash")
     return out.select(
@@ -96,11 +105,55 @@ def plan_matches(ix: Index, plan: Plan) -> DataFrame:
 def matches(ix: Index, request: Request, capped: bool = False) -> DataFrame:
     """All plans' matches; what two plans match counts twice. capped: at most plan_rows rows of each plan and fetch_limit in
     all, the first by (file_id, chunk_index)."""
-    parts = [plan_matches(ix, p) for p in request.plans]
-    if capped:
-        parts = [p.orderBy("file_id", "chunk_index").limit(request.plan_rows) for p in parts]
-    rows = reduce(DataFrame.unionByName, parts)
-    return rows.orderBy("file_id", "chunk_index", "highlight_pattern").limit(request.fetch_limit) if capped else rows
+    if not capped:
+        return plan_matches(ix, request.plans[0]) if len(request.plans) == 1 else plans_matches(ix, list(request.plans))
+    parts = [plan_matches(ix, p).orderBy("file_id", "chunk_index").limit(request.plan_rows) for p in request.plans]
+    return reduce(DataFrame.unionByName, parts).orderBy("file_id", "chunk_index", "highlight_pattern").limit(request.fetch_limit)
+
+
+def _numbers(tests: list[Column]) -> Column:
+    """The numbers of the tests that hold."""
+    return F.array_compact(F.array(*(F.when(t, F.lit(k)) for k, t in enumerate(tests))))
+
+
+def plans_matches(ix: Index, plans: list[Plan]) -> DataFrame:
+    """plan_matches of several plans by one scan of chunks, of places and of files: each chunk and each file carries the
+    plans whose tests it passes, and they meet by plan."""
+    texts = list(dict.fromkeys((p.required, p.excluded, p.case_sensitive) for p in plans))
+    first = [next(p for p in plans if (p.required, p.excluded, p.case_sensitive) == t) for t in texts]
+    of_text = [texts.index((p.required, p.excluded, p.case_sensitive)) for p in plans]
+    chunks = candidate_chunks(ix, first).select("chunk_hash", _numbers([chunk_filter(p, F.col("text_content")) for p in first]).alias("held")).filter(F.size("held") > 0)
+    places = ix.mapping.select("content_hash", "chunk_hash", "chunk_index").join(chunks, "chunk_hash")
+    files = ix.files
+    if any(p.langs or p.no_langs for p in plans):
+        files = files.join(ix.blobs.select(F.col("hash").alias("content_hash"), "language"), "content_hash", "left")
+    names = sorted({b for p in plans for b in (*p.branches, *p.no_branches)})
+    if names:
+        heads = ix.branches.select("repository", "branch", "commit_sha").unionByName(ix.snapshots.select("repository", "branch", "commit_sha"))
+        files = files.join(heads.filter(F.col("branch").isin(*names)).groupBy("repository", "commit_sha").agg(F.collect_set("branch").alias("on")), ["repository", "commit_sha"], "left")
+    if any(not p.branches and not p.historical for p in plans):
+        files = files.join(live_repositories(ix).withColumn("known", F.lit(True)), "repository", "left").join(live_commits(ix).withColumn("at_live", F.lit(True)), ["repository", "commit_sha"], "left")
+
+    def on(branches: tuple[str, ...]) -> Column:
+        return F.col("commit_sha").isin(*branches) | F.coalesce(F.arrays_overlap("on", F.array(*map(F.lit, branches))), F.lit(False))
+
+    def file_test(p: Plan) -> Column:
+        tests = [file_filter(p)]
+        tests += [F.col("language").isin(*p.langs)] if p.langs else []
+        tests += [~F.col("language").isin(*p.no_langs)] if p.no_langs else []
+        tests += [on(p.branches)] if p.branches else []
+        tests += [~on(p.no_branches)] if p.no_branches else []
+        tests += [F.col("known").isNull() | F.col("at_live").isNotNull()] if not p.branches and not p.historical else []
+        return _all(tests)
+
+    files = files.select("file_id", "repository", "commit_sha", "file_path", "content_hash", _numbers([file_test(p) for p in plans]).alias("passed")).filter(F.size("passed") > 0)
+    both = places.join(files, "content_hash").withColumn("plan", F.explode("passed"))
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("plan") + 1)
+    out = both.filter(F.array_contains("held", of(of_text)))
+    return out.select(
+        "file_id", "repository", "commit_sha", "file_path", "content_hash", "chunk_hash", "chunk_index",
+        of([p.highlight for p in plans]).alias("highlight_pattern"), of([p.case_sensitive for p in plans]).alias("highlight_case_sensitive"), of([bool(p.historical) for p in plans]).alias("include_historical"),
+    )
 
 
 KEYS = ["file_id", "content_hash", "include_historical"]
@@ -116,19 +169,24 @@ def terms_table(ix: Index, terms: list[str]) -> DataFrame:
     return F.broadcast(ix.files.sparkSession.createDataFrame([(t,) for t in terms], "term string"))  # a query's own words
 
 
-def symbol_scores(ix: Index, terms: list[str]) -> DataFrame:
-    """(content_hash, symbol_score): a symbol equal to a term counts most, then one of its namespace, then likeness. Terms
-    leave few names, so all contents are scored, and the files found are joined afterwards."""
-    names = ix.symbols.select("content_hash", "name_lc")
+def among(rows: DataFrame, contents: DataFrame | None) -> DataFrame:
+    return rows if contents is None else rows.join(contents.select("content_hash").distinct(), "content_hash", "left_semi")
+
+
+def symbol_scores(ix: Index, terms: list[str], contents: DataFrame | None = None) -> DataFrame:
+    """(content_hash, symbol_score), of the given contents or of all: a symbol equal to a term counts most, then one of its
+    namespace, then likeness."""
+    names = among(ix.symbols.select("content_hash", "name_lc"), contents)
     t, n = F.col("term"), F.col("name_lc")
     found = names.join(terms_table(ix, terms), F.like(n, F.concat(F.lit("%"), t, F.lit("%"))))
     value = F.when(n == t, 50.0).when(F.like(n, F.concat(t, F.lit("::%"))), 25.0).otherwise(F.lit(1.0) / (1 + F.abs(F.length(n) - F.length(t))))
     return found.groupBy("content_hash").agg(F.max(value).alias("symbol_score"))
 
 
-def definition_scores(ix: Index, terms: list[str]) -> DataFrame:
-    """(content_hash, definition_matches): 2 if a term is defined, 1 if a name that begins with it is."""
-    names = ix.symbols.select("symbol_id", "content_hash", "name_lc")
+def definition_scores(ix: Index, terms: list[str], contents: DataFrame | None = None) -> DataFrame:
+    """(content_hash, definition_matches), of the given contents or of all: 2 if a term is defined, 1 if a name that begins
+    with it is."""
+    names = among(ix.symbols.select("symbol_id", "content_hash", "name_lc"), contents)
     defined = ix.references.filter("kind = 'definition'").select("symbol_id")
     t, n = F.col("term"), F.col("name_lc")
     found = names.join(terms_table(ix, terms), (n == t) | F.like(n, F.concat(t, F.lit("%")))).join(defined, "symbol_id", "left_semi")
@@ -144,10 +202,10 @@ def top_files(ix: Index, rows: DataFrame, request: Request) -> DataFrame:
     scored = rows.groupBy(KEYS).agg(F.sum(weight).alias("score"), F.min(F.struct(*FIRST)).alias("first"))
     extra, defs = F.lit(0.0), F.lit(0)
     if request.symbol_terms:
-        scored = scored.join(symbol_scores(ix, request.symbol_terms), "content_hash", "left")
+        scored = scored.join(symbol_scores(ix, request.symbol_terms, rows), "content_hash", "left")
         extra = F.coalesce("symbol_score", F.lit(0.0))
         if request.definition_terms:
-            scored = scored.join(definition_scores(ix, request.definition_terms), "content_hash", "left")
+            scored = scored.join(definition_scores(ix, request.definition_terms, rows), "content_hash", "left")
             defs = F.coalesce("definition_matches", F.lit(0))
     return scored.select(*KEYS, (F.col("score").cast("double") + extra).alias("total_score"), defs.alias("definition_matches"), "first.*")
 

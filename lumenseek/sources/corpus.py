@@ -11,9 +11,10 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import line_count
 from ..index import Index
+from .shared import new_folder
 
 LINES_PER_CHUNK = 20
-MIN_SYMBOL = 6
+WORD = r"[\p{L}_]+"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,10 +62,10 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def words(docs: DataFrame) -> DataFrame:
-    """(content_hash, language, name, line_number, column_number): words of MIN_SYMBOL letters or more; the column is the
+    """(content_hash, language, name, line_number, column_number): every word of letters and underscores; the column is the
     word's number in its line."""
     lines = texts(docs).select("content_hash", "language", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
-    found = F.regexp_extract_all("line", F.lit(f"[A-Za-z_]{{{MIN_SYMBOL},}}"), F.lit(0))
+    found = F.regexp_extract_all("line", F.lit(WORD), F.lit(0))
     return lines.select("content_hash", "language", (F.col("n") + 1).alias("line_number"), F.posexplode(found).alias("k", "name")).select("content_hash", "language", "name", "line_number", (F.col("k") + 1).alias("column_number"))
 
 
@@ -128,6 +129,30 @@ def index(spark: SparkSession, sf_dir: str) -> Index:
     return Index(files(docs), blobs(docs), mapping(docs), chunks(docs), symbols(docs), namespaces(docs), references(docs), branches(docs), live(docs), snapshots(events), policies(events), snapshot_policies(events))
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """What tells whether the tables are as they were: sizes and times of their files."""
+    out = []
+    for name in ("documents", "events"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        out.append(tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in store.listStatus(path))))
+    return tuple(out)
+
+
+def stored(spark: SparkSession, sf_dir: str) -> Index:
+    """The index over a folder's tables, built and written to the shared folder at the application's first call and read
+    from there by later ones; tables that have changed are indexed anew."""
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir))
+    if key not in _STORED:
+        path = new_folder(spark, "index")
+        index(spark, sf_dir).write(path)
+        _STORED[key] = path
+    return Index.read(spark, _STORED[key])
+
+
 def _sql_line_count(t: str) -> str:
     return f"CAST(length({t}) - length(replace({t}, chr(10), '')) + CASE WHEN {t} = '' OR ends_with({t}, chr(10)) THEN 0 ELSE 1 END AS INTEGER)"
 
@@ -141,7 +166,7 @@ SQL = {
     "mapping": f"SELECT content_hash, sha256(text_content) AS chunk_hash, chunk_index, {_sql_line_count('text_content')} AS chunk_line_count FROM blocks",
     "chunks": "SELECT sha256(text_content) AS chunk_hash, min(text_content) AS text_content FROM blocks GROUP BY 1",
     "lines": "SELECT content_hash, language, CAST(unnest(range(1, len(l) + 1)) AS INTEGER) AS line_number, unnest(l) AS line FROM (SELECT content_hash, language, string_split(text, chr(10)) AS l FROM texts)",
-    "words": f"SELECT content_hash, language, line_number, unnest(w) AS name, CAST(unnest(range(1, len(w) + 1)) AS INTEGER) AS column_number FROM (SELECT content_hash, language, line_number, regexp_extract_all(line, '[A-Za-z_]{{{MIN_SYMBOL},}}') AS w FROM lines)",
+    "words": f"SELECT content_hash, language, line_number, unnest(w) AS name, CAST(unnest(range(1, len(w) + 1)) AS INTEGER) AS column_number FROM (SELECT content_hash, language, line_number, regexp_extract_all(line, '{WORD}') AS w FROM lines)",
     "symbols": "SELECT DISTINCT content_hash || ':' || name AS symbol_key, content_hash, name, lower(name) AS name_lc FROM words",
     "refs": "SELECT content_hash || ':' || name AS symbol_key, language AS namespace, CASE WHEN row_number() OVER (PARTITION BY content_hash, name ORDER BY line_number, column_number) = 1 THEN 'definition' ELSE 'reference' END AS kind, line_number, column_number FROM words",
     "repos": "SELECT DISTINCT source AS repository, CAST(regexp_extract(source, '([0-9]+)', 1) AS INTEGER) AS n FROM documents",

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenseek.llm import ann as op
 
@@ -58,3 +59,45 @@ def test_repeated_ids(spark, monkeypatch, block):
         assert len(set(got)) == 10 and i not in got
         best = np.array([-9 if j == i else (unit[i] @ unit[j].T).max() for j in range(60)])
         assert len(set(got) & set(np.argsort(-best)[:10].tolist())) >= 8
+
+
+def test_footrule_order_against_all_pairs(spark, monkeypatch):
+    """Candidates by the footrule's definition, and the queries that have too few of them by all rows."""
+    monkeypatch.setattr(op, "BLOCK_ROWS", 50)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 16)).astype(np.float32)
+    x[100:160] = x[100] + 0.2 * rng.normal(size=(60, 16)).astype(np.float32)
+    ids = np.arange(300) * 2
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    m, prefix, cut = 40, 8, 30
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    order = {int(i): None for i in ids}
+    sample = np.array([r.embedding for r in df.selectExpr("*", "xxhash64(vec_id, 5) AS h").orderBy("h", "vec_id").collect()], np.float32)
+    pivots = op.spread_pivots(sample / np.linalg.norm(sample, axis=1, keepdims=True), m)
+    for i, near in zip(ids, op.orders(unit, pivots, prefix), strict=True):
+        order[int(i)] = near.tolist()
+
+    def footrule(a, b):
+        return sum(abs((a.index(p) if p in a else prefix) - (b.index(p) if p in b else prefix)) for p in {*a, *b})
+
+    got = {}
+    for r in op.neighbours(df, pivots=m, prefix=prefix, cut=cut, sample=300, queries=F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.vec_id, {})[r.rank] = (r.neighbour_id, r.similarity)
+    assert set(got) == {int(i) for i in ids if i % 20 == 0}
+    exact = 0
+    for i, own in got.items():
+        cand = [int(j) for j in ids if j != i and footrule(order[i], order[int(j)]) <= cut]
+        if len(cand) < 10:
+            cand, exact = [int(j) for j in ids if j != i], exact + 1
+        sims = {j: float(unit[i // 2] @ unit[j // 2]) for j in cand}
+        want = sorted(sims, key=lambda j: (-sims[j], j))[:10]
+        assert all(abs(sims[want[k - 1]] - own[k][1]) < 1e-5 and own[k][0] in sims for k in range(1, 11))
+    assert 0 < exact < len(got)
+
+
+def test_string_ids(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(f"v{i:02}", rng.normal(size=8).tolist()) for i in range(20)], "vec_id string, embedding array<float>")
+    got = op.neighbours(df, top=3).collect()
+    assert len(got) == 60 and {r.vec_id for r in got} == {f"v{i:02}" for i in range(20)}
+    assert all(r.neighbour_id != r.vec_id for r in got)

@@ -56,3 +56,22 @@ def test_odd_rows(spark):
     assert op.mix_documents(df, {"s": 0.0}, share=1.0).count() == 2  # the null source's
     assert op.mix_documents(frame(spark, []), {}, share=0.5).count() == 0
     assert op.mixed(frame(spark, []), {}, share=0.5).count() == 0
+
+
+def test_budget_among_copies(spark):
+    rows = [doc(1, "one two three")] * 3 + [(1, "one two three", "de", "s", 9)] * 2
+    df = frame(spark, rows)
+    for budget, n in ((2, 0), (6, 2), (12, 4), (99, 5)):
+        assert op.mixed(df, {}, budget).count() == n
+        got = op.mix_documents(df, {}, budget).collect()
+        assert len(got) == n
+        assert sum(r.lang == "de" for r in got) == min(n, 2)  # by JSON "de" comes before "en"
+
+
+def test_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(op, "COPIES", 4)
+    rows = [doc(1, "one two three")] * 30 + [doc(2, "four", "t"), doc(3, None), doc(4, "five six", None)]
+    got = op.mixed(frame(spark, rows), {"s": 2.0}, 10**6).collect()
+    assert [r.taken_tokens for r in got if r.doc_id == 1] == sorted(r.taken_tokens for r in got if r.doc_id == 1)
+    assert len(got) == 33 and max(r.taken_tokens for r in got) == 93
+    assert sorted(r.finish for r in got if r.doc_id == 1) == [1.5 * k for k in range(1, 31)]

@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Rows of two longs up to which the smaller side of a join is broadcast (about 50 MB in the hash relation).
 BROADCAST_ROWS = 1_000_000
@@ -115,8 +114,9 @@ def row_key(docs: DataFrame) -> F.Column:
 
 
 def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose row_key is in dropped(rk), and with one of each set of repeated rows."""
-    (rk, nth) = fresh(docs, "rk", "nth")
+    """docs without the rows whose row_key is in dropped(rk), and with one of each set of repeated rows: the least, as JSON,
+    where other columns differ."""
+    rk, row = fresh(docs, "rk", "row")
     keyed = docs.withColumn(rk, row_key(docs))
     repeated = written(keyed.groupBy(rk).count().filter("count > 1").select(F.col(rk).alias("rk_r")))
     dropped = dropped.select(F.col("rk").alias("rk_d"))
@@ -125,12 +125,14 @@ def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
         return kept.drop(rk)
     hint = sized(repeated, n)
     once = kept.join(hint, F.col(rk) == F.col("rk_r"), "left_anti")
-    again = kept.join(hint, F.col(rk) == F.col("rk_r"), "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(rk).orderBy(F.col(rk)))).filter(F.col(nth) == 1)
-    return once.drop(rk).unionByName(again.drop(rk, nth))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    again = kept.join(hint, F.col(rk) == F.col("rk_r"), "left_semi").groupBy(rk).agg(F.min_by(whole, F.to_json(whole)).alias(row))
+    return once.drop(rk).unionByName(again.select(f"{row}.*"))
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def parts(df: DataFrame, per: int, most: int = 1 << 20) -> int:
+    """Parts to cut a key space in, each one task: as many as shuffles have, more where df has over `per` rows for each."""
+    return min(most, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // per)))
 
 
 # ---- Arrow columns as numpy

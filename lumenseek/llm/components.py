@@ -8,9 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import written
+from .common import lean, written
+
+
+#: Edges that a task holds (16 bytes each, several times that while it joins them).
+MOST_EDGES = 4_000_000
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,32 +38,42 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def local_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of a partition cut to those a union-find needs."""
-    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """Edges of a partition cut to those a union-find needs; of more than MOST_EDGES of these several forests."""
+
+    def sent(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(a), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 100_000]), pa.array(b[k : k + 100_000])], ["a", "b"])
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n, limit = 0, MOST_EDGES // 2
     for batch in batches:
-        a = np.concatenate([a, np.asarray(batch.column(0))])
-        b = np.concatenate([b, np.asarray(batch.column(1))])
-        if len(a) > 2_000_000:
-            a, b = forest(a, b)
-    if len(a):
-        a, b = forest(a, b)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1))))
+        n += len(held[-1][0])
+        if n > limit:
+            a, b = forest(*map(np.concatenate, zip(*held, strict=True)))
+            held, n = [(a, b)], len(a)
+            if n > MOST_EDGES:
+                yield from sent(a, b)
+                held, n = [], 0
+            limit = max(MOST_EDGES // 2, 2 * n)  # so that each forest is of twice the edges at least
+    if n:
+        yield from sent(*forest(*map(np.concatenate, zip(*held, strict=True))))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of each node of edges(a, b) that isn't the least of its component; root is the least.
 
     Union-find first inside each partition, then between partitions by alternating large-star and small-star steps
-    (each a shuffle by node) till nothing changes. No node has to hold a whole component in memory. No edges: no rows.
+    till nothing changes. A node's least neighbour comes from a combining aggregate and reaches its edges by a join, which
+    adaptive execution splits or broadcasts, so that a star of any size is no one task. No edges: no rows.
     """
-    e = written(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").mapInArrow(local_forests, "a long, b long"))
+    e = written(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").mapInArrow(lean(local_forests), "a long, b long"))
     mark = None
     while True:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = F.least(F.col("a"), F.min("b").over(Window.partitionBy("a")))
-        large = both.select("a", "b", low.alias("m")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = F.min("b").over(Window.partitionBy("a"))
-        small = large.select("a", "b", low.alias("m"))
+        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a").select("a", "b", "m")
         small = small.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
         e = written(small)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

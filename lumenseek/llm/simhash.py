@@ -1,12 +1,17 @@
 """SimHash near-dedup by random bit sampling.
 
 Each document's distinct case-folded words vote on a 256-bit SimHash. Several tables group documents by sampled bits;
-oversized buckets are split by additional bits, by several choices of them so that recall holds; distances of all pairs
-left in a bucket are verified. Near pairs are joined by union-find and one document of each group stays, the first by
-(doc_id, row key).
+oversized buckets are split by additional bits, by as many choices of them as find SPLIT_RECALL of the pairs MOST_APART bits
+apart; distances of all pairs left in a bucket are verified, but for pairs that others have connected already. Near pairs
+are joined by union-find and one document of each group stays, the first by (doc_id, row key).
 
-Defined cases: a text that is null or has no word has no SimHash and is never a duplicate; rows with the same doc_id and
-text are one row; other columns don't matter.
+No bucket is cut short. A pair d bits apart meets in a table with a chance of (1 - d/256)^SAMPLED: one of 56 bits, the
+limit, is found with a chance of 0.88 (0.86 where buckets are split), of 45 bits 0.98, of 36 bits or fewer 0.995 and more;
+groups hold together by any of their pairs.
+
+Defined cases: a text that is null or has no word has no SimHash and is never a duplicate; texts of any length count all
+their distinct words; rows with the same doc_id and text are one row; equal SimHashes are one until they are counted; an
+empty table gives no rows; doc_id has any type that can be ordered; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -18,16 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import APART, C1, C2, blocks, bounded, folded, hash_spans, lean, lean_group, mix, padded, partitions, row_key, sized, text_buffers, without_rows, word_spans, written
+from .common import APART, C1, C2, blocks, bounded, folded, hash_spans, lean, lean_group, mix, padded, parts, row_key, sized, text_buffers, without_rows, word_spans, written
 from .components import components, forest
 from .line_dedup import shards, unpack
 
 WORDS64 = 4
 BITS = 64 * WORDS64
 MOST_APART = 56  # bits of 256: a cosine of about 0.77 between the word sets
-TABLES, SAMPLED = 24, 12
-CAP = 512
-LIKELY_APART = 0.14  # share of bits by which copies differ, for the number of ways to split
+TABLES, SAMPLED = 24, 10
+#: Buckets with more rows are split, and the part of the pairs at the limit that the ways to split find.
+CAP, SPLIT_RECALL = 512, 0.95
+
+#: Documents for each part of the bucket keys (some 50 MB in all tables).
+PART_ROWS = 40_000
 
 _rng = np.random.default_rng(77)
 SAMPLES = np.array([_rng.permutation(BITS) for _ in range(TABLES)])
@@ -60,6 +68,11 @@ def simhashes(data: np.ndarray, end: int, offsets: np.ndarray) -> tuple[np.ndarr
     return has, np.packbits(ones, axis=1, bitorder="little").view("<u8").reshape(-1, WORDS64)
 
 
+def split_ways(more: int) -> int:
+    """Choices of so many further bits by which a pair at the limit meets with a chance of SPLIT_RECALL."""
+    return int(np.ceil(np.log(1 - SPLIT_RECALL) / np.log(1 - (1 - MOST_APART / BITS) ** more)))
+
+
 def sampled(f: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """The given bits of each SimHash as one number."""
     out = np.zeros(len(f), np.uint64)
@@ -69,7 +82,7 @@ def sampled(f: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def near_pairs(key: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs in the runs of equal keys, whose SimHashes are near; a forest of them for a long run."""
+    """Index pairs in the runs of equal keys, whose SimHashes are near."""
     first, second = [], []
     at, d = np.arange(len(key) - 1), 1
     while len(at):
@@ -84,12 +97,31 @@ def near_pairs(key: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             first.append(near)
             second.append(near + d)
         d += 1
-        if sum(map(len, first)) > 1_000_000:  # what connects them is enough
-            u, v = forest(np.concatenate(first), np.concatenate(second))
-            first, second = [u], [v]
     return (np.concatenate(first), np.concatenate(second)) if first else (np.zeros(0, int), np.zeros(0, int))
 
 
+def connecting(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of near SimHashes that connect all that near pairs connect: those reached so far against those left, so
+    that a group of copies takes about as many comparisons as it has members."""
+    first, second = [np.zeros(0, int)], [np.zeros(0, int)]
+    left = np.arange(len(f))
+    while len(left) > 1:
+        front, left = left[:1], left[1:]
+        while len(front) and len(left):
+            own, front = np.split(front, [max(1, (1 << 18) // len(left))])
+            apart = np.zeros((len(own), len(left)), np.uint16)
+            for w in range(WORDS64):
+                apart += np.bitwise_count(f[own, w][:, None] ^ f[left, w][None, :])
+            near = apart <= MOST_APART
+            hit = near.any(axis=0)
+            if hit.any():
+                first.append(own[near.argmax(axis=0)[hit]])
+                second.append(left[hit])
+                front = np.concatenate([front, left[hit]])
+                left = left[~hit]
+    return np.concatenate(first), np.concatenate(second)
+
+
 def bucket_pairs(table: pa.Table) -> pa.Table:
     """(a, b) of near documents of the buckets of one part; bucket words are [key, SimHash, id]."""
     t = unpack(table, WORDS64 + 2)
@@ -101,15 +133,24 @@ def bucket_pairs(table: pa.Table) -> pa.Table:
     pairs = []
 
     def take(which: np.ndarray, k: np.ndarray) -> None:
-        u, v = near_pairs(k, f[which])
-        pairs.append((ids[which][u], ids[which][v]))
+        """Pairs in the runs of equal k: all of short runs, what connects the others."""
+        cut = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        long = np.diff(cut, append=len(k)) > CAP
+        for s, e in zip(cut[long], np.append(cut[1:], len(k))[long], strict=True):
+            u, v = connecting(f[which[s:e]])
+            pairs.append((ids[which[s:e]][u], ids[which[s:e]][v]))
+        rest = ~np.repeat(long, np.diff(cut, append=len(k)))
+        u, v = near_pairs(k[rest], f[which[rest]])
+        pairs.append((ids[which[rest]][u], ids[which[rest]][v]))
+        if sum(len(u) for u, _ in pairs) > 1_000_000:
+            pairs[:] = [forest(*map(np.concatenate, zip(*pairs, strict=True)))]
 
     if small.any():
         take(np.flatnonzero(small), key[small])
     for s, m in zip(start[size > CAP], size[size > CAP], strict=True):
         own = np.arange(s, s + m)
         more = int(np.ceil(np.log2(m / (CAP / 8))))
-        ways = int(np.ceil(2 / (1 - LIKELY_APART) ** more))
+        ways = split_ways(more)
         rng = np.random.default_rng(int(key[s]) & 0xFFFFFFFF)
         for _ in range(ways):
             k = sampled(f[own], rng.permutation(BITS)[:more])
@@ -135,15 +176,15 @@ def signed(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *(pa.array(f[:, w].view(np.int64)) for w in range(WORDS64))], ["doc_id", "rk", *(f"f{w}" for w in range(WORDS64))])
 
     bounded(docs.sparkSession)
-    rows = docs.select("doc_id", "text").filter("text is not null").select(F.col("doc_id").cast("long"), row_key(docs).alias("rk"), "text")
-    return rows.mapInArrow(lean(run), "doc_id long, rk long, " + ", ".join(f"f{w} long" for w in range(WORDS64)))
+    rows = docs.select("doc_id", "text").filter("text is not null").select("doc_id", row_key(docs).alias("rk"), "text")
+    return rows.mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, rk long, " + ", ".join(f"f{w} long" for w in range(WORDS64)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, rk, kept_doc_id) of each row that goes; rows with the same doc_id and text are one row."""
-    n = partitions(docs.sparkSession)
     fs = [f"f{w}" for w in range(WORDS64)]
     table = written(signed(docs).withColumn("id", F.xxhash64(*fs)))
+    n = parts(table, PART_ROWS)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -80,3 +80,52 @@ def test_first_doc_id_stays(spark):
     text = words(random.Random(9), 50)
     rows = [doc(7, text), doc(3, text.upper()), doc(5, text + "."), doc(9, words(random.Random(8), 50))]
     assert {(r.doc_id, r.kept_doc_id) for r in op.near_duplicates(frame(spark, rows)).collect()} == {(7, 3), (5, 3)}
+
+
+def test_connecting_joins_what_all_pairs_join():
+    rng = np.random.default_rng(1)
+    f = rng.integers(0, 1 << 63, (300, op.WORDS64), np.uint64)
+    for i in range(20, 300):  # chains: each a few bits from one before
+        f[i] = f[rng.integers(0, i)]
+        for b in rng.permutation(op.BITS)[: rng.integers(20, 70)]:
+            f[i, b >> 6] ^= np.uint64(1) << np.uint64(b & 63)
+    root = np.arange(300)
+    for i in range(300):
+        for j in range(i):
+            if np.bitwise_count(f[i] ^ f[j]).sum() <= op.MOST_APART:
+                root[root == max(root[i], root[j])] = min(root[i], root[j])
+    u, v = op.connecting(f)
+    assert (np.bitwise_count(f[u] ^ f[v]).sum(axis=1) <= op.MOST_APART).all()
+    nodes, roots = op.forest(u, v)
+    got = np.arange(300)
+    got[nodes] = roots
+    assert (got == root).all()
+
+
+def test_a_bucket_of_many_near_copies():
+    import time
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    n = 20_000
+    f = np.repeat(rng.integers(0, 1 << 63, (1, op.WORDS64), np.uint64), n, axis=0)
+    for w in range(op.WORDS64):
+        for _ in range(2):
+            f[:, w] ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    began = time.time()
+    out = op.bucket_pairs(pa.table({"data": [np.column_stack([np.zeros(n, np.int64), f.view(np.int64), np.arange(n)]).tobytes()]}))
+    assert out.num_rows == n - 1
+    assert time.time() - began < 60
+
+
+def test_ways_to_split_find_pairs_at_the_limit():
+    for more in (1, 4, 8):
+        meet = 1 - (1 - (1 - op.MOST_APART / op.BITS) ** more) ** op.split_ways(more)
+        assert meet >= op.SPLIT_RECALL
+
+
+def test_string_ids(spark):
+    text = words(random.Random(9), 50)
+    df = spark.createDataFrame([("b", text), ("a", text + "."), ("c", None)], "doc_id string, text string")
+    assert [(r.doc_id, r.kept_doc_id) for r in op.near_duplicates(df).collect()] == [("b", "a")]

@@ -3,8 +3,12 @@
 Character-shingle signatures, high-recall banding, exact Jaccard verification of candidates, distributed union-find, one
 line kept per component: the first by (doc_id, line_no).
 
-Defined cases: a null text has no lines; blank lines are never duplicates; lines under SHINGLE characters match only
-identical lines; rows with the same doc_id and text are one row; null doc_ids order first. Other columns don't matter.
+Defined cases: a null text has no lines; blank lines (of ASCII white space only, so the "\r" of an empty CRLF line) are
+never duplicates; lines under SHINGLE characters match only identical lines; a very long line is signed and compared whole;
+rows with the same doc_id and text are one row, and of those that differ in other columns the least as JSON stays; null
+doc_ids order first; an empty table gives no rows; doc_id has any type that can be ordered. Other columns don't matter.
+
+Lines are identical if 128 bits of hashes are: of 10**12 lines some tens of thousands of pairs share 64 bits.
 """
 
 from __future__ import annotations
@@ -14,11 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import characters
-from .common import C1, S32, blocks, bounded, lean, lean_group, mix, padded, partitions, row_key, sized, text_buffers, without_rows, written
+from .common import C1, S32, blocks, bounded, lean, lean_group, mix, padded, parts, row_key, sized, text_buffers, without_rows, written
 from .components import components
 
 SHINGLE = 5
@@ -31,7 +35,11 @@ LONG_SHINGLE = 7
 LONG, FEW = 60, 100
 #: Bits of the sketch by which pairs that can't reach THRESHOLD are refused before their texts are moved.
 SKETCH = 2048
+#: Lines of a bucket that are compared with as many others in one task, and pairs at a time.
+BUCKET_BLOCK, PAIRS = 4096, 1 << 15
 CODE_BITS = 9
+#: Documents whose lines are in one part of the band keys.
+PART_ROWS = 10_000
 
 _rng = np.random.default_rng(20240607)
 MULTIPLY = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
@@ -105,7 +113,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def shards(keys: np.ndarray, columns: list[np.ndarray], n: int, per: int = 200_000) -> Iterator[pa.RecordBatch]:
+def shards(keys: np.ndarray, columns: list[np.ndarray], n: int) -> Iterator[pa.RecordBatch]:
     """Rows (part, data): what belongs to each part of a key space, packed as 64-bit words, one column after the other."""
     part = (keys >> S32) % np.uint64(n)
     order = np.argsort(part, kind="stable")
@@ -119,11 +127,15 @@ def unpack(table: pa.Table, columns: int) -> np.ndarray:
     return np.frombuffer(b"".join(table.column("data").to_pylist()), np.int64).reshape(-1, columns)
 
 
+def blank(text: Column) -> Column:
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r")) == ""
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, rk, line_no, id, line) of every line that isn't blank; rows with the same rk come once."""
+    """(doc_id, rk, line_no, line, id, id2) of every line that isn't blank; a row may come more than once."""
     rows = docs.select("doc_id", "text").filter("text is not null").select("doc_id", row_key(docs).alias("rk"), "text")
     lines = rows.select("doc_id", "rk", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.filter(F.trim("line") != "").withColumn("id", F.xxhash64("line"))
+    return lines.filter(~blank(F.col("line"))).withColumn("id", F.xxhash64("line")).withColumn("id2", F.xxhash64(F.lit(1), "line"))
 
 
 def buckets(table: pa.Table) -> pa.Table:
@@ -238,10 +250,44 @@ def jaccard_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], ["a", "b"])
 
 
-def similar_lines(lines: DataFrame) -> DataFrame:
-    """(id, root) of lines in components of two different lines or more, but for the roots."""
+def across(table: pa.Table) -> pa.Table:
+    """(a, b) of lines of one bucket in different components that sketches leave: in whole buckets, or between two blocks
+    of one large bucket."""
+    t = table.combine_chunks()
+    order = np.argsort(np.asarray(t.column("bucket")), kind="stable")
+    bucket, ids, root, n, block = (np.asarray(t.column(c))[order].astype(np.int64) for c in ("bucket", "id", "root", "n", "block"))
+    data, offsets = text_buffers(t.column("sketch"))
+    sketch = np.frombuffer(data[int(offsets[0]) : int(offsets[-1])], np.uint64).reshape(len(ids), -1)[order]
+    found: list[tuple[np.ndarray, np.ndarray]] = [(ids[:0], ids[:0])]
+
+    def test(x: np.ndarray, y: np.ndarray) -> None:
+        for k in range(0, len(x), PAIRS):
+            u, v = x[k : k + PAIRS], y[k : k + PAIRS]
+            two = root[u] != root[v]
+            u, v = u[two], v[two]
+            likely = may_reach(n[u], sketch[u], n[v], sketch[v])
+            u, v = ids[u[likely]], ids[v[likely]]
+            found.append((np.minimum(u, v), np.maximum(u, v)))
+
+    i, j = (t.column(c)[0].as_py() for c in ("i", "j"))
+    if i == j:
+        at, d = np.arange(len(ids)), 1
+        while len(at := at[at + d < len(ids)]):
+            at = at[bucket[at] == bucket[at + d]]
+            test(at, at + d)
+            d += 1
+    else:
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        for x in left:
+            test(np.full(len(right), x), right)
+    a, b = map(np.concatenate, zip(*found, strict=True))
+    return pa.table({"a": a, "b": b})
+
+
+def similar_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, id2, root, root2) of lines in components of two different lines or more, but for the roots."""
     spark = lines.sparkSession
-    n = partitions(spark)
+    n = parts(docs, PART_ROWS)
     bounded(spark)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +312,7 @@ def similar_lines(lines: DataFrame) -> DataFrame:
 
     members = written(lines.select("id", "line").mapInArrow(lean(sign), "part int, data binary").groupBy("part").applyInArrow(lean_group(buckets), "bucket long, a long, b long"))
     wanted = written(members.select(F.col("b").alias("id")).distinct())
-    texts = lines.select("id", "line").join(sized(wanted), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    texts = lines.select("id", "line").join(sized(wanted), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
     texts = written(texts.mapInArrow(lean(sketched), "id long, line string, n int, sketch binary"))
 
     def sides(pairs: DataFrame, *columns: str) -> DataFrame:
@@ -283,26 +329,31 @@ def similar_lines(lines: DataFrame) -> DataFrame:
     edges = verified(members.filter("a < b").select("a", "b"))
     roots = written(components(edges))
     labelled = members.join(sized(roots).select(F.col("id").alias("b"), "root"), "b", "left").select("bucket", "a", "b", F.coalesce("root", "b").alias("root"))
-    # all against the least are tested, so only what differs from it is left
-    rest = written(labelled.filter("b <> a"))
-    x, y = rest.alias("x"), rest.alias("y")
-    cross = written(x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.b") < F.col("y.b")) & (F.col("x.root") != F.col("y.root"))).select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct())
-    if cross.isEmpty():
-        return roots
-    more = verified(cross)
-    if more.isEmpty():
-        return roots
-    return written(components(edges.unionByName(more)))
+    # all against the least are tested, so only what differs from it is left, in buckets of several components
+    rest = written(labelled.filter("b <> a").select("bucket", "b", "root"))
+    mixed = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("k"))
+    # a large bucket is cut in k blocks, and each pair of blocks is a group; small ones share groups
+    groups = max(1, rest.count() // BUCKET_BLOCK)
+    cut = rest.join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("b", F.lit(3)), "k").cast("int"))
+    cut = cut.join(texts.select(F.col("id").alias("b"), "n", "sketch"), "b").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    cut = cut.select(F.when(F.col("k") > 1, F.col("bucket")).otherwise(F.pmod("bucket", F.lit(groups))).alias("group"), "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("block"), F.col("b").alias("id"), "root", "n", "sketch")
+    cross = written(cut.groupBy("group", "i", "j").applyInArrow(lean_group(across), "a long, b long"))
+    if not cross.isEmpty():
+        more = written(sides(cross.distinct(), "line").mapInArrow(lean(jaccard_pairs), "a long, b long"))
+        if not more.isEmpty():
+            roots = written(components(edges.unionByName(more)))
+    own = texts.select("id", F.xxhash64(F.lit(1), "line").alias("id2"))
+    return roots.join(own, "id").join(own.select(F.col("id").alias("root"), F.col("id2").alias("root2")), "root").select("id", "id2", "root", "root2")
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, rk, line_no, kept_doc_id, kept_line_no) of each line that goes and the line that stays for it."""
     lines = lines_of(docs)
-    roots = similar_lines(lines)
-    places = lines.select("doc_id", "rk", "line_no", "id").join(sized(roots), "id", "left").select("doc_id", "rk", "line_no", F.coalesce("root", "id").alias("root"))
-    places = written(places)
-    first = places.groupBy("root").agg(F.min(F.struct("doc_id", "rk", "line_no")).alias("kept"), F.count("*").alias("n")).filter("n > 1").select("root", "kept")
-    out = places.join(first, "root").filter(~(F.col("rk").eqNullSafe(F.col("kept.rk")) & (F.col("line_no") == F.col("kept.line_no"))))
+    roots = similar_lines(docs, lines)
+    places = lines.select("doc_id", "rk", "line_no", "id", "id2").join(sized(roots), ["id", "id2"], "left")
+    places = written(places.select("doc_id", "rk", "line_no", F.coalesce("root", "id").alias("root"), F.coalesce("root2", "id2").alias("root2")))
+    first = places.groupBy("root", "root2").agg(F.min(F.struct("doc_id", "rk", "line_no")).alias("kept"), F.count("*").alias("n")).filter("n > 1").select("root", "root2", "kept")
+    out = places.join(first, ["root", "root2"]).filter(~(F.col("rk").eqNullSafe(F.col("kept.rk")) & (F.col("line_no") == F.col("kept.line_no"))))
     return out.select("doc_id", "rk", "line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no")).distinct()
 
 
@@ -311,11 +362,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     rows that lose no line stay as they are, null texts among them. n_chars, if there, is the new length."""
     gone = written(duplicate_lines(docs).groupBy("rk").agg(F.collect_set("line_no").alias("gone")))
     names = {c: F.col(f"d.`{c}`") for c in docs.columns}
-    left = F.filter(F.split(F.col("d.text"), "\n", -1), lambda line, i: ~F.array_contains(F.col("g.gone"), i))
+    lines = F.split(F.col("d.text"), "\n", -1)
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("g.gone")), lambda i: F.get(lines, i))
     text = F.when(F.col("g.gone").isNull(), F.col("d.text")).otherwise(F.array_join(left, "\n"))
     joined = without_rows(docs, _no_rows(docs)).alias("d")
     joined = joined.join(gone.alias("g"), F.xxhash64(F.col("d.doc_id"), F.col("d.text")) == F.col("g.rk"), "left")
-    joined = joined.filter(F.col("g.gone").isNull() | F.exists(left, lambda line: F.trim(line) != ""))
+    joined = joined.filter(F.col("g.gone").isNull() | ~blank(text))
     out = names | {"text": text}
     if "n_chars" in names:
         out["n_chars"] = F.when(F.col("g.gone").isNull(), names["n_chars"]).otherwise(F.length(text).cast(dict(docs.dtypes)["n_chars"]))

@@ -155,3 +155,54 @@ def test_near_lines_share_a_kind():
             if len(sets[a] & sets[b]) >= op.THRESHOLD * len(sets[a] | sets[b]):
                 assert short[a] and short[b] or long[a] and long[b]
     assert op.LONG <= op.THRESHOLD * op.FEW and np.any(~short) and np.any(~long)
+
+
+def test_blank_lines_of_any_white_space_stay(spark):
+    texts = ["x one line\n\t\ny other line\n\t\nz third line", "four words are here\r\n\r\nfive words are not here\r\n\r\n\x0b\r", "six\n \t\r\n \t\r\nseven"]
+    df = frame(spark, [doc(i, t) for i, t in enumerate(texts)])
+    assert {r.doc_id: r.text for r in op.dedup_lines(df).collect()} == dict(enumerate(texts))
+
+
+def test_large_buckets_in_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = corpus(rng, 30)
+    own = {(r.doc_id, r.line_no, r.kept_doc_id, r.kept_line_no) for r in op.duplicate_lines(frame(spark, rows)).collect()}
+    monkeypatch.setattr(op, "BUCKET_BLOCK", 2)
+    assert {(r.doc_id, r.line_no, r.kept_doc_id, r.kept_line_no) for r in op.duplicate_lines(frame(spark, rows)).collect()} == own
+
+
+def test_across_tries_all_pairs():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    n = 40
+    ids, root, bucket, size = rng.permutation(n), rng.integers(0, 3, n), rng.integers(0, 2, n), rng.integers(1, 300, n)
+    bits = rng.random((n, op.SKETCH)) < 0.04
+    bits[::2] = bits[0]
+    packed = np.packbits(bits, axis=1, bitorder="little")
+    words64 = packed.view(np.uint64)
+
+    def table(i, j, which, block):
+        return pa.table({"bucket": pa.array(bucket[which]), "i": pa.array(np.full(len(which), i)), "j": pa.array(np.full(len(which), j)), "block": pa.array(block), "id": ids[which], "root": root[which], "n": size[which], "sketch": pa.array([packed[k].tobytes() for k in which], pa.binary())})
+
+    def want(pairs):
+        ok = lambda x, y: root[x] != root[y] and op.may_reach(size[[x]], words64[[x]], size[[y]], words64[[y]])[0]
+        return {(min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in pairs if ok(x, y)}
+
+    got = op.across(table(0, 0, np.arange(n), np.zeros(n, int)))
+    assert set(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True)) == want([(x, y) for x in range(n) for y in range(x) if bucket[x] == bucket[y]])
+    bucket[:] = 5
+    block = np.arange(n) % 2
+    got = op.across(table(0, 1, np.arange(n), block))
+    assert set(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True)) == want([(x, y) for x in range(0, n, 2) for y in range(1, n, 2)])
+
+
+def test_rows_that_differ_in_other_columns_only(spark):
+    rows = [(1, "one line of text here", "en", s, 21) for s in ("b", "a", "c")] * 2
+    assert [tuple(r) for r in op.dedup_lines(frame(spark, rows)).collect()] == [(1, "one line of text here", "en", "a", 21)]
+
+
+def test_string_ids(spark):
+    df = spark.createDataFrame([("b", "the very same line of text"), ("a", "the very same line of text")], "doc_id string, text string")
+    assert [(r.doc_id, r.kept_doc_id) for r in op.duplicate_lines(df).collect()] == [("b", "a")]

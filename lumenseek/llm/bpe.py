@@ -7,7 +7,8 @@ leftmost goes first, and the pairs that a merge makes (always of a higher rank)
 the bytes but for sorting inside buckets, however long a pre-token is.
 
 Defined cases: a null text has null ids; an empty one has none. Bytes that aren't valid UTF-8 are encoded as they are.
-Nothing is cut: ids cover the whole text, and decoding them gives its bytes back.
+Nothing is cut: ids cover the whole text, however long, and decoding them gives its bytes back. Repeated rows each give
+their row; an empty table gives no rows; columns other than keys and text don't matter, keys may not be named like results.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ each list with a bitmap of duplicates. Only rows that a bitmap marks (suspects)
 byte by byte. Fingerprints have the bits that keep false suspects near one row in 256; the comparison removes those.
 
 Defined cases: a null text is never a duplicate; empty texts are equal; of equal texts the row of the least doc_id (null
-first) stays; repeated rows are duplicates of each other; other columns don't matter.
+first) stays, of equal doc_ids any one, as their rows are alike here; repeated rows are duplicates of each other; a very
+long text is hashed and compared whole; an empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import partitions, sized, written
+from .common import parts, sized, written
 
 #: Rows of one sender's list; a larger partition sends several.
 CHUNK = 1 << 20
+#: Rows whose fingerprints one owner decodes.
+OWNED_ROWS = 1 << 20
 
 
 def golomb_encode(values: np.ndarray, span: int) -> bytes:
@@ -64,7 +67,7 @@ def owned(table: pa.Table) -> pa.Table:
 def suspects(docs: DataFrame) -> DataFrame:
     """(h) hashes of the texts that may come more than once."""
     spark = docs.sparkSession
-    owners = partitions(spark)
+    owners = parts(docs, OWNED_ROWS)
     bits = min(64, docs.count().bit_length() + 8)
     span = -(-(1 << bits) // owners)
 

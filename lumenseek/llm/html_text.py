@@ -5,7 +5,8 @@ inside anchors by all words) of itself, its predecessor and its successor. A dec
 labelled table of blocks says which are content; these joined by newlines are the page's text.
 
 Defined cases: a null page has null text; a page without content blocks has an empty one; markup that never closes ends
-with the page; other columns don't matter.
+with the page; a very long page is read whole; repeated pages each give their row; an empty table gives no rows; page_id
+has any type; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -152,4 +153,4 @@ def extract(pages: DataFrame, labelled: np.ndarray = LABELLED) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())], ["page_id", "text", "n_blocks", "n_content"])
 
     bounded(pages.sparkSession)
-    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(lean(run), "page_id long, text string, n_blocks int, n_content int")
+    return pages.select("page_id", "html").mapInArrow(lean(run), f"page_id {dict(pages.dtypes)['page_id']}, text string, n_blocks int, n_content int")

@@ -19,7 +19,9 @@ other, by the square of a group of near copies.
 
 Defined cases: null, empty and short texts have no passage; rows with the same doc_id and text are reported as one, but
 repeat each other; words are apart by ASCII white space, and passages match byte by byte, inner white space included;
-other columns don't matter.
+an empty table gives no rows; is_first goes by the least (doc_id, row key, start), so copies of a row with one doc_id are
+all first; doc_id has any type that can be ordered; a very long text is cut in words and streamed whole; other columns
+don't matter.
 """
 
 from __future__ import annotations
@@ -33,9 +35,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from .common import C1, SPACE, blocks, bounded, hash_spans, lean, lean_group, mix, padded, partitions, text_buffers, word_spans, written
+from .common import C1, SPACE, blocks, bounded, hash_spans, lean, lean_group, mix, padded, parts, text_buffers, word_spans, written
 from .line_dedup import shards, unpack
 
 WINDOW = 50
@@ -45,6 +48,8 @@ PHRASE = 8
 SHARD_BYTES = 8 << 20
 #: Longs in a broadcast table; beyond that the join shuffles.
 BROADCAST_ENTRIES = 4_000_000
+#: Documents for each part of the anchors' and windows' keys.
+PART_ROWS = 20_000
 BLANK = np.frombuffer(SPACE.tobytes(), bool)
 
 _B = 0x9E3779B97F4A7C15 | 1
@@ -152,7 +157,7 @@ def passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pid, phrase, n_chars, key) of the passages to look for, and (th, key) of the texts that may hold those of a key.
     pid is the xxHash64 of the passage; its key is the least anchor of its first WINDOW words. Winnowing makes every text
     with a passage select that anchor too, so no text with it is left out. Copies of one text have its hash as a key."""
-    n = partitions(docs.sparkSession)
+    n = parts(docs, PART_ROWS)
     bounded(docs.sparkSession)
     rows = docs.select("text").filter("text is not null").select(F.xxhash64("text").alias("th"), "text")
 
@@ -246,12 +251,15 @@ def hits(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 
     A shard is so many bytes of documents, by row key, with an automaton of the passages that can be in them."""
     found, routes = passages(docs)
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("rk"), "text").filter("text is not null")
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), "text").filter("text is not null")
     n_shards = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
     rows = rows.withColumn("shard", F.pmod("rk", F.lit(n_shards)))
     wanted = rows.select(F.col("shard").alias("part"), F.xxhash64("text").alias("th")).distinct().join(routes, "th").select("part", "key").distinct()
     wanted = wanted.join(found, "key").select("part", "pid", "phrase", "n_chars").distinct()
 
+    kind = rows.schema["doc_id"].dataType
+    arrow = to_arrow_type(kind)
+
     def scan(docs: pa.Table, own: pa.Table) -> pa.Table:
         of_phrase: dict[str, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
         for phrase, pid, n_chars in zip(*(own.column(c).to_pylist() for c in ("phrase", "pid", "n_chars")), strict=True):
@@ -274,9 +282,9 @@ def hits(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
                         if (e == len(text) or text[e] in BLANKS) and (pid := xxhash.xxh64_intdigest(text[s:e].encode()) - (1 << 63)) in pids:
                             for column, v in zip(out, (doc, rk, pid, s, e), strict=True):
                                 column.append(v)
-        return pa.table([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 3 + [pa.int32()] * 2, strict=True)], ["doc_id", "rk", "passage", "start", "end"])
+        return pa.table([pa.array(c, t) for c, t in zip(out, [arrow] + [pa.int64()] * 2 + [pa.int32()] * 2, strict=True)], ["doc_id", "rk", "passage", "start", "end"])
 
-    return rows.groupBy("shard").cogroup(wanted.groupBy("part")).applyInArrow(lean_group(scan), "doc_id long, rk long, passage long, start int, end int")
+    return rows.groupBy("shard").cogroup(wanted.groupBy("part")).applyInArrow(lean_group(scan), f"doc_id {kind.simpleString()}, rk long, passage long, start int, end int")
 
 
 def occurrences(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:

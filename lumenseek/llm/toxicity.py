@@ -1,11 +1,20 @@
 """Toxicity: cumulative-link (proportional-odds) regression on sparse text features.
 
 P(severity > j) = sigmoid(w.x - t_j): one weight vector for all grades and ordered thresholds t_0 < t_1 < ...
-x counts hashed byte 5-grams of the case-folded text with runs of blanks as one blank, so beginnings of words count.
+x counts hashed byte 5-grams of the case-folded text with runs of blanks as one blank, so beginnings of words count. A
+count beyond feature_cap counts as feature_cap, so that one repeated word doesn't settle a text: that is the feature map,
+the same in training and scoring, and every text is read whole.
+
+Defined cases: a null or empty text has no features and the score 0; rows that come more than once are scored each; labels
+that repeat a doc_id count once, with the highest grade; documents that repeat a doc_id are all fit on; labels with nulls
+don't count; features equally odd go by number; an empty table gives no rows; without labelled rows of both kinds nothing
+can be learned: a warning is given and every row has the least grade; extra columns don't matter, keys named like results
+need other names for these.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -104,13 +113,13 @@ def fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_features: int,
     return p[:n_features], p[n_features] + np.concatenate([[0], np.cumsum(np.exp(p[n_features + 1 :]))])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, features: int = 2048, l2: float = 1e-4, severity_grades: int = 3) -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, features: int = 2048, l2: float = 1e-4, severity_grades: int = 3, feature_cap: float = 4.0, least_rows: int = 3) -> OrdinalModel:
     """Fit on at most max_labelled labelled rows (a documented bound): half toxic, half clean, in the order of a hash of doc_id.
 
     labels(doc_id, toxic): toxic may hold any whole grades from 0. Where it holds only 0 and 1, toxic rows are graded
-    1..severity_grades by how many occurrences of toxic-class features they hold (equal shares of the rows), as the
-    table has no finer grade. Features: those most unlike in document frequency between clean and toxic rows.
-    Rows with a null label, id or text don't count. Without rows of both kinds the model predicts the least grade.
+    1..severity_grades by the part of their grams that are toxic-class features (equal shares of the rows), as the table has
+    no finer grade. Features: those most unlike in document frequency between clean and toxic rows, among those that
+    least_rows of the labelled rows have at least. Rows with a null label, id or text don't count.
     """
     bounded(docs.sparkSession)
     half = max_labelled // 2
@@ -122,10 +131,11 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, features
     sizes = {bool(r[0]): r[1] for r in rows.groupBy(F.col("severity") > 0).count().collect()}
     n0, n1 = sizes.get(False, 0), sizes.get(True, 0)
     if not n0 or not n1:
+        warnings.warn("no labelled rows of both kinds: toxicity can't be told", stacklevel=2)
         return OrdinalModel(np.zeros(1 << BITS, np.float32), np.array([30.0, 31.0, 32.0][:severity_grades]), 0)
     pc, pt = F.col("clean") / F.lit(n0), F.col("toxic") / F.lit(n1)
     odd = F.abs(pt - pc) / F.sqrt((pc + pt) * (2 - pc - pt) / 4 + F.lit(1.0 / (n0 + n1)))
-    best = got.filter("clean + toxic >= 3").withColumn("odd", odd).orderBy(F.desc("odd"), "feature").limit(features).select("feature", (pt > 3 * pc).alias("sign")).collect()
+    best = got.filter(F.col("clean") + F.col("toxic") >= least_rows).withColumn("odd", odd).orderBy(F.desc("odd"), "feature").limit(features).select("feature", (pt > 3 * pc).alias("sign")).collect()
     column = np.full(1 << BITS, -1, np.int32)
     column[[r.feature for r in best]] = np.arange(len(best))
     towards = np.array([bool(r.sign) for r in best] or [False])
@@ -133,29 +143,29 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, features
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
-            cols, counts = [], []
+            cols, counts, sizes = [], [], []
             for i, j, h, outer in grams(data, offsets):
                 for r in range(i, j):
                     own = h[outer[r - i] : outer[r - i + 1]]
                     own = column[own[own >= 0]]
+                    sizes.append(len(own))
                     c, k = np.unique(own[own >= 0], return_counts=True)
                     cols.append(c.astype(np.int32))
                     counts.append(k.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("severity"), pa.array(cols, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "severity", "cols", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("severity"), pa.array(cols, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(sizes, pa.int64())], ["doc_id", "severity", "cols", "counts", "size"])
 
-    table = sorted(rows.mapInArrow(lean(vectors), "doc_id long, severity int, cols array<int>, counts array<int>").collect(), key=lambda r: r.doc_id)
+    table = sorted(rows.mapInArrow(lean(vectors), f"doc_id {dict(rows.dtypes)['doc_id']}, severity int, cols array<int>, counts array<int>, size long").collect(), key=lambda r: (r.doc_id, r.size, r.cols))
     x = [(np.array(r.cols, int), np.array(r.counts, float)) for r in table]
     y = np.array([r.severity for r in table])
     if y.max() == 1 and severity_grades > 1:
-        hits = np.array([v[towards[c]].sum() for c, v in x])
+        hits = np.array([v[towards[c]].sum() / max(r.size, 1) for (c, v), r in zip(x, table, strict=True)])
         y = np.where(y > 0, 1 + np.searchsorted(np.quantile(hits[y > 0], np.arange(1, severity_grades) / severity_grades), hits, "left"), 0)
         y = np.unique(y, return_inverse=True)[1]  # no grade without rows
-    cap = 4.0
-    w, t = fit([(c, np.minimum(v, cap)) for c, v in x], y, len(best), int(y.max()) + 1, l2)
+    w, t = fit([(c, np.minimum(v, feature_cap)) for c, v in x], y, len(best), int(y.max()) + 1, l2)
     # half of the sample is toxic, as the thresholds expect; nothing is known of the rate elsewhere
     weights = np.zeros(1 << BITS, np.float32)
     weights[[r.feature for r in best]] = w
-    return OrdinalModel(weights, t, cap)
+    return OrdinalModel(weights, t, feature_cap)
 
 
 def score(docs: DataFrame, model: OrdinalModel, keys: list[str], names: list[str] | None = None) -> DataFrame:

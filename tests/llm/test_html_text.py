@@ -1,7 +1,12 @@
+import random
+from html.parser import HTMLParser
+
 import numpy as np
 
 from lumenseek.llm import html_text as op
 
+from .fixtures import words
+
 
 def test_blocks():
     page = "<html><head><title>t</title></head><body><ul><li><a href=x>one two</a></li></ul><p>a <b>bold</b>&amp; <a>link</a> end<br>next</p><script>var a='<p>no</p>'</script><!-- <p>no</p> -->last"
@@ -41,3 +46,90 @@ def test_never_closing_markup():
     tree = op.train_tree()
     for page in ("<", "<script>", "<!--", "<a <b <c", "</p", "<style>x", "<" * 10_000, "<script" * 3000):
         op.extract_page(page, tree)
+
+
+class Twin(HTMLParser):
+    """Blocks by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.parts, self.linked, self.depth, self.hidden = [], [], 0, 0, []
+
+    def close_block(self):
+        words = "".join(self.parts).split()
+        if words:
+            self.blocks.append((" ".join(words), len(words), min(self.linked, len(words))))
+        self.parts, self.linked = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in op.HIDDEN.split("|"):
+            self.close_block()
+            self.hidden.append(tag)
+        elif tag == "a":
+            self.depth = 1
+        elif tag not in op.INLINE:
+            self.close_block()
+        elif tag == "br":
+            self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        if self.hidden and tag == self.hidden[-1]:
+            self.hidden.pop()
+        elif tag == "a":
+            self.depth = 0
+        elif tag not in op.INLINE:
+            self.close_block()
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data)
+            if self.depth:
+                self.linked += len(data.split())
+
+
+def gini_tree(table, depth=6, least=2):
+    """CART by trying every split of every feature."""
+    y = [r[-1] for r in table]
+    p = sum(y) / len(y) if y else 0
+    impurity = lambda rows: len(rows) * (q := sum(r[-1] for r in rows) / len(rows)) * (1 - q)
+    if depth == 0 or p in (0, 1):
+        return p >= 0.5
+    best = None
+    for f in range(len(table[0]) - 1):
+        values = sorted({r[f] for r in table})
+        for cut in [(a + b) / 2 for a, b in zip(values, values[1:], strict=False)]:
+            low, high = [r for r in table if r[f] < cut], [r for r in table if r[f] >= cut]
+            if min(len(low), len(high)) >= least and (best is None or impurity(low) + impurity(high) < best[0] - 1e-12):
+                best = (impurity(low) + impurity(high), f, cut, low, high)
+    if best is None or best[0] >= len(y) * p * (1 - p) - 1e-12:
+        return p >= 0.5
+    return (best[1], best[2], gini_tree(best[3], depth - 1, least), gini_tree(best[4], depth - 1, least))
+
+
+def test_against_a_parser_and_an_exhaustive_tree(spark):
+    rng = random.Random(3)
+    tree = gini_tree([tuple(r) for r in op.LABELLED.tolist()])
+
+    def says(x):
+        node = tree
+        while not isinstance(node, bool):
+            node = node[2] if x[node[0]] < node[1] else node[3]
+        return node
+
+    def block():
+        text = words(rng, rng.choice([1, 3, 8, 20, 60]))
+        if rng.random() < 0.4:
+            text = f"<a href='x'>{text}</a> {words(rng, rng.choice([0, 1, 5]))}"
+        tag = rng.choice(["p", "div", "li", "h2", "td"])
+        return f"<{tag} class=\"k\">{text} &amp; <b>bold</b><br>after</{tag}>" + rng.choice(["", "<script>var x = 1</script>", "<!-- note -->", "loose words"])
+
+    pages = [(i, "".join(block() for _ in range(rng.randint(0, 12)))) for i in range(60)]
+    got = {r.page_id: r for r in op.extract(spark.createDataFrame(pages, "page_id long, html string")).collect()}
+    for i, page in pages:
+        twin = Twin()
+        twin.feed(page)
+        twin.close()
+        twin.close_block()
+        b = [(0, 0), *((n, k / n) for _, n, k in twin.blocks), (0, 0)]
+        kept = [t[0] for k, t in enumerate(twin.blocks) if says([*b[k], *b[k + 1], *b[k + 2]])]
+        assert (got[i].text, got[i].n_blocks, got[i].n_content) == ("\n".join(kept), len(twin.blocks), len(kept))

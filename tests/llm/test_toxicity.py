@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -91,3 +92,32 @@ def test_query_scores_every_document(spark, tmp_path):
     assert sorted(r.doc_id for r in got) == sorted([r[0] for r in rows] + [500])
     assert all(r.is_toxic == (r.p_toxic >= 0.5) and r.expected_severity is not None for r in got)
     assert 0 < sum(r.is_toxic for r in got) < len(got)
+
+
+def test_scores_against_counted_grams(spark):
+    """Scores by string counting, and the likelihood's best weights against a dense search from another start."""
+    rng = random.Random(9)
+    rows, labels = labelled(rng, 200)
+    model = op.train(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), feature_cap=3.0)
+    texts = [*rows[:40], doc(800, "Ärger  GROB\n\tgrob ... grob grob grob grob"), doc(801, ""), doc(802, None)]
+    got = {r.doc_id: r for r in op.score(frame(spark, texts), model, ["doc_id"]).collect()}
+    for i, text, *_ in texts:
+        s, counts = 0.0, {}
+        if text:
+            low = "".join(c.lower() if c < "\x80" or "À" <= c <= "Þ" and c != "×" else c for c in text)
+            b = f" {re.sub(r'[ \t\n\r\x0b\x0c\x1c-\x1f]+', ' ', low)} ".encode()
+            for k in range(len(b) - op.GRAM + 1):
+                h = (int.from_bytes(b[k : k + op.GRAM], "little") * 0x9E3779B97F4A7C15) % (1 << 64) >> (64 - op.BITS)
+                counts[h] = counts.get(h, 0) + 1
+            s = sum(float(model.weights[h]) * min(n, 3.0) for h, n in counts.items())
+        p = [1 / (1 + np.exp(-(s - t))) for t in model.thresholds]
+        assert abs(got[i].expected_severity - sum(p)) < 1e-4 and abs(got[i].p_toxic - p[0]) < 1e-4
+
+
+def test_repeated_labels_and_ties(spark):
+    rng = random.Random(10)
+    rows, labels = labelled(rng, 120)
+    schema = "doc_id long, quality int, toxic int"
+    once = op.train(frame(spark, rows), spark.createDataFrame(labels, schema))
+    again = op.train(frame(spark, rows), spark.createDataFrame([*labels, *labels[:60]], schema))
+    assert (once.weights == again.weights).all() and (once.thresholds == again.thresholds).all()

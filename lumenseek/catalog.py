@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .functions import chunking, extractors, scopes, snippets
 from .functions import columns as C
+from .functions.samples import SAMPLES
 from .index import Index
-from .operators import content, facets, paths, retention, search, symbols, upkeep
+from .operators import content, facets, paths, responses, retention, search, symbols, upkeep
 from .plans.language import request
 from .sources import corpus
 from .sources import ingest as wire
@@ -326,7 +327,7 @@ def symbol_search_paths_and_kinds(ix: Index) -> DataFrame:
     return symbols.search_symbols(ix, rows).drop("symbol_id")
 
 
-@query("SELECT s.content_hash, s.name, list({'line_number': r.line_number, 'column_number': r.column_number, 'kind': r.kind, 'namespace': r.namespace} ORDER BY r.line_number, r.column_number) AS refs FROM symbols s JOIN refs r USING (symbol_key) WHERE s.name = 'ontion' GROUP BY ALL", "symbols", "refs")
+@query(f"WITH best AS (SELECT * FROM (SELECT *, CAST({_KIND} + 40 - 15 AS DOUBLE) AS score FROM ({_PLACES}) WHERE name = 'ontion') {_BEST}) SELECT b.content_hash, b.name, list({{'namespace': r.namespace, 'name': b.name, 'kind': r.kind, 'line': r.line_number, 'column': r.column_number, 'repository': b.repository, 'commit_sha': b.commit_sha, 'file_path': b.file_path}} ORDER BY r.line_number, r.column_number) AS refs FROM best b JOIN refs r USING (symbol_key) GROUP BY ALL", "symbols", "refs", "files", "blobs")
 def symbol_reference_lists(ix: Index) -> DataFrame:
     one = symbols.search_symbols(ix, symbols.SymbolRequest(name="ontion", limit=None, include_references=True))
     return one.select("content_hash", F.col("symbol").alias("name"), F.col("references").alias("refs"))
@@ -337,9 +338,25 @@ def symbol_references(ix: Index) -> DataFrame:
     return symbols.symbol_references(ix, "src0", _sha("src0"), "ontion")
 
 
-@query(f"WITH best AS (SELECT * FROM (SELECT *, CAST(200 + 40 - 15 AS DOUBLE) AS score FROM ({_PLACES}) WHERE name = 'ontion' AND kind = 'definition' AND repository = 'src0' {_BEST})), l AS (SELECT content_hash, string_split(text, chr(10)) AS l FROM texts) SELECT repository, commit_sha, file_path, name AS symbol, kind, line_number, column_number, score, CAST(greatest(line_number - 1, 1) AS INTEGER) AS start_line, array_to_string(list_slice(l, greatest(line_number - 1, 1), line_number + 1), chr(10)) AS snippet FROM best JOIN l USING (content_hash)", "symbols", "refs", "files", "blobs")
+_EVERY = f"""WITH best AS (SELECT * FROM (SELECT *, CAST({_KIND} + 40 - 15 AS DOUBLE) AS score FROM ({_PLACES}) WHERE name = 'ontion' AND repository = 'src0' AND commit_sha = (SELECT commit_sha FROM branches WHERE repository = 'src0' AND branch = 'main')) {_BEST}),
+l AS (SELECT content_hash, string_split(text, chr(10)) AS l FROM texts)
+SELECT b.repository, b.commit_sha, b.file_path, b.name AS symbol, b.namespace, b.kind, b.line_number, b.column_number, b.score, r.line_number AS ref_line, r.column_number AS ref_column, r.kind AS ref_kind, r.namespace AS ref_namespace,
+CAST(greatest(r.line_number - 1, 1) AS INTEGER) AS start_line, CAST(least(r.line_number + 1, len(l)) AS INTEGER) AS end_line, array_to_string(list_slice(l, greatest(r.line_number - 1, 1), r.line_number + 1), chr(10)) AS snippet
+FROM best b JOIN refs r USING (symbol_key) JOIN l ON l.content_hash = b.content_hash"""
+
+
+@query(_EVERY, "symbols", "refs", "files", "blobs", "branches")
 def symbol_insights(ix: Index) -> DataFrame:
-    return symbols.insights(ix, "src0", _sha("src0"), "ontion", limit=None)
+    """Every reference of a name's symbols, with a line around each."""
+    out = responses.insights(ix, "src0", "main", "ontion", limit=None)
+    return out.select("*", *(F.col(f"reference.{a}").alias(f"ref_{a}") for a in ("line", "column", "kind", "namespace"))).drop("reference")
+
+
+@query(f"SELECT repository, commit_sha, file_path, symbol, line_number, ref_line, snippet FROM ({_EVERY}) WHERE contains(lower(snippet), 'thon')", "symbols", "refs", "files", "blobs", "branches")
+def snippet_needle(ix: Index) -> DataFrame:
+    """References whose lines have a word."""
+    out = responses.insights(ix, "src0", "main", "ontion", limit=None)
+    return out.filter(responses.snippet_has(F.col("snippet"), "Thon")).select("repository", "commit_sha", "file_path", "symbol", "line_number", F.col("reference.line").alias("ref_line"), "snippet")
 
 
 @query("SELECT DISTINCT name_lc FROM symbols", "symbols")
@@ -582,11 +599,101 @@ def snippet_spans(ix: Index) -> DataFrame:
     return rows.select("file_id", (F.col("start_line") + F.col("n")).cast("int").alias("match_line"), F.col("line").alias("content_text"), F.size(own).alias("spans"))
 
 
-@query(None)
+_MERGED = """, ln AS (SELECT file_id, content_hash, chunk_index, l, n, greatest(n - 3, 1) AS a, least(n + 3, len(l)) AS b FROM (SELECT *, unnest(range(1, len(l) + 1)) AS n FROM (SELECT *, string_split(text_content, chr(10)) AS l FROM first)) WHERE contains(lower(l[n]), 'thonin')),
+isl AS (SELECT *, CASE WHEN a <= lag(b) OVER (PARTITION BY file_id ORDER BY n) + 1 THEN 0 ELSE 1 END AS fresh FROM ln),
+grp AS (SELECT *, sum(fresh) OVER (PARTITION BY file_id ORDER BY n) AS g FROM isl),
+m AS (SELECT file_id, content_hash, chunk_index, min(a) AS a, max(b) AS b, min(n) AS match, any_value(l) AS l FROM grp GROUP BY file_id, content_hash, chunk_index, g),
+t AS (SELECT *, array_to_string(list_slice(l, a, b), chr(10)) AS text FROM m),
+snip AS (SELECT *, CAST((length(lower(text)) - length(replace(lower(text), 'thonin', ''))) / 6 AS INTEGER) AS spans, len(regexp_extract_all(lower(text), '\\bthonin\\b')) AS whole, length(text) - length(regexp_replace(text, '[:=()]', '', 'g')) AS signs FROM t)"""
+
+
+@query(_FIRST + _MERGED + " SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY whole DESC, spans DESC, signs DESC, a) AS INTEGER) AS nth, CAST(ahead + a AS INTEGER) AS start_line, CAST(ahead + b AS INTEGER) AS end_line, CAST(ahead + match AS INTEGER) AS match_line, text AS content_text, spans FROM snip JOIN starts USING (content_hash, chunk_index)", "files", "chunks", "mapping", "branches", "snapshots", "live")
 def snippet_merge(ix: Index) -> DataFrame:
     """Snippets with three lines of context, merged where they meet, the best of each file first."""
-    first = search.first_chunks(search.matches(ix, request("(thonin or tion)")))
-    return snippets.page_snippets(first, ix.chunks, content.chunk_start_lines(ix))
+    first = search.first_chunks(search.matches(ix, request("thonin")))
+    out = snippets.page_snippets(first, ix.chunks, content.chunk_start_lines(ix))
+    return out.withColumn("spans", F.size("match_spans")).drop("match_spans")
+
+
+_DEFINED = "SELECT DISTINCT s.content_hash, r.line_number AS line FROM symbols s JOIN refs r USING (symbol_key) WHERE s.name_lc = 'thonin' AND r.kind = 'definition'"
+_TOP = f"""SELECT p.file_id, p.position, CAST(x.match_line AS INTEGER) AS match_line, CAST(x.n AS INTEGER) AS snippets, '/repo/' || p.repository || '/tree/' || p.commit_sha || '/' || p.file_path || '#L' || CAST(x.match_line AS VARCHAR) AS permalink
+FROM ({_search_sql((_ci('thonin'), _IS_LIVE, False, 'thonin', False), terms=('thonin',), tail=_PAGE.format(0, 25))}) p
+JOIN ({with_tables('files', 'chunks', 'mapping', 'branches', 'snapshots', 'live', 'symbols', 'refs', body=_FIRST + _MERGED + f", defined AS ({_DEFINED}) SELECT file_id, ahead + match AS match_line, count(*) OVER (PARTITION BY file_id) AS n FROM snip JOIN starts USING (content_hash, chunk_index) QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY EXISTS (SELECT 1 FROM defined d WHERE d.content_hash = snip.content_hash AND d.line BETWEEN ahead + a AND ahead + b) DESC, whole DESC, spans DESC, signs DESC, a) = 1")}) x USING (file_id)"""
+
+
+@on_tables(_TOP)
+def search_page_with_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = responses.page(corpus.stored(spark, sf_dir), request("thonin"))
+    return out.select("file_id", "position", "match_line", F.size("snippets").alias("snippets"), "permalink")
+
+
+_BATCH = ("thonin", "inthe", "tionth")
+
+
+def _batch_part(n: int, term: str, tail: str) -> str:
+    return _search_sql((_ci(term), _IS_LIVE, False, term, False), terms=(term,), tail=tail)
+
+
+@on_tables("SELECT query_ord, any_term, rank, file_id FROM (" + " UNION ALL ".join(f"SELECT {n} AS query_ord, '{t}' AS any_term, position AS rank, file_id, repository, file_path FROM ({_batch_part(n, t, _PAGE.format(0, 25))}) WHERE position <= 10" for n, t in enumerate(_BATCH)) + ") QUALIFY row_number() OVER (PARTITION BY repository, file_path ORDER BY query_ord, rank) = 1")
+def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three terms searched on their own, ten results of each, merged without repetitions."""
+    return responses.batch(corpus.stored(spark, sf_dir), list(_BATCH), dedupe="repo_path", most=10).results.select("query_ord", "any_term", "rank", "file_id")
+
+
+@on_tables(" UNION ALL ".join(f"SELECT {n} AS query_ord, '{t}' AS any_term, least(total, 10) AS count, total > 25 AS has_more FROM ({_batch_part(n, t, 'SELECT count(*) AS total FROM found')})" for n, t in enumerate(_BATCH)))
+def batch_search_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return responses.batch(corpus.stored(spark, sf_dir), list(_BATCH), dedupe="repo_path", most=10).counts
+
+
+@query("SELECT f.file_id, CAST(i AS INTEGER) AS line, l[i] AS text, i = least(5, len(l)) AS is_match FROM files f JOIN (SELECT content_hash, l, unnest(range(greatest(least(5, len(l)) - 3, 1), least(least(5, len(l)) + 3, len(l)) + 1)) AS i FROM (SELECT content_hash, string_split(text, chr(10)) AS l FROM texts)) USING (content_hash)", "files", "blobs")
+def context_series(ix: Index) -> DataFrame:
+    """The lines around the fifth line of every file, a row each."""
+    rows = ix.files.join(content.reassembled(ix), "content_hash").select("file_id", F.explode(content.context_lines(F.col("text"), F.lit(5))).alias("c"))
+    return rows.select("file_id", "c.*")
+
+
+@query("SELECT f.repository, f.commit_sha, f.file_path, 'file' AS kind, b.language, b.line_count, t.text, CAST(NULL AS VARCHAR) AS download FROM files f JOIN blobs b ON b.hash = f.content_hash JOIN texts t USING (content_hash)", "files", "blobs")
+def file_views(ix: Index) -> DataFrame:
+    return responses.file_view(ix, ix.files)
+
+
+@query("SELECT DISTINCT CASE WHEN contains(substr(file_path, 4), '/') THEN 'dir' ELSE 'file' END AS kind, split_part(substr(file_path, 4), '/', 1) AS name, 'de/' || split_part(substr(file_path, 4), '/', 1) AS path FROM files WHERE repository = 'src2' AND commit_sha = left(sha256('src2'), 40) AND starts_with(file_path, 'de/')", "files")
+def directory_entries(ix: Index) -> DataFrame:
+    return responses.directory_view(ix, "src2", "main", "de/")[0]
+
+
+@on_tables("SELECT true AS ok")
+def health_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return responses.healthy(spark, corpus.stored(spark, sf_dir))
+
+
+@query("SELECT repository, commit_sha, file_path, content_hash FROM files", "files")
+def upload_shards(ix: Index) -> DataFrame:
+    """File entries sent in compressed shards and read from them."""
+    rows = ix.files.drop("file_id")
+    return wire.records_of(wire.shards(rows, "file_entry", records=100), "file_entry", wire.SECTIONS["file_entry"])
+
+
+@on_tables("SELECT 'P' || CAST(p_partkey AS VARCHAR) AS symbol, 'src/' || replace(p_brand, '#', '_') || '.py' AS file_path, CAST(3 * row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 2 AS INTEGER) AS line_number, replace(p_brand, '#', '_') AS namespace FROM part")
+def repository_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source file for each brand, with a class for each of its parts, walked and indexed twice; then its classes."""
+    root = new_folder(spark, "repository")
+    p = corpus.read(spark, sf_dir, "part")
+    source = F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda k: F.concat(F.lit("class P"), k.cast("string"), F.lit(":\n    def size(self):\n        return 1"))), "\n")
+    written = p.groupBy("p_brand").agg(source.alias("text"))
+    wire.write_files(written.select(F.concat(F.lit("src/"), F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit(".py")).alias("path"), "text"), root)
+    for _ in range(2):
+        ix = ingest.index_repository(spark, root, "shop", "main", "c1", f"{root}-index", NOW)
+    found = symbols.search_symbols(ix, symbols.SymbolRequest(name_regex="^P[0-9]+$", kinds=("definition",), repository="shop", limit=None))
+    return found.select("symbol", "file_path", "line_number", "namespace")
+
+
+@query("SELECT DISTINCT 'src' || CAST(user_id % 20 AS VARCHAR) AS repository, CAST(3600 * (user_id % 20) AS BIGINT) AS interval_seconds FROM events e WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id % 20 = e.user_id % 20 AND epoch(TIMESTAMP '2024-01-31 04:00:00') - epoch(date_trunc('second', x.ts)) < 3600 * (e.user_id % 20))")
+def repositories_due(ix: Index) -> DataFrame:
+    """Repositories whose last snapshot is as old as their polling interval, a different one for each."""
+    n = F.substring("repository", 4, 9).cast("long")
+    wanted = ix.snapshots.select("repository", (n * 3600).alias("interval_seconds")).distinct()
+    return ingest.due(wanted, ix.snapshots.select("repository", F.col("indexed_at").alias("at")), datetime(2024, 1, 31, 4))
 
 
 @query("SELECT content_hash, CAST(strlen(text) AS BIGINT) AS byte_len, CAST(length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END AS BIGINT) AS lines, content_hash AS again FROM texts WHERE text <> ''", "texts")
@@ -618,6 +725,31 @@ def extracted_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extractors.extract(p.select(F.col("p_partkey").cast("string").alias("content_hash"), F.lit("python").alias("language"), F.lit("parts").alias("namespace"), text.alias("text")))
 
 
+def _names_of(language: str) -> None:
+    """A query of the names in a language's sample with each part's key in it, and what they have to be."""
+    text, names = SAMPLES[language]
+    lines = text.split("\n")
+    rows = []
+    for row in names.splitlines():
+        line, column, kind, name, *namespace = row.split(" ")
+        ahead = lines[int(line) - 1][: int(column) - 1].count("7")  # keys before it on the line, of seven digits each
+        keyed = lambda t: "'" + t.replace("7", "' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') || '") + "'"
+        rows.append(f"({line}, {int(column) + 6 * ahead}, '{ {'d': 'definition', 'r': 'reference'}.get(kind, kind) }', {keyed(name)}, {keyed(namespace[0]) if namespace else repr('parts')})")
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = corpus.read(spark, sf_dir, "part")
+        key = F.lpad(F.col("p_partkey").cast("string"), 7, "0")
+        source = F.replace(F.lit(text), F.lit("7"), key)
+        return extractors.extract(p.select(key.alias("content_hash"), F.lit(language).alias("language"), F.lit("parts").alias("namespace"), source.alias("text")))
+
+    QUERIES[f"extracted_{language}"] = run
+    ORACLES[f"extracted_{language}"] = f"SELECT lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS content_hash, s.name, s.kind, s.namespace, CAST(s.line AS INTEGER) AS line, CAST(s.col AS INTEGER) AS \"column\" FROM part, LATERAL (VALUES {', '.join(rows)}) s(line, col, kind, name, namespace)"
+
+
+for _name in SAMPLES:
+    _names_of(_name)
+
+
 @on_tables("SELECT CAST(doc_id AS VARCHAR) AS upload_id, sha256(text) AS hash, CAST(NULL AS VARCHAR) AS error FROM documents")
 def upload_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text sent in parts of 4096 characters and put together."""
@@ -630,11 +762,11 @@ def upload_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT repository, commit_sha, file_path, content_hash FROM files", "files")
 def manifest_round_trip(ix: Index) -> DataFrame:
-    """File pointers written to a manifest with branch heads and read from it."""
+    """File entries written to a manifest with branch heads and read from it."""
     spark = ix.files.sparkSession
     path = new_folder(spark, "manifest")
-    wire.write_manifest({"file_pointer": ix.files.drop("file_id"), "branch_head": ix.branches.drop("indexed_at")}, path)
-    return wire.read_manifest(spark, path)["file_pointer"]
+    wire.write_manifest({"file_entry": ix.files.drop("file_id"), "branch_head": ix.branches.drop("indexed_at")}, path)
+    return wire.read_manifest(spark, path)["file_entry"]
 
 
 @on_tables("SELECT 'files' AS \"table\", count(*) AS n FROM documents UNION ALL SELECT 'blobs', count(DISTINCT text) FROM documents UNION ALL SELECT 'mapped', count(DISTINCT text) FROM documents WHERE text <> ''")

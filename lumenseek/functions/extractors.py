@@ -145,6 +145,11 @@ def lex(source: str, language: str) -> list[Token]:
     return out
 
 
+#: Words that may stand before the type of a pointer's declaration, and directives whose line names nothing.
+DECLARING = ("const", "static", "extern", "volatile", "unsigned", "signed", "struct", "union", "enum", "inline", "constexpr", "mutable", "register", "class", ":")
+DIRECTIVES = ("include", "import", "pragma", "version", "extension", "error", "line")
+
+
 class _Walk:
     def __init__(self, tokens: list[Token], spec: Spec, language: str, hint: str | None) -> None:
         self.t, self.spec, self.language = tokens, spec, language
@@ -260,6 +265,10 @@ class _Walk:
                 return self.objc_at(i)
             elif t.text in "-+" and self.language == "objc" and self.text(self.solid(i, 1)) == "(" and self.text(i - 1) in ("", "\n"):
                 return self.objc_method(i)
+            elif t.text == "#" and self.text(i + 1) in DIRECTIVES:
+                while i < len(self.t) and self.t[i].kind != "line":
+                    i += 1
+                return i
             elif t.text == "#" and self.text(i + 1) == "define" and self.is_name(i + 2):
                 self.add(i + 2, "definition")
                 return i + 3
@@ -456,9 +465,14 @@ class _Walk:
 
     def declared(self, i: int, before: str, after: int, x: str, body: str) -> bool:
         words = TYPE_WORDS.get(self.language, frozenset())
-        p = self.solid(i, -1)
+        p, pointer = self.solid(i, -1), False
         while self.text(p) in ("*", "&", "]", "[", ">") and p > 0:
+            pointer = pointer or self.text(p) in ("*", "&")
             p = self.solid(p, -1)
+        if pointer:  # a product or a mask, but where a statement begins
+            q = self.solid(p, -1)
+            if self.language in ("java", "glsl") or self.text(q) not in ("{", "}", ";", "", *DECLARING):
+                return False
         typed = p >= 0 and self.t[p].kind == "name" and (self.text(p) in words or self.is_name(p)) and before not in (".", "->", "::")
         maker = self.language in ("java", "cpp") and bool(self.stack) and self.text(i) == self.stack[-1][0] and x == "("
         if not typed and not maker:

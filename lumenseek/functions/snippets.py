@@ -204,12 +204,12 @@ def segments(text: str, spans: list[Span]) -> list[tuple[str, bool]]:
     return out
 
 
-SCHEMA = "file_id long, start_line int, end_line int, match_line int, content_text string, match_spans array<struct<start:int,end:int>>"
+SCHEMA = "file_id long, nth int, start_line int, end_line int, match_line int, content_text string, match_spans array<struct<start:int,end:int>>"
 
 
 def page_snippets(results: DataFrame, chunk_texts: DataFrame, starts: DataFrame, definitions: DataFrame | None = None, context: int = 3) -> DataFrame:
-    """(file_id, start_line, end_line, match_line, content_text, match_spans): merged snippets of each result's first
-    matching chunk, the best first. A chunk without a matching line is a snippet whole. definitions(content_hash, line):
+    """(file_id, nth, start_line, end_line, match_line, content_text, match_spans): merged snippets of each result's first
+    matching chunk; nth is 1 for the best. A chunk without a matching line is a snippet whole. definitions(content_hash, line):
     lines where a term is defined."""
     rows = results.select("file_id", "content_hash", "chunk_index", "chunk_hash", "highlight_pattern", "highlight_case_sensitive")
     rows = rows.join(chunk_texts, "chunk_hash").join(starts.select("content_hash", "chunk_index", "start_line"), ["content_hash", "chunk_index"])
@@ -235,10 +235,10 @@ def page_snippets(results: DataFrame, chunk_texts: DataFrame, starts: DataFrame,
                 defined = set(r["defined"] or ())
                 merged = merge(found)
                 ranks = {id(s): rank(s.text, s.spans, any(s.start_line <= d <= s.end_line for d in defined), pattern, cs) for s in merged}
-                for s in sorted(merged, key=lambda s: (*(-int(x) for x in ranks[id(s)]), s.start_line)):
-                    out.append((r["file_id"], s.start_line, s.end_line, s.match_line, s.text, [{"start": a, "end": b} for a, b in s.spans]))
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["file_id", "start_line", "end_line", "match_line", "content_text", "match_spans"])
+                for nth, s in enumerate(sorted(merged, key=lambda s: (*(-int(x) for x in ranks[id(s)]), s.start_line)), 1):
+                    out.append((r["file_id"], nth, s.start_line, s.end_line, s.match_line, s.text, [{"start": a, "end": b} for a, b in s.spans]))
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["file_id", "nth", "start_line", "end_line", "match_line", "content_text", "match_spans"])
 
     return rows.select("file_id", "highlight_pattern", "highlight_case_sensitive", "start_line", "text_content", "defined").mapInArrow(run, SCHEMA)

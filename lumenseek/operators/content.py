@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -45,6 +45,14 @@ def file_snippets(ix: Index, wanted: DataFrame, context: int = MAX_CONTEXT) -> D
     return rows.select("repository", "commit_sha", "file_path", "line", first.alias("start_line"), last.alias("end_line"), lines.alias("total_lines"), line_slice(F.col("text"), first, last).alias("snippet"), (last < lines).alias("truncated"))
 
 
+def context_lines(text: Column, line: Column, context: int = MAX_CONTEXT) -> Column:
+    """Numbered lines around a line, clamped to the text: the rows of a series, as an array to explode."""
+    lines = F.split(text, "\n", -1)
+    n = F.least(F.greatest(line, F.lit(1)), F.size(lines))
+    series = F.sequence(F.greatest(n - context, F.lit(1)), F.least(n + context, F.size(lines)))
+    return F.transform(series, lambda i: F.struct(i.alias("line"), F.get(lines, i - 1).alias("text"), (i == n).alias("is_match")))
+
+
 def missing_files(ix: Index, wanted: DataFrame) -> DataFrame:
     return wanted.join(ix.files, ["repository", "commit_sha", "file_path"], "left_anti")
 

@@ -9,6 +9,10 @@ from ..index import Index
 from ..plans.language import escape_like
 
 
+#: What an interactive tool answers at most: pages followed, list entries, rows a listing is made from.
+PAGES, LIST_ENTRIES, SOURCE_ROWS = 5, 5000, 200_000
+
+
 def tree(files: DataFrame, prefix: str = "") -> DataFrame:
     """Immediate children of a directory: (repository, commit_sha, kind, name, path), directories first."""
     at = prefix.strip("/")
@@ -55,6 +59,26 @@ def page(rows: DataFrame, cursor: int, size: int, *order: str | Column) -> DataF
     return rows.orderBy(*order).offset(max(0, cursor)).limit(max(1, size))
 
 
+def paged(rows: DataFrame, cursor: int, size: int, *order: str | Column, pages: int = 1, cap: int | None = None) -> tuple[DataFrame, int | None]:
+    """Rows of several pages (PAGES at most) from a numeric cursor, no more than cap, and the next cursor; None at the end."""
+    start, most = max(0, cursor), max(1, size) * max(1, min(pages, PAGES))
+    most = most if cap is None else min(most, cap)
+    some = rows.orderBy(*order).offset(start)
+    return some.limit(most), start + most if some.limit(most + 1).count() > most else None
+
+
+def prefetched_paths(files: DataFrame, needle: str, limit: int) -> DataFrame:
+    """search_paths over the first clamp(5 * limit, 1, 200) matching files by path only, cut at limit: the quick answer that
+    looks no further; search_paths() is the whole one."""
+    own = files.filter(F.contains(F.lower("file_path"), F.lit(needle.lower()))).orderBy("file_path", "repository").limit(max(1, min(5 * limit, 200)))
+    return search_paths(own, needle, limit)
+
+
+def listed_capped(files: DataFrame, root: str = "", depth: int = 1, source: int = SOURCE_ROWS, entries: int = LIST_ENTRIES) -> DataFrame:
+    """listed() over at most so many files in the order of paths, and at most so many entries: for an interactive tool."""
+    return listed(files.orderBy("file_path").limit(source), root, depth).limit(entries)
+
+
 def _limit(n: int) -> int:
     return max(1, min(n, 20))
 

@@ -6,6 +6,7 @@ only keys are shuffled. Branch tables are small next to files; Spark broadcasts
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -93,6 +94,11 @@ def candidate_chunks(ix: Index, plans: list[Plan]) -> DataFrame:
 
 def plan_matches(ix: Index, plan: Plan) -> DataFrame:
     """One row for each matching chunk of each file of the plan."""
+    if plan.repos and not any(t.regex for t in plan.required):
+        # few files are known beforehand: their chunks alone are read
+        files = plan_files(ix, plan)
+        places = ix.mapping.join(files.select("content_hash").distinct(), "content_hash", "left_semi")
+        ix = replace(ix, mapping=places, chunks=ix.chunks.join(places.select("chunk_hash").distinct(), "chunk_hash", "left_semi"))
     chunks = candidate_chunks(ix, [plan]).filter(chunk_filter(plan, F.col("text_content"))).select("chunk_hash")
     places = ix.mapping.select("content_hash", "chunk_hash", "chunk_index").join(chunks, "chunk_hash")
     out = places.join(plan_files(ix, plan), "content_hash")
@@ -258,6 +264,11 @@ def search(ix: Index, request: Request, capped: bool = False) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(w)).filter(F.col("position") > request.offset)
 
 
-def has_more(ix: Index, request: Request) -> DataFrame:
-    """(total, has_more) of a request."""
-    return ranked(ix, request).agg(F.count("*").alias("total")).withColumn("has_more", F.col("total") > request.offset + request.page_size)
+def has_more(ix: Index, request: Request, capped: bool = False) -> DataFrame:
+    """(total, has_more) of a request. capped: there may be more, too, if matches were as many as the fetch limit."""
+    total = ranked(ix, request, capped).agg(F.count("*").alias("total"))
+    more = F.col("total") > request.offset + request.page_size
+    if not capped:
+        return total.withColumn("has_more", more)
+    full = matches(ix, request, capped).count() >= request.fetch_limit
+    return total.select("total", (more | ((F.col("total") > 0) & F.lit(full))).alias("has_more"))

@@ -11,7 +11,6 @@ from pyspark.sql.window import Window
 from ..functions.columns import fully_qualified, in_paths, symbol_weight
 from ..index import Index
 from ..plans.language import java_regex
-from .content import file_snippets
 
 
 @dataclass(frozen=True)
@@ -85,9 +84,11 @@ def search_symbols(ix: Index, r: SymbolRequest) -> DataFrame:
     if r.limit is not None:
         out = out.orderBy(F.desc("score"), "symbol", "content_hash").limit(max(1, min(r.limit, 1000)))
     if r.include_references:
-        each = ix.references.join(ix.namespaces, "namespace_id").select("symbol_id", F.struct("line_number", "column_number", "kind", F.nullif(F.col("namespace"), F.lit("")).alias("namespace")).alias("ref"))
-        refs = each.groupBy("symbol_id").agg(F.array_sort(F.collect_list("ref")).alias("references"))
-        out = out.join(refs, "symbol_id", "left")
+        own = ix.references.join(out.select("symbol_id"), "symbol_id", "left_semi").join(ix.namespaces, "namespace_id")
+        each = own.select("symbol_id", F.struct("line_number", "column_number", "kind", F.nullif(F.col("namespace"), F.lit("")).alias("namespace")).alias("ref"))
+        refs = each.groupBy("symbol_id").agg(F.array_sort(F.collect_list("ref")).alias("refs"))
+        place = lambda r: F.struct(r["namespace"].alias("namespace"), F.col("symbol").alias("name"), r["kind"].alias("kind"), r["line_number"].alias("line"), r["column_number"].alias("column"), "repository", "commit_sha", "file_path")
+        out = out.join(refs, "symbol_id", "left").withColumn("references", F.transform("refs", place)).drop("refs")
     return out
 
 
@@ -103,22 +104,3 @@ def symbol_references(ix: Index, repository: str, commit_sha: str, name: str, na
         rows = rows.filter(F.col("namespace") == namespace)
     out = rows.select("repository", "commit_sha", "file_path", "name", "namespace", "kind", "line_number", "column_number").orderBy("file_path", "line_number", "column_number")
     return out if limit is None else out.limit(limit)
-
-
-def insights(ix: Index, repository: str, commit_sha: str, name: str, scope: str = "repository", path: str = "", limit: int | None = 100) -> DataFrame:
-    """Definitions of a name with a line of context each, all in one plan. scope: repository; directory or file (of path);
-    custom (path is a part of the wanted paths)."""
-    r = SymbolRequest(
-        name=name,
-        repository=repository,
-        commit_sha=commit_sha,
-        include_paths=(path.rsplit("/", 1)[0] + "/",) if scope == "directory" and "/" in path else (path,) if scope == "file" else (),
-        path=path if scope == "custom" else None,
-        path_hint=path or None,
-        kinds=("definition",),
-        limit=limit,
-    )
-    found = search_symbols(ix, r)
-    keys = ["repository", "commit_sha", "file_path"]
-    lines = file_snippets(ix, found.select(*keys, F.col("line_number").alias("line")).distinct(), 1)
-    return found.join(lines.withColumnRenamed("line", "line_number"), [*keys, "line_number"]).select(*keys, "symbol", "kind", "line_number", "column_number", "score", "start_line", "snippet")

@@ -18,22 +18,29 @@ FILES_A_TASK = 200
 
 def walk(spark: SparkSession, root: str, ignored: list[str] | None = None) -> DataFrame:
     """(path, content) of all files under a folder, hidden ones too, but for build folders and ignored paths. ignored:
-    lines as in .gitignore (globs; a trailing slash for folders; a leading one for the root; ! takes a path back)."""
+    lines as in .gitignore (globs; a trailing slash for folders; a leading one for the root; ! takes a path back). Every
+    folder's own .gitignore counts for what is under it, the deepest last."""
     # Spark's own file source leaves hidden files out: the listing is made here, contents are read by the executors
     where = root if "://" in root else os.path.abspath(root)
     store, base = fs.FileSystem.from_uri(where)
     found = [(f.path,) for f in store.get_file_info(fs.FileSelector(base, recursive=True)) if f.type == fs.FileType.File]
     listed = spark.createDataFrame(found, "full string").withColumn("path", relative_path(F.col("full"), base))
     rows = listed.filter(F.col("path").isNotNull() & ~skipped_path(F.col("path")))
+    rules = [("", line) for line in ignored or []]
+    inner = sorted((f[0] for f in found if f[0].rsplit("/", 1)[-1] == ".gitignore"), key=lambda p: p.count("/"))
+    for full in inner:
+        with store.open_input_stream(full) as f:
+            folder = full.removeprefix(base.rstrip("/") + "/").rpartition("/")[0]
+            rules += [(folder, line) for line in f.read().decode(errors="replace").split("\n")]
     keep = F.lit(True)
-    for line in ignored or []:
+    for folder, line in rules:
         line = line.strip()
         if not line or line.startswith("#"):
             continue
         back = line.startswith("!")
-        hit = F.col("path").rlike(ignore_regex(line.lstrip("!")))
-        keep = F.when(hit, F.lit(back)).otherwise(keep)
-
+        under = F.lit(True) if not folder else F.startswith("path", F.lit(folder + "/"))
+        rest = F.col("path") if not folder else F.substring("path", len(folder) + 2, 1 << 30)
+        keep = F.when(under & rest.rlike(ignore_regex(line.lstrip("!"))), F.lit(back)).otherwise(keep)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = fs.FileSystem.from_uri(where)[0]
@@ -46,6 +53,22 @@ def walk(spark: SparkSession, root: str, ignored: list[str] | None = None) -> Da
     return rows.filter(keep).select("full", "path").repartition(parts, "path").mapInArrow(read, "path string, content binary")
 
 
+def write_files(rows: DataFrame, root: str) -> None:
+    """Writes each row(path, text) as a file under a folder that all executors share."""
+    where = root if "://" in root else os.path.abspath(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(where)
+        for batch in batches:
+            for path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                store.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{base}/{path}") as f:
+                    f.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    rows.select("path", "text").mapInArrow(run, "n long").count()
+
+
 def ignore_regex(rule: str) -> str:
     folder = rule.endswith("/")
     body = rule.strip("/")
@@ -78,7 +101,7 @@ def blobs_of(walked: DataFrame) -> DataFrame:
 
 SECTIONS = {
     "content_blob": "hash string, language string, byte_len long, line_count int",
-    "file_pointer": "repository string, commit_sha string, file_path string, content_hash string",
+    "file_entry": "repository string, commit_sha string, file_path string, content_hash string",
     "symbol_record": "content_hash string, name string",
     "symbol_namespace": "namespace string",
     "reference_record": "content_hash string, namespace string, name string, kind string, line int, column int",
@@ -106,6 +129,77 @@ def read_manifest(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return found
 
 
+def shards(rows: DataFrame, section: str, records: int = 50_000, most: int = 4 << 20) -> DataFrame:
+    """(section, records, raw_bytes, payload): JSON lines of rows in shards of at most so many records and bytes (a longer
+    record is a shard of its own), each zstd-compressed and in base64. Shards are cut inside partitions: no shuffle."""
+    lines = rows.select(F.to_json(F.struct(*rows.columns)).alias("line"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import base64
+
+        import zstandard
+
+        held: list[bytes] = []
+        size = 0
+
+        def packed() -> pa.RecordBatch:
+            raw = b"".join(held)
+            text = base64.b64encode(zstandard.ZstdCompressor().compress(raw)).decode()
+            return pa.RecordBatch.from_arrays([pa.array([section]), pa.array([len(held)], pa.int32()), pa.array([len(raw)], pa.int64()), pa.array([text])], ["section", "records", "raw_bytes", "payload"])
+
+        for batch in batches:
+            for line in batch.column(0).to_pylist():
+                one = line.encode() + b"\n"
+                if held and (len(held) == records or size + len(one) > most):
+                    yield packed()
+                    held.clear()
+                    size = 0
+                held.append(one)
+                size += len(one)
+        if held:
+            yield packed()
+
+    return lines.mapInArrow(run, "section string, records int, raw_bytes long, payload string")
+
+
+def records_of(shards: DataFrame, section: str, schema: str) -> DataFrame:
+    """The records of a section's shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import base64
+
+        import zstandard
+
+        for batch in batches:
+            for payload in batch.column(0).to_pylist():
+                raw = zstandard.ZstdDecompressor().decompressobj().decompress(base64.b64decode(payload))
+                yield pa.RecordBatch.from_arrays([pa.array(raw.decode().split("\n")[:-1])], ["line"])
+
+    own = shards.filter(F.col("section") == section).select("payload").mapInArrow(run, "line string")
+    return own.select(F.from_json("line", schema).alias("r")).select("r.*")
+
+
+class Spool:
+    """Records kept on disk by type: appended a table at a time, read back whole or in batches of bounded size."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def append(self, section: str, rows: DataFrame) -> None:
+        rows.write.mode("append").json(f"{self.path}/{section}")
+
+    def read(self, section: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).json(f"{self.path}/{section}")
+
+    def batches(self, section: str, schema: str, records: int = 50_000) -> Iterator[pa.Table]:
+        """Tables of at most so many records, one at a time on the driver."""
+        rows = self.read(section, schema)
+        for part in rows.withColumn("_part", F.spark_partition_id()).select("_part").distinct().orderBy("_part").collect():
+            whole = rows.filter(F.spark_partition_id() == part[0]).toArrow()
+            for k in range(0, whole.num_rows, records):
+                yield whole.slice(k, records)
+
+
 def write_report(tables: dict[str, DataFrame], path: str, rows_per_file: int = 50_000) -> None:
     """JSON files by table, of bounded size."""
     for name, rows in tables.items():

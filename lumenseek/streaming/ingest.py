@@ -6,19 +6,27 @@ and a source that is read again, add nothing; a job that fails before its commit
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.chunking import chunk
-from ..functions.columns import infer_language, line_count
-from ..operators.upkeep import first_by, missing
+from ..functions.columns import infer_language, line_count, namespace_from_path
+from ..functions.extractors import extract
+from ..index import SCHEMAS, Index
+from ..operators.textindex import postings
+from ..operators.upkeep import first_by, missing, upsert
+from ..sources.ingest import blobs_of, walk
 
 RECORD = "repository string, commit_sha string, file_path string, text string"
 HEAD = "repository string, branch string, commit_sha string"
-KEYS = {"files": ["repository", "commit_sha", "file_path"], "blobs": ["hash"], "mapping": ["content_hash", "chunk_index"], "chunks": ["chunk_hash"]}
+FILE = "repository string, commit_sha string, file_path string, hash string, language string, byte_len long, line_count int, text string"
+KEYS = {"files": ["repository", "commit_sha", "file_path"], "blobs": ["hash"], "mapping": ["content_hash", "chunk_index"], "chunks": ["chunk_hash"], "symbols": ["symbol_id"], "namespaces": ["namespace_id"], "references": ["symbol_id", "namespace_id", "kind", "line_number", "column_number"], "branches": ["repository", "branch"], "live": ["repository", "branch"], "snapshots": ["repository", "branch", "commit_sha"]}
 
 
 def stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -38,18 +46,69 @@ def append_new(rows: DataFrame, path: str, keys: list[str]) -> None:
 
 
 def ingest_batch(records: DataFrame, path: str) -> None:
-    """Files, blobs, chunk lists and chunks of records(repository, commit_sha, file_path, text). Only texts that the index
-    doesn't know are chunked. Chunks go first and files last, so that a file's parts are there when it is."""
-    spark = records.sparkSession
-    files = records.select("repository", "commit_sha", "file_path", F.sha2("text", 256).alias("content_hash"), "text").filter("text is not null")
-    blobs = files.select(F.col("content_hash").alias("hash"), infer_language(F.col("file_path")).alias("language"), F.octet_length("text").cast("long").alias("byte_len"), line_count(F.col("text")).alias("line_count"))
-    unknown = missing(blobs, stored(spark, f"{path}/blobs", blobs), "hash").withColumnRenamed("hash", "content_hash")
-    texts = files.join(unknown, "content_hash").groupBy("content_hash").agg(F.first("text").alias("text"))
-    chunks = chunk(texts)
-    append_new(chunks.select("chunk_hash", "text_content"), f"{path}/chunks", KEYS["chunks"])
+    """ingest_files for records(repository, commit_sha, file_path, text); rows with a null text are left out."""
+    rows = records.filter("text is not null").select("repository", "commit_sha", "file_path", F.sha2("text", 256).alias("hash"), infer_language(F.col("file_path")).alias("language"), F.octet_length("text").cast("long").alias("byte_len"), line_count(F.col("text")).alias("line_count"), "text")
+    ingest_files(rows, path)
+
+
+def number(text: Column) -> Column:
+    """A surrogate key in place of a sequence: the same for the same text in every run."""
+    return F.conv(F.left(F.sha2(text, 256), F.lit(15)), 16, 10).cast("long")
+
+
+def extracted(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Symbols, namespaces and references of texts(content_hash, language, file_path, text)."""
+    rust = F.col("language") == "rust"
+    own = F.when(rust, namespace_from_path(F.col("file_path"), rust=True)).otherwise(namespace_from_path(F.col("file_path")))
+    rows = extract(texts.select("content_hash", "language", own.alias("namespace"), "text"))
+    namespace = F.coalesce("namespace", F.lit(""))
+    rows = rows.select("content_hash", "name", F.lower("name").alias("name_lc"), number(F.concat("content_hash", F.lit(":"), "name")).alias("symbol_id"), namespace.alias("namespace"), number(namespace).alias("namespace_id"), "kind", F.col("line").alias("line_number"), F.col("column").alias("column_number"))
+    return (
+        rows.select("symbol_id", "content_hash", "name", "name_lc"),
+        rows.select("namespace_id", "namespace"),
+        rows.select("symbol_id", "namespace_id", "kind", "line_number", "column_number"),
+    )
+
+
+def ingest_files(files: DataFrame, path: str) -> None:
+    """Appends the files, blobs, chunk lists, chunks, symbols, namespaces, references and postings of FILE rows; a null text
+    is a binary file, which has a blob and no parts. Only contents that the index doesn't know are read: they are asked for
+    before any blob is written. Parts go first and files last, so that a file's parts are there when it is."""
+    spark = files.sparkSession
+    blobs = files.select("hash", "language", "byte_len", "line_count")
+    unknown = missing(blobs, stored(spark, f"{path}/blobs", blobs), "hash")
+    texts = files.filter("text is not null").join(unknown, "hash").groupBy(F.col("hash").alias("content_hash")).agg(F.min(F.struct("file_path", "language")).alias("at"), F.first("text").alias("text"))
+    texts = texts.select("content_hash", "at.*", "text")
+    chunks = chunk(texts.select("content_hash", "text"))
+    new = chunks.select("chunk_hash", "text_content")
+    lacking = new.dropDuplicates(["chunk_hash"]).join(stored(spark, f"{path}/chunks", new).select("chunk_hash"), "chunk_hash", "left_anti")
+    postings(lacking).write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")  # repetitions do no harm there
+    append_new(new, f"{path}/chunks", KEYS["chunks"])
     append_new(chunks.select("content_hash", "chunk_hash", "chunk_index", "chunk_line_count"), f"{path}/mapping", KEYS["mapping"])
+    for name, rows in zip(("symbols", "namespaces", "references"), extracted(texts), strict=True):
+        append_new(rows, f"{path}/{name}", KEYS[name])
     append_new(blobs, f"{path}/blobs", KEYS["blobs"])
-    append_new(files.drop("text"), f"{path}/files", KEYS["files"])
+    key = F.concat_ws("\0", "repository", "commit_sha", "file_path")
+    append_new(files.select(number(key).alias("file_id"), "repository", "commit_sha", "file_path", F.col("hash").alias("content_hash")), f"{path}/files", KEYS["files"])
+
+
+def index_repository(spark: SparkSession, root: str, repository: str, branch: str, commit_sha: str, path: str, indexed_at: datetime, ignored: list[str] | None = None, live: bool = True) -> Index:
+    """Walks a folder and adds it to the index under path as a commit of a branch, with all that its files hold. What is
+    there already is not added again."""
+    own = [F.lit(repository).alias("repository"), F.lit(commit_sha).alias("commit_sha"), F.col("path").alias("file_path")]
+    ingest_files(blobs_of(walk(spark, root, ignored)).select(*own, "hash", "language", "byte_len", "line_count", "text"), path)
+    head = spark.createDataFrame([(repository, branch, commit_sha, indexed_at)], SCHEMAS["branches"])
+    append_new(head, f"{path}/snapshots", KEYS["snapshots"])
+    heads = stored(spark, f"{path}/branches", head)
+    renewed = upsert(heads, head, KEYS["branches"], F.desc("indexed_at")).collect()  # a row for each branch
+    spark.createDataFrame(renewed, head.schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/branches")
+    if live:
+        append_new(spark.createDataFrame([(repository, branch, indexed_at)], SCHEMAS["live"]), f"{path}/live", KEYS["live"])
+    for name, schema in SCHEMAS.items():  # tables that nothing went into
+        like = spark.createDataFrame([], schema)
+        if stored(spark, f"{path}/{name}", like).limit(1).count() == 0:
+            like.write.mode("append").parquet(f"{path}/{name}")
+    return Index.read(spark, path)
 
 
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -81,3 +140,45 @@ def poll(stream: DataFrame, path: str, checkpoint: str, on_changed: Callable[[Da
         moved.write.mode("append").parquet(path)
 
     run_available(stream, each, checkpoint)
+
+
+def due(repositories: DataFrame, polled: DataFrame, now: datetime) -> DataFrame:
+    """Of repositories(repository, interval_seconds) those never polled, or last polled an interval ago or longer, by
+    polled(repository, at)."""
+    last = polled.groupBy("repository").agg(F.max("at").alias("last"))
+    rows = repositories.join(last, "repository", "left")
+    waited = F.unix_timestamp(F.lit(now)) - F.unix_timestamp("last")
+    return rows.filter(F.col("last").isNull() | (waited >= F.col("interval_seconds"))).select("repository", "interval_seconds")
+
+
+def sweep(spark: SparkSession, repositories: DataFrame, log: str, now: datetime, each: Callable[[str], None], done: Callable[[list[str]], None] | None = None) -> list[str]:
+    """Calls each for every due repository, logs that it was polled, and done with their names at the sweep's end. One that
+    fails isn't logged, so it stays due; the others go on."""
+    like = spark.createDataFrame([], "repository string, at timestamp")
+    names = [r.repository for r in due(repositories, stored(spark, log, like), now).orderBy("repository").toLocalIterator()]
+    polled = []
+    for name in names:
+        try:
+            each(name)
+        except Exception:
+            logging.getLogger(__name__).exception("polling %s failed", name)
+        else:
+            polled.append(name)
+    if polled:
+        spark.createDataFrame([(n, now) for n in polled], like.schema).write.mode("append").parquet(log)
+    if done:
+        done(polled)
+    return polled
+
+
+#: Seconds between background collections: the least, and the default.
+GC_LEAST, GC_DEFAULT = 60, 3600
+
+
+def repeatedly(spark: SparkSession, each: Callable[[int], None], checkpoint: str, seconds: int | None = GC_DEFAULT) -> StreamingQuery | None:
+    """Calls each with a running number every max(GC_LEAST, seconds) seconds, from now on till the query is stopped; None:
+    never."""
+    if seconds is None:
+        return None
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda _, n: each(n)).option("checkpointLocation", checkpoint).trigger(processingTime=f"{max(GC_LEAST, seconds)} seconds").start()

@@ -157,14 +157,13 @@ def left_live_filter(ix: Index) -> DataFrame:
 
 @query("SELECT f.repository, f.file_path, m.chunk_index, c.chunk_hash FROM chunks c JOIN mapping m USING (chunk_hash) JOIN files f USING (content_hash)", "files", "chunks", "mapping")
 def join_chunk_fanout(ix: Index) -> DataFrame:
-    return ix.chunks.join(ix.mapping, "chunk_hash").join(ix.files, "content_hash").select("repository", "file_path", "chunk_index", "chunk_hash")
+    return content.chunk_places(ix).select("repository", "file_path", "chunk_index", "chunk_hash")
 
 
 @query("SELECT t.term, s.content_hash, s.name_lc FROM (VALUES ('tion_'), ('thea')) t(term) JOIN symbols s ON s.name_lc LIKE '%' || t.term || '%'", "symbols")
 def theta_symbol_like(ix: Index) -> DataFrame:
     """An underscore in a term is a wildcard."""
-    terms = search.terms_table(ix, ["tion_", "thea"])
-    return ix.symbols.join(terms, F.like("name_lc", F.concat(F.lit("%"), "term", F.lit("%")))).select("term", "content_hash", "name_lc")
+    return search.symbols_like(ix, ["tion_", "thea"]).select("term", "content_hash", "name_lc")
 
 
 @query("SELECT s.content_hash, max(CASE WHEN s.name_lc = 'ontion' THEN 50.0::DOUBLE WHEN s.name_lc LIKE 'ontion::%' THEN 25.0::DOUBLE ELSE 1.0::DOUBLE / (1 + abs(length(s.name_lc) - 6)) END) AS symbol_score FROM symbols s WHERE s.name_lc LIKE '%ontion%' GROUP BY 1", "symbols")
@@ -256,7 +255,7 @@ def path_search_top_50(ix: Index) -> DataFrame:
 
 @query("SELECT repository, path FROM (" + _DIRS + ")", "files")
 def ancestor_directories(ix: Index) -> DataFrame:
-    return ix.files.select("repository", F.explode(paths.ancestors(F.col("file_path"))).alias("path")).distinct()
+    return paths.all_directories(ix.files)
 
 
 @query("SELECT file_id FROM files ORDER BY file_path, file_id LIMIT 40 OFFSET 120", "files")
@@ -288,7 +287,7 @@ def repository_branches(ix: Index) -> DataFrame:
 
 @query("SELECT s.repository, s.branch, max(s.indexed_at) AS last FROM snapshots s GROUP BY ALL", "snapshots")
 def lateral_latest_snapshot(ix: Index) -> DataFrame:
-    return ix.snapshots.groupBy("repository", "branch").agg(F.max("indexed_at").alias("last"))
+    return paths.latest_snapshots(ix).withColumnRenamed("snapshot_at", "last")
 
 
 @query("SELECT commit_sha FROM branches WHERE repository = 'src3' AND branch = 'main'", "branches")
@@ -373,9 +372,13 @@ def path_parts(ix: Index) -> DataFrame:
     return ix.files.select("file_id", C.directory(p).alias("directory"), C.parent_directory(p).alias("parent"), C.basename(p).alias("base"))
 
 
-@query("SELECT file_id, CASE file_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'cpp' WHEN 2 THEN 'jvm' WHEN 3 THEN 'objc' ELSE NULL END AS language FROM files", "files")
+#: Extensions and their languages, typed from the languages' own habits; txt and none have no language.
+_EXTENSIONS = [tuple(x.split(":")) for x in "py:python rs:rust go:go js:js jsx:js mjs:js cjs:js ts:ts tsx:ts java:java kt:jvm kts:jvm scala:jvm c:c h:cpp cc:cpp cpp:cpp cxx:cpp hh:cpp hpp:cpp hxx:cpp m:objc mm:objc php:php proto:proto swift:swift lua:lua nix:nix glsl:glsl vert:glsl frag:glsl PY:python txt:".split()]
+
+
+@query(f"SELECT file_id, CASE file_id % {len(_EXTENSIONS)} {' '.join(f'WHEN {k} THEN {repr(v) if v else 'NULL'}' for k, (_, v) in enumerate(_EXTENSIONS))} END AS language FROM files", "files")
 def infer_language(ix: Index) -> DataFrame:
-    ext = F.element_at(F.array(*map(F.lit, ("py", "h", "kt", "mm", "txt"))), (F.col("file_id") % 5 + 1).cast("int"))
+    ext = F.element_at(F.array(*(F.lit(e) for e, _ in _EXTENSIONS)), (F.col("file_id") % len(_EXTENSIONS) + 1).cast("int"))
     return ix.files.select("file_id", C.infer_language(F.concat(F.regexp_replace("file_path", "txt$", ""), ext)).alias("language"))
 
 
@@ -418,7 +421,7 @@ def split_qualified(ix: Index) -> DataFrame:
 
 @query(f"SELECT DISTINCT name, (length(name) <= 128 AND regexp_matches(name, '^[A-Za-z0-9_:.$#]+$') AND regexp_matches(name, '[A-Za-z_]')) AS ok FROM symbols", "symbols")  # noqa: F541
 def looks_like_symbol(ix: Index) -> DataFrame:
-    return ix.symbols.select("name", F.col("name").rlike(r"^(?=.*[A-Za-z_])[A-Za-z0-9_:.$#]{1,128}$").alias("ok")).distinct()
+    return ix.symbols.select("name", C.looks_like_symbol(F.col("name")).alias("ok")).distinct()
 
 
 # ---- retention and upkeep
@@ -553,26 +556,7 @@ def byte_budget_prefix(ix: Index) -> DataFrame:
     return upkeep.byte_budget(ix.files.select("repository", "file_path", "file_id"), 5000, "file_id")
 
 
-# ---- the same join and aggregate kinds at volume, and page paths
-
-
-@on_tables("SELECT c_custkey, c_name FROM customer SEMI JOIN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000) o ON o_custkey = c_custkey")
-def semi_join_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, o = (corpus.read(spark, sf_dir, t) for t in ("customer", "orders"))
-    return c.join(o.filter("o_totalprice > 100000"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey", "c_name")
-
-
-@on_tables("SELECT c_custkey, c_name FROM customer ANTI JOIN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000) o ON o_custkey = c_custkey")
-def anti_join_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, o = (corpus.read(spark, sf_dir, t) for t in ("customer", "orders"))
-    return c.join(o.filter("o_totalprice > 200000"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
-
-
-@on_tables("SELECT r_name, n_name, count(*) AS n, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL")
-def join_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li, o, c, n, r = (corpus.read(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "nation", "region"))
-    rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.groupBy("r_name", "n_name").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+# ---- page paths
 
 
 @on_tables("SELECT d AS value, count(*) AS count FROM (SELECT regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)?', 1) AS p, CASE WHEN contains(ltrim(p, '/'), '/') THEN regexp_replace(ltrim(p, '/'), '/[^/]+$', '') || '/*' ELSE '/*' END AS d FROM pages) GROUP BY 1 ORDER BY count DESC, lower(value), value LIMIT 8")
@@ -705,6 +689,17 @@ def chunked_reassembly(ix: Index) -> DataFrame:
     return whole.select("content_hash", F.octet_length(text).cast("long").alias("byte_len"), "lines", F.sha2(text, 256).alias("again"))
 
 
+@on_tables("SELECT CAST(n_nationkey AS VARCHAR) AS content_hash, strlen(t) AS byte_len, sha256(t) AS again, true AS several, true AS bounded FROM (SELECT n_nationkey, repeat(n_name || ' ' || CAST(n_nationkey * 7919 AS VARCHAR) || chr(10), 200000) AS t FROM nation)")
+def chunked_long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of some megabytes cut into chunks by content, none over 1 MiB but for the rest of its line, and put together."""
+    n = corpus.read(spark, sf_dir, "nation")
+    text = F.repeat(F.concat("n_name", F.lit(" "), (F.col("n_nationkey") * 7919).cast("string"), F.lit("\n")), F.lit(200000))
+    parts = chunking.chunk(n.select(F.col("n_nationkey").cast("string").alias("content_hash"), text.alias("text")))
+    whole = parts.groupBy("content_hash").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text_content"))).alias("p"), F.max(F.octet_length("text_content")).alias("most"))
+    joined = F.array_join(F.col("p.text_content"), "")
+    return whole.select("content_hash", F.octet_length(joined).cast("long").alias("byte_len"), F.sha2(joined, 256).alias("again"), (F.size("p") > 1).alias("several"), (F.col("most") <= (1 << 20) + 64).alias("bounded"))
+
+
 @on_tables("SELECT CAST(p_partkey AS VARCHAR) AS path, s.label, s.start_line, s.end_line, s.depth, s.parent FROM part, LATERAL (VALUES ('namespace P' || CAST(p_partkey AS VARCHAR), 1, 5, 0, NULL), ('int m' || CAST(p_size AS VARCHAR) || '()', 2, 4, 1, 0)) s(label, start_line, end_line, depth, parent)")
 def scope_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scopes of a small source for each part."""

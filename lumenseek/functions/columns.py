@@ -87,6 +87,11 @@ def namespace_from_path(path: Column, rust: bool = False) -> Column:
     return F.when(F.size(parts) > 0, full).otherwise("")
 
 
+def looks_like_symbol(name: Column) -> Column:
+    """Up to 128 letters, digits and signs of qualified names, one of them a letter or an underscore."""
+    return name.rlike(r"^(?=.*[A-Za-z_])[A-Za-z0-9_:.$#]{1,128}$")
+
+
 def split_qualified(name: Column) -> tuple[Column, Column]:
     """(namespace or null, name) around the last ::."""
     has = F.contains(name, F.lit("::"))

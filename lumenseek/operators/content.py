@@ -12,6 +12,11 @@ from ..index import Index
 MAX_CONTEXT = 3
 
 
+def chunk_places(ix: Index) -> DataFrame:
+    """Every chunk in every file that has it."""
+    return ix.chunks.join(ix.mapping, "chunk_hash").join(ix.files, "content_hash")
+
+
 def chunk_start_lines(ix: Index) -> DataFrame:
     """(content_hash, chunk_index, chunk_hash, start_line): lines before a chunk, from 1."""
     before = Window.partitionBy("content_hash").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)

@@ -31,12 +31,17 @@ def ancestors(path: Column) -> Column:
     return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).otherwise(F.array().cast("array<string>"))
 
 
+def all_directories(files: DataFrame) -> DataFrame:
+    """(repository, path) of every directory above a file."""
+    return files.select("repository", F.explode(ancestors(F.col("file_path"))).alias("path")).distinct()
+
+
 def search_paths(files: DataFrame, needle: str, limit: int | None = None) -> DataFrame:
     """Files and directories whose path has the needle in any letter case: (repository, kind, path), directories first.
     limit: the first so many, 200 at most."""
     has = lambda c: F.contains(F.lower(c), F.lit(needle.lower()))
     own = files.filter(has(F.col("file_path"))).select("repository", "file_path")
-    dirs = own.select("repository", F.explode(ancestors(F.col("file_path"))).alias("path")).filter(has(F.col("path"))).distinct().select("repository", F.lit("dir").alias("kind"), "path")
+    dirs = all_directories(own).filter(has(F.col("path"))).select("repository", F.lit("dir").alias("kind"), "path")
     found = dirs.unionByName(own.select("repository", F.lit("file").alias("kind"), F.col("file_path").alias("path")).distinct()).orderBy("kind", "path", "repository")
     return found if limit is None else found.limit(max(1, min(limit, 200)))
 
@@ -127,10 +132,14 @@ def repository_counts(ix: Index, limit: int | None = None) -> DataFrame:
     return out if limit is None else out.limit(max(1, min(limit, 50)))
 
 
+def latest_snapshots(ix: Index) -> DataFrame:
+    """(repository, branch, snapshot_at) of each branch's last snapshot."""
+    return ix.snapshots.groupBy("repository", "branch").agg(F.max("indexed_at").alias("snapshot_at"))
+
+
 def repository_branches(ix: Index) -> DataFrame:
     """(repository, branch, commit_sha, indexed_at, is_live); repositories without branches have their commits as such."""
-    last = ix.snapshots.groupBy("repository", "branch").agg(F.max("indexed_at").alias("snapshot_at"))
-    own = ix.branches.join(last, ["repository", "branch"], "left").select("repository", "branch", "commit_sha", F.coalesce("snapshot_at", "indexed_at").alias("indexed_at"))
+    own = ix.branches.join(latest_snapshots(ix), ["repository", "branch"], "left").select("repository", "branch", "commit_sha", F.coalesce("snapshot_at", "indexed_at").alias("indexed_at"))
     live = ix.live.select("repository", "branch", F.lit(True).alias("is_live"))
     own = own.join(live, ["repository", "branch"], "left").withColumn("is_live", F.coalesce("is_live", F.lit(False)))
     bare = ix.files.join(ix.branches.select("repository").distinct(), "repository", "left_anti").select("repository", F.col("commit_sha").alias("branch"), "commit_sha").distinct()

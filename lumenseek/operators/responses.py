@@ -83,8 +83,7 @@ def batch(ix: Index, any_terms: list[str], all_terms: list[str] | None = None, d
 
 def resolved_commit(ix: Index, repository: str, branch: str) -> str:
     """The branch's head, or the name itself where no branch has it: a lookup of one row."""
-    head = paths.branch_head(ix, repository, branch).first()
-    return head[0] if head else branch
+    return paths.branch_head(ix, repository, branch).first()[0]
 
 
 def directory_prefix(path: str) -> str | None:

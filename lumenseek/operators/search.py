@@ -179,12 +179,17 @@ def among(rows: DataFrame, contents: DataFrame | None) -> DataFrame:
     return rows if contents is None else rows.join(contents.select("content_hash").distinct(), "content_hash", "left_semi")
 
 
+def symbols_like(ix: Index, terms: list[str], contents: DataFrame | None = None) -> DataFrame:
+    """(content_hash, name_lc, term) of symbols that hold a term; an underscore in a term is a wildcard."""
+    names = among(ix.symbols.select("content_hash", "name_lc"), contents)
+    return names.join(terms_table(ix, terms), F.like("name_lc", F.concat(F.lit("%"), "term", F.lit("%"))))
+
+
 def symbol_scores(ix: Index, terms: list[str], contents: DataFrame | None = None) -> DataFrame:
     """(content_hash, symbol_score), of the given contents or of all: a symbol equal to a term counts most, then one of its
     namespace, then likeness."""
-    names = among(ix.symbols.select("content_hash", "name_lc"), contents)
     t, n = F.col("term"), F.col("name_lc")
-    found = names.join(terms_table(ix, terms), F.like(n, F.concat(F.lit("%"), t, F.lit("%"))))
+    found = symbols_like(ix, terms, contents)
     value = F.when(n == t, 50.0).when(F.like(n, F.concat(t, F.lit("::%"))), 25.0).otherwise(F.lit(1.0) / (1 + F.abs(F.length(n) - F.length(t))))
     return found.groupBy("content_hash").agg(F.max(value).alias("symbol_score"))
 

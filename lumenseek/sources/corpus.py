@@ -53,12 +53,12 @@ def blocks(docs: DataFrame) -> DataFrame:
     return rows.select("content_hash", "chunk_index", F.when(F.col("chunk_index") < F.col("last"), F.concat(cut, F.lit("\n"))).otherwise(cut).alias("text_content"))
 
 
-def mapping(docs: DataFrame) -> DataFrame:
-    return blocks(docs).select("content_hash", F.sha2("text_content", 256).alias("chunk_hash"), "chunk_index", line_count(F.col("text_content")).alias("chunk_line_count"))
+def mapping(blocks: DataFrame) -> DataFrame:
+    return blocks.select("content_hash", F.sha2("text_content", 256).alias("chunk_hash"), "chunk_index", line_count(F.col("text_content")).alias("chunk_line_count"))
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    return blocks(docs).groupBy(F.sha2("text_content", 256).alias("chunk_hash")).agg(F.first("text_content").alias("text_content"))
+def chunks(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy(F.sha2("text_content", 256).alias("chunk_hash")).agg(F.first("text_content").alias("text_content"))
 
 
 def words(docs: DataFrame) -> DataFrame:
@@ -74,19 +74,19 @@ def symbol_id(content_hash: str = "content_hash", name: str = "name") -> Column:
     return F.conv(F.left(F.sha2(F.concat(F.col(content_hash), F.lit(":"), F.col(name)), 256), F.lit(15)), 16, 10).cast("long")
 
 
-def symbols(docs: DataFrame) -> DataFrame:
-    return words(docs).select("content_hash", "name").distinct().select(symbol_id().alias("symbol_id"), "content_hash", "name", F.lower("name").alias("name_lc"))
+def symbols(words: DataFrame) -> DataFrame:
+    return words.select("content_hash", "name").distinct().select(symbol_id().alias("symbol_id"), "content_hash", "name", F.lower("name").alias("name_lc"))
 
 
 def namespaces(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("lang").alias("namespace")).distinct().select(F.conv(F.left(F.sha2("namespace", 256), F.lit(15)), 16, 10).cast("long").alias("namespace_id"), "namespace")
 
 
-def references(docs: DataFrame) -> DataFrame:
+def references(words: DataFrame) -> DataFrame:
     """A word's first place in a text is its definition."""
     w = Window.partitionBy("content_hash", "name").orderBy("line_number", "column_number")
     kind = F.when(F.row_number().over(w) == 1, "definition").otherwise("reference")
-    return words(docs).select(symbol_id().alias("symbol_id"), F.conv(F.left(F.sha2("language", 256), F.lit(15)), 16, 10).cast("long").alias("namespace_id"), kind.alias("kind"), "line_number", "column_number")
+    return words.select(symbol_id().alias("symbol_id"), F.conv(F.left(F.sha2("language", 256), F.lit(15)), 16, 10).cast("long").alias("namespace_id"), kind.alias("kind"), "line_number", "column_number")
 
 
 def repositories(docs: DataFrame) -> DataFrame:
@@ -124,9 +124,15 @@ def snapshot_policies(events: DataFrame) -> DataFrame:
     return pairs.select("repository", "branch", F.explode(specs).alias("p")).select("repository", "branch", "p.*")
 
 
-def index(spark: SparkSession, sf_dir: str) -> Index:
+def index(spark: SparkSession, sf_dir: str, folder: str | None = None) -> Index:
+    """The index over a folder's tables. folder: where words and blocks, of which several tables are made, are written."""
     docs, events = read(spark, sf_dir, "documents"), read(spark, sf_dir, "events")
-    return Index(files(docs), blobs(docs), mapping(docs), chunks(docs), symbols(docs), namespaces(docs), references(docs), branches(docs), live(docs), snapshots(events), policies(events), snapshot_policies(events))
+    found, cut = words(docs), blocks(docs)
+    if folder:
+        found.write.parquet(f"{folder}/words")
+        cut.write.parquet(f"{folder}/blocks")
+        found, cut = spark.read.schema(found.schema).parquet(f"{folder}/words"), spark.read.schema(cut.schema).parquet(f"{folder}/blocks")
+    return Index(files(docs), blobs(docs), mapping(cut), chunks(cut), symbols(found), namespaces(docs), references(found), branches(docs), live(docs), snapshots(events), policies(events), snapshot_policies(events))
 
 
 _STORED: dict[tuple, str] = {}
@@ -148,7 +154,7 @@ def stored(spark: SparkSession, sf_dir: str) -> Index:
     key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir))
     if key not in _STORED:
         path = new_folder(spark, "index")
-        index(spark, sf_dir).write(path)
+        index(spark, sf_dir, new_folder(spark, "parts")).write(path)
         _STORED[key] = path
     return Index.read(spark, _STORED[key])
 

@@ -10,7 +10,7 @@ import pytest
 from lumenseek.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-SOME = "search_plain search_grouped_dnf search_page_1 filter_branch facet_directories left_live_filter theta_symbol_like chunk_start_lines file_line_slice file_list_depth_2 path_search_top_50 autocomplete_symbols symbol_search_ranked trigram_similarity namespace_from_path gc_keep_set prune_branch_survivors upsert_latest_wins batch_dedup_repo_path byte_budget_prefix join_chain snippet_spans chunked_reassembly scope_chain extracted_symbols extracted_objc extracted_glsl snippet_merge symbol_insights repository_index stream_ingest_incremental".split()
+SOME = "search_plain search_grouped_dnf search_page_1 filter_branch facet_directories left_live_filter theta_symbol_like chunk_start_lines file_line_slice file_list_depth_2 path_search_top_50 autocomplete_symbols symbol_search_ranked trigram_similarity namespace_from_path gc_keep_set prune_branch_survivors upsert_latest_wins batch_dedup_repo_path byte_budget_prefix snippet_spans chunked_reassembly scope_chain extracted_symbols extracted_objc extracted_glsl snippet_merge symbol_insights repository_index stream_ingest_incremental".split()
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tables aren't here")
 

@@ -2,6 +2,13 @@
 
 toxicity -> line dedup -> SimHash near-dedup -> mixing to target weights -> byte-level BPE.
 run() writes every stage's result as Parquet in the shared folder and rereads it as the next stage's documents.
+
+Defined cases: a null text is no toxic one, has no lines and no SimHash, takes no room in the mixture and has null ids; so
+has an empty text, but for an empty list of ids. Texts of any length are read whole by every stage. Rows with the same
+doc_id and text are one row after line dedup: of those that differ in other columns the least as JSON stays. Ties go by
+doc_id, then by row key. Without labelled documents of both kinds the first stage warns and keeps all. An empty table
+gives no rows. Columns beyond those of documents, whatever their names, stay as they are till the last stage, which
+returns doc_id, token_ids, n_tokens and round_trip.
 """
 
 from __future__ import annotations

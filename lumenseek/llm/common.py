@@ -7,6 +7,7 @@ import ctypes
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -87,7 +88,21 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+#: Paths of written tables, as long as their DataFrames are held.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more: what was made of them is written itself."""
+    for df in tables:
+        if path := _WRITTEN.pop(df, None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -113,14 +128,15 @@ def row_key(docs: DataFrame) -> F.Column:
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
-def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+def without_rows(docs: DataFrame, dropped: DataFrame | None = None) -> DataFrame:
     """docs without the rows whose row_key is in dropped(rk), and with one of each set of repeated rows: the least, as JSON,
     where other columns differ."""
     rk, row = fresh(docs, "rk", "row")
     keyed = docs.withColumn(rk, row_key(docs))
     repeated = written(keyed.groupBy(rk).count().filter("count > 1").select(F.col(rk).alias("rk_r")))
-    dropped = dropped.select(F.col("rk").alias("rk_d"))
-    kept = keyed.join(sized(dropped), F.col(rk) == F.col("rk_d"), "left_anti")
+    kept = keyed
+    if dropped is not None:
+        kept = kept.join(sized(dropped.select(F.col("rk").alias("rk_d"))), F.col(rk) == F.col("rk_d"), "left_anti")
     if (n := repeated.count()) == 0:
         return kept.drop(rk)
     hint = sized(repeated, n)

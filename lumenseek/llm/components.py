@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, written
+from .common import discard, lean, written
 
 
 #: Edges that a task holds (16 bytes each, several times that while it joins them).
@@ -75,7 +75,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a").select("a", "b", "m")
         small = small.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
-        e = written(small)
+        before, e = e, written(small)
+        discard(before)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark:
             return e.select(F.col("a").alias("id"), F.col("b").alias("root"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import characters
-from .common import C1, S32, blocks, bounded, lean, lean_group, mix, padded, parts, row_key, sized, text_buffers, without_rows, written
+from .common import C1, S32, blocks, bounded, discard, fresh, lean, lean_group, mix, padded, parts, row_key, sized, text_buffers, without_rows, written
 from .components import components
 
 SHINGLE = 5
@@ -322,7 +322,9 @@ def similar_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
     def verified(pairs: DataFrame) -> DataFrame:
         likely = written(sides(pairs.distinct(), "n", "sketch").mapInArrow(lean(likely_pairs), "a long, b long"))
-        return written(sides(likely, "line").mapInArrow(lean(jaccard_pairs), "a long, b long"))
+        out = written(sides(likely, "line").mapInArrow(lean(jaccard_pairs), "a long, b long"))
+        discard(likely)
+        return out
 
     # Each bucket's least line against the others; then, in buckets that this leaves in several components, all pairs
     # across components. A pair that is already connected can't change the components, so this equals trying all pairs.
@@ -343,7 +345,9 @@ def similar_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
         if not more.isEmpty():
             roots = written(components(edges.unionByName(more)))
     own = texts.select("id", F.xxhash64(F.lit(1), "line").alias("id2"))
-    return roots.join(own, "id").join(own.select(F.col("id").alias("root"), F.col("id2").alias("root2")), "root").select("id", "id2", "root", "root2")
+    out = written(roots.join(own, "id").join(own.select(F.col("id").alias("root"), F.col("id2").alias("root2")), "root").select("id", "id2", "root", "root2"))
+    discard(members, wanted, texts, edges, rest, cross, roots)
+    return out
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
@@ -352,6 +356,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     roots = similar_lines(docs, lines)
     places = lines.select("doc_id", "rk", "line_no", "id", "id2").join(sized(roots), ["id", "id2"], "left")
     places = written(places.select("doc_id", "rk", "line_no", F.coalesce("root", "id").alias("root"), F.coalesce("root2", "id2").alias("root2")))
+    discard(roots)
     first = places.groupBy("root", "root2").agg(F.min(F.struct("doc_id", "rk", "line_no")).alias("kept"), F.count("*").alias("n")).filter("n > 1").select("root", "root2", "kept")
     out = places.join(first, ["root", "root2"]).filter(~(F.col("rk").eqNullSafe(F.col("kept.rk")) & (F.col("line_no") == F.col("kept.line_no"))))
     return out.select("doc_id", "rk", "line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no")).distinct()
@@ -361,18 +366,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs without duplicate lines in their texts. A row whose lines that aren't blank all go is a copy and goes too;
     rows that lose no line stay as they are, null texts among them. n_chars, if there, is the new length."""
     gone = written(duplicate_lines(docs).groupBy("rk").agg(F.collect_set("line_no").alias("gone")))
-    names = {c: F.col(f"d.`{c}`") for c in docs.columns}
-    lines = F.split(F.col("d.text"), "\n", -1)
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("g.gone")), lambda i: F.get(lines, i))
-    text = F.when(F.col("g.gone").isNull(), F.col("d.text")).otherwise(F.array_join(left, "\n"))
-    joined = without_rows(docs, _no_rows(docs)).alias("d")
-    joined = joined.join(gone.alias("g"), F.xxhash64(F.col("d.doc_id"), F.col("d.text")) == F.col("g.rk"), "left")
-    joined = joined.filter(F.col("g.gone").isNull() | ~blank(text))
-    out = names | {"text": text}
-    if "n_chars" in names:
-        out["n_chars"] = F.when(F.col("g.gone").isNull(), names["n_chars"]).otherwise(F.length(text).cast(dict(docs.dtypes)["n_chars"]))
-    return joined.select(*(c.alias(k) for k, c in out.items()))
-
-
-def _no_rows(docs: DataFrame) -> DataFrame:
-    return docs.sparkSession.createDataFrame([], "rk long")
+    key, own, taken, lines = fresh(docs, "key", "rk", "gone", "lines")
+    gone = gone.select(F.col("rk").alias(own), F.col("gone").alias(taken))
+    rows = without_rows(docs).withColumn(key, row_key(docs)).join(gone, F.col(key) == F.col(own), "left")
+    cut = F.split("text", "\n", -1)
+    rows = rows.filter(F.col(taken).isNull() | (F.size(F.filter(cut, lambda line: ~blank(line))) > F.size(taken)))
+    # a column of its own, as a lambda would split the text again for each line
+    rows = rows.withColumn(lines, F.when(F.col(taken).isNotNull(), cut))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(taken)), lambda i: F.get(F.col(lines), i))
+    rows = rows.withColumn("text", F.when(F.col(taken).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col(taken).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
+    return rows.select(*(f"`{c}`" for c in docs.columns))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, sized, written
+from .common import discard, fresh, sized, written
 
 #: Rows that a range of a source's shuffled order should have about, and of the schedule.
 RANGE_ROWS, TAKE_ROWS = 2000, 100_000
@@ -77,9 +77,11 @@ def mixed(docs: DataFrame, weights: dict[str, float], budget: int | None = None,
     if budget is None:
         budget = int((rows.agg(F.sum("tokens")).first()[0] or 0) * share)
     timed = written(schedule(rows, weights, default_weight))
+    discard(rows)
     ranges = max(1, -(-timed.count() // TAKE_ROWS))
     # the ranges hold alike many rows, however the weights stretch the axis, and are few enough for one task to add up
     rows = written(timed.repartitionByRange(ranges, *ORDER).withColumn("range", F.spark_partition_id()))
+    discard(timed)
     ahead = rows.groupBy("range").agg(F.sum("tokens").alias("own"))
     ahead = ahead.select("range", F.coalesce(F.sum("own").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead")).filter(F.col("ahead") <= budget)
     inside = Window.partitionBy("range").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)

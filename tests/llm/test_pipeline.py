@@ -8,7 +8,7 @@ import corpus_pipeline
 from lumenseek.llm.queries import SHARE, WEIGHTS, tokenizer_path
 
 from . import test_line_dedup, test_mixing, test_simhash
-from .fixtures import DOCS, doc, frame, words
+from .fixtures import DOCS, clash, doc, frame, odd_rows, words
 
 BAD = ["grob", "wutig", "fies", "boshaft"]
 
@@ -105,3 +105,25 @@ def test_run_gives_the_last_stage(spark, made):
     folder, kept = made
     key = lambda r: (r[0] is not None, r[0] or 0)
     assert sorted((tuple(r) for r in corpus_pipeline.run(spark, folder).collect()), key=key) == sorted(kept[5], key=key)
+
+
+def test_odd_documents(spark, tmp_path):
+    rng = random.Random(5)
+    rows, labels = corpus(rng)
+    rows = rows[8:120] + odd_rows(rng)  # ids of their own
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = clash(frame(spark, rows))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        if k < 4:
+            assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        if k == 2:
+            kept = [r.doc_id for r in docs.collect()]
+            assert kept.count(6) == 1 and {1, 2, 4, 7} <= set(kept)  # the repeated row once; null, empty, long and blank stay
+    assert all(r.round_trip in (True, None) for r in docs.collect())
+    docs = frame(spark, [])
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() == 0

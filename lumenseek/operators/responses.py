@@ -35,9 +35,14 @@ def with_snippets(ix: Index, results: DataFrame, r: Request, context: int = 3) -
     return results.join(found, "file_id", "left").withColumn("match_line", F.get(F.col("snippets.match_line"), F.lit(0)))
 
 
+def held(page: DataFrame) -> DataFrame:
+    """A page, of page_size rows at most, as a local table: its search runs once, whatever is joined to it."""
+    return page.sparkSession.createDataFrame(page.collect(), page.schema)
+
+
 def page(ix: Index, r: Request, context: int = 3) -> DataFrame:
     """One page of results, each with its snippets, its link and the place to open."""
-    rows = with_snippets(ix, search.search(ix, r), r, context)
+    rows = with_snippets(ix, held(search.search(ix, r)), r, context)
     return enriched(rows.select(*search.RESULT, "position", "match_line", "snippets")).orderBy("position")
 
 
@@ -72,8 +77,8 @@ def batch(ix: Index, any_terms: list[str], all_terms: list[str] | None = None, d
     for n, term in enumerate(terms):
         words = " ".join(f'"{w.strip()}"' for w in [*(all_terms or []), term] if w.strip())
         r = request(compile_query(words, **filters))
-        found = search.search(ix, r)
-        rows = with_snippets(ix, found.filter(F.col("position") <= most), r)
+        found = held(search.search(ix, r).filter(F.col("position") <= most))
+        rows = with_snippets(ix, found, r)
         parts.append(rows.select(F.lit(n).alias("query_ord"), F.lit(term).alias("any_term"), F.col("position").alias("rank"), *search.RESULT, "snapshot_indexed_at", "match_line", "snippets", F.col("match_line").alias("line")))
         counts.append(search.has_more(ix, r).select(F.lit(n).alias("query_ord"), F.lit(term).alias("any_term"), F.least(F.col("total"), F.lit(min(most, r.page_size))).alias("count"), "has_more"))
     results = upkeep.batch_dedup(reduce(DataFrame.unionByName, parts), dedupe)

@@ -185,23 +185,27 @@ def symbols_like(ix: Index, terms: list[str], contents: DataFrame | None = None)
     return names.join(terms_table(ix, terms), F.like("name_lc", F.concat(F.lit("%"), "term", F.lit("%"))))
 
 
-def symbol_scores(ix: Index, terms: list[str], contents: DataFrame | None = None) -> DataFrame:
-    """(content_hash, symbol_score), of the given contents or of all: a symbol equal to a term counts most, then one of its
-    namespace, then likeness."""
-    t, n = F.col("term"), F.col("name_lc")
-    found = symbols_like(ix, terms, contents)
-    value = F.when(n == t, 50.0).when(F.like(n, F.concat(t, F.lit("::%"))), 25.0).otherwise(F.lit(1.0) / (1 + F.abs(F.length(n) - F.length(t))))
-    return found.groupBy("content_hash").agg(F.max(value).alias("symbol_score"))
-
-
-def definition_scores(ix: Index, terms: list[str], contents: DataFrame | None = None) -> DataFrame:
-    """(content_hash, definition_matches), of the given contents or of all: 2 if a term is defined, 1 if a name that begins
-    with it is."""
-    names = among(ix.symbols.select("symbol_id", "content_hash", "name_lc"), contents)
+def _any(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+def symbol_scores(ix: Index, terms: list[str]) -> DataFrame:
+    """(content_hash, symbol_score): a symbol equal to a term counts most, then one of its namespace, then likeness. The
+    terms are literals, so that the scan of the symbols filters by them, in one pass whatever their number."""
+    n = F.col("name_lc")
+    like = [F.like(n, F.lit(f"%{t}%")) for t in terms]
+    value = [F.when(n == t, 50.0).when(F.like(n, F.lit(f"{t}::%")), 25.0).when(hit, F.lit(1.0) / (1 + F.abs(F.length(n) - len(t)))) for t, hit in zip(terms, like, strict=True)]
+    return ix.symbols.filter(_any(like)).groupBy("content_hash").agg(F.max(F.array_max(F.array(*value))).alias("symbol_score"))
+
+
+def definition_scores(ix: Index, terms: list[str]) -> DataFrame:
+    """(content_hash, definition_matches): 2 if a term is defined, 1 if a name that begins with it is. Symbols are stored in
+    the order of their names, so that few row groups are read."""
+    n = F.col("name_lc")
+    names = ix.symbols.filter(_any([(n == t) | F.like(n, F.lit(f"{t}%")) for t in terms])).select("symbol_id", "content_hash", n.isin(*terms).alias("same"))
     defined = ix.references.filter("kind = 'definition'").select("symbol_id")
-    t, n = F.col("term"), F.col("name_lc")
-    found = names.join(terms_table(ix, terms), (n == t) | F.like(n, F.concat(t, F.lit("%")))).join(defined, "symbol_id", "left_semi")
-    return found.groupBy("content_hash").agg(F.max(F.when(n == t, 2).otherwise(1)).alias("definition_matches"))
+    found = names.join(defined, "symbol_id", "left_semi")
+    return found.groupBy("content_hash").agg(F.max(F.when(F.col("same"), 2).otherwise(1)).alias("definition_matches"))
 
 
 FIRST = ["chunk_index", "highlight_pattern", "chunk_hash", "highlight_case_sensitive", "repository", "commit_sha", "file_path"]
@@ -213,10 +217,10 @@ def top_files(ix: Index, rows: DataFrame, request: Request) -> DataFrame:
     scored = rows.groupBy(KEYS).agg(F.sum(weight).alias("score"), F.min(F.struct(*FIRST)).alias("first"))
     extra, defs = F.lit(0.0), F.lit(0)
     if request.symbol_terms:
-        scored = scored.join(symbol_scores(ix, request.symbol_terms, rows), "content_hash", "left")
+        scored = scored.join(symbol_scores(ix, request.symbol_terms), "content_hash", "left")
         extra = F.coalesce("symbol_score", F.lit(0.0))
         if request.definition_terms:
-            scored = scored.join(definition_scores(ix, request.definition_terms, rows), "content_hash", "left")
+            scored = scored.join(definition_scores(ix, request.definition_terms), "content_hash", "left")
             defs = F.coalesce("definition_matches", F.lit(0))
     return scored.select(*KEYS, (F.col("score").cast("double") + extra).alias("total_score"), defs.alias("definition_matches"), "first.*")
 

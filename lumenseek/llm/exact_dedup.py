@@ -19,7 +19,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import parts, sized, written
 
@@ -128,8 +127,18 @@ def suspects(docs: DataFrame) -> DataFrame:
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, kept_doc_id) of each row that goes, with the row that stays for it."""
+    """(doc_id, kept_doc_id) of each row that goes, with the row that stays for it.
+
+    Suspects' texts are compared by a combining aggregate, so that a text that many rows have is no one task; the groups
+    that it finds are then named by 128 bits, and only these and doc_ids move again."""
     rows = docs.select("doc_id", "text").filter("text is not null").withColumn("h", F.xxhash64("text"))
     some = rows.join(sized(suspects(docs)), "h", "left_semi")
-    w = Window.partitionBy("h", "text").orderBy("doc_id")
-    return some.select("doc_id", F.first("doc_id").over(w).alias("kept_doc_id"), F.row_number().over(w).alias("nth")).filter("nth > 1").select("doc_id", "kept_doc_id")
+    groups = some.groupBy("h", "text").agg(F.min(F.struct("doc_id")).alias("kept"), F.count("*").alias("n")).filter("n > 1")
+    groups = written(groups.select("h", F.xxhash64(F.lit(1), "text").alias("h2"), F.col("kept.doc_id").alias("kept_doc_id")))
+    named = some.select("doc_id", "h", F.xxhash64(F.lit(1), "text").alias("h2")).join(sized(groups), ["h", "h2"])
+    named = written(named.select("doc_id", "h", "h2", "kept_doc_id"))
+    first = F.col("doc_id").eqNullSafe(F.col("kept_doc_id"))
+    # of rows with the kept doc_id all but one go
+    again = named.filter(first).groupBy("h", "h2", "doc_id", "kept_doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    again = again.select("doc_id", "kept_doc_id", F.explode(F.sequence(F.lit(2).cast("long"), "n"))).drop("col")
+    return named.filter(~first).select("doc_id", "kept_doc_id").unionByName(again)

@@ -113,9 +113,13 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def shards(keys: np.ndarray, columns: list[np.ndarray], n: int) -> Iterator[pa.RecordBatch]:
-    """Rows (part, data): what belongs to each part of a key space, packed as 64-bit words, one column after the other."""
-    part = (keys >> S32) % np.uint64(n)
+def shards(keys: np.ndarray, columns: list[np.ndarray], n: int, salt: np.ndarray | None = None, ways: int = 1) -> Iterator[pa.RecordBatch]:
+    """Rows (part, data): what belongs to each part of a key space, packed as 64-bit words, one column after the other. The
+    rows of one key are in one part, or in `ways` parts by the salt."""
+    part = (keys >> S32) % np.uint64(max(1, n // ways))
+    if ways > 1:
+        part = part * np.uint64(ways) + salt.view(np.uint64) % np.uint64(ways)
+        n = max(1, n // ways) * ways
     order = np.argsort(part, kind="stable")
     table = np.column_stack([c.view(np.int64) for c in (keys, *columns)])[order]
     edges = np.searchsorted(part[order], np.arange(n + 1, dtype=np.uint64))

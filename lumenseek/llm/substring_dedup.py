@@ -50,6 +50,8 @@ SHARD_BYTES = 8 << 20
 BROADCAST_ENTRIES = 4_000_000
 #: Documents for each part of the anchors' and windows' keys.
 PART_ROWS = 20_000
+#: Documents that may share a key in one part; a key of more lies in as many parts as that takes.
+WAY_ROWS = 1_000_000
 BLANK = np.frombuffer(SPACE.tobytes(), bool)
 
 _B = 0x9E3779B97F4A7C15 | 1
@@ -141,16 +143,27 @@ def apart(texts: np.ndarray, h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def recurring(table: pa.Table) -> pa.Table:
-    """(text, value) for keys that two different texts have, or one twice; words are [key, text, value, twice]."""
+    """(key, th, value, recurs): recurs for keys that two different texts of the part have, or one twice; words are
+    [key, text, value, twice]."""
     t = unpack(table, 4)
     t = t[np.lexsort((t[:, 1], t[:, 0]))]
-    if not len(t):
-        return pa.table({"th": np.zeros(0, np.int64), "value": np.zeros(0, np.int64)})
-    new = np.concatenate([[True], t[1:, 0] != t[:-1, 0]])
+    new = np.append(True, t[1:, 0] != t[:-1, 0])[: len(t)]
     group = np.cumsum(new) - 1
-    other = np.concatenate([[False], (t[1:, 0] == t[:-1, 0]) & (t[1:, 1] != t[:-1, 1])])
-    t = t[np.bincount(group, weights=other | (t[:, 3] > 0))[group] > 0]
-    return pa.table({"th": t[:, 1], "value": t[:, 2]})
+    other = np.append(False, (t[1:, 0] == t[:-1, 0]) & (t[1:, 1] != t[:-1, 1]))[: len(t)]
+    recurs = np.bincount(group, weights=other | (t[:, 3] > 0))[group] > 0 if len(t) else np.zeros(0, bool)
+    return pa.table({"key": t[:, 0], "th": t[:, 1], "value": t[:, 2], "recurs": recurs})
+
+
+def recurring_everywhere(sent: DataFrame, ways: int) -> DataFrame:
+    """(th, value) of keys that two different texts have, or one twice, of sent(part, data). A key that many texts have lies
+    in several parts; what doesn't recur in its own part may with another, which two texts' hashes for each key tell."""
+    found = sent.groupBy("part").applyInArrow(lean_group(recurring), "key long, th long, value long, recurs boolean")
+    if ways == 1:
+        return found.filter("recurs").select("th", "value")
+    found = written(found)
+    keys = found.groupBy("key").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).filter("lo < hi").select("key")
+    rest = found.filter("not recurs").join(keys, "key", "left_semi")
+    return found.filter("recurs").unionByName(rest).select("th", "value")
 
 
 def passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -158,6 +171,7 @@ def passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pid is the xxHash64 of the passage; its key is the least anchor of its first WINDOW words. Winnowing makes every text
     with a passage select that anchor too, so no text with it is left out. Copies of one text have its hash as a key."""
     n = parts(docs, PART_ROWS)
+    ways = max(1, -(-docs.count() // WAY_ROWS))
     bounded(docs.sparkSession)
     rows = docs.select("text").filter("text is not null").select(F.xxhash64("text").alias("th"), "text")
 
@@ -174,9 +188,9 @@ def passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 texts.append(th[i:j][row])
                 twice.append(apart(row, keys[-1], at))
             k, t = np.concatenate(keys), np.concatenate(texts)
-            yield from shards(k, [t, k, np.concatenate(twice)], n)
+            yield from shards(k, [t, k, np.concatenate(twice)], n, t, ways)
 
-    found = rows.mapInArrow(lean(select), "part int, data binary").groupBy("part").applyInArrow(lean_group(recurring), "th long, value long")
+    found = recurring_everywhere(rows.mapInArrow(lean(select), "part int, data binary"), ways)
     near = written(found.groupBy("th").agg(F.collect_set("value").alias("keys")))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +211,8 @@ def passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 texts.append(np.full(len(place), th[i]))
                 places.append(place)
                 twice.append(apart(np.zeros(len(place), np.int64), w[place], place))
-            yield from shards(np.concatenate(keys), [np.concatenate(c) for c in (texts, places, twice)], n)
+            t = np.concatenate(texts)
+            yield from shards(np.concatenate(keys), [t, np.concatenate(places), np.concatenate(twice)], n, t, ways)
 
     def in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sets of places as runs: first place and length of each, one after the other."""
@@ -213,7 +228,7 @@ def passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         size = texts.agg(F.count("*") + F.coalesce(F.sum(F.size(entries)), F.lit(0))).first()[0]
         return rows.join(F.broadcast(texts) if size <= BROADCAST_ENTRIES else texts, "th")
 
-    again = join(near, "keys").mapInArrow(lean(windows), "part int, data binary").groupBy("part").applyInArrow(lean_group(recurring), "th long, value long")
+    again = recurring_everywhere(join(near, "keys").mapInArrow(lean(windows), "part int, data binary"), ways)
     runs = again.groupBy("th").agg(F.collect_set("value").alias("places")).mapInArrow(in_runs, "th long, runs array<int>")
     whole = rows.groupBy("th").count().filter("count > 1").select("th", F.lit(True).alias("whole"))
     spans = written(runs.join(whole, "th", "full").select("th", F.coalesce("runs", F.array().cast("array<int>")).alias("runs"), F.coalesce("whole", F.lit(False)).alias("whole")))

@@ -83,3 +83,10 @@ def test_overlapping_repeats_leave_the_first(spark):
     got = sorted((r.doc_id, r.is_first, r.start, r.end) for r in op.occurrences(frame(spark, rows)).collect())
     # 99 words have no two places that don't overlap
     assert got == [(1, False, 249, 599), (1, True, 0, 249)]
+
+
+def test_keys_of_many_texts_in_several_parts(spark, monkeypatch):
+    rows = corpus(random.Random(1))
+    own = {tuple(r) for r in op.occurrences(frame(spark, rows)).collect()}
+    monkeypatch.setattr(op, "WAY_ROWS", 7)
+    assert {tuple(r) for r in op.occurrences(frame(spark, rows)).collect()} == own

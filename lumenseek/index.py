@@ -26,12 +26,18 @@ class Index:
     snapshot_policies: DataFrame
     #: The trigram index of the chunks; without it every search reads all chunks.
     postings: DataFrame | None = None
+    #: symbols joined to references, where that comes without a join; whoever replaces one of them replaces this.
+    joined: DataFrame | None = None
+
+    def occurrences(self) -> DataFrame:
+        """Every symbol with each of its references."""
+        return self.symbols.join(self.references, "symbol_id") if self.joined is None else self.joined
 
     def write(self, path: str) -> None:
         """Parquet tables; files lie by repository so that repository filters prune partitions, symbols and references by
         a name's or a symbol's order so that row groups are skipped. The trigram index is made from the stored chunks."""
         for f in fields(self):
-            if f.name != "postings":
+            if f.name not in ("postings", "joined"):
                 rows = getattr(self, f.name)
                 if f.name in ORDER:
                     rows = rows.repartitionByRange(*ORDER[f.name]).sortWithinPartitions(*ORDER[f.name])
@@ -41,7 +47,7 @@ class Index:
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Index:
-        return Index(**{f.name: spark.read.schema(SCHEMAS[f.name]).parquet(f"{path}/{f.name}") for f in fields(Index)})
+        return Index(**{f.name: spark.read.schema(SCHEMAS[f.name]).parquet(f"{path}/{f.name}") for f in fields(Index) if f.name != "joined"})
 
 
 ORDER = {"symbols": ["name_lc", "content_hash"], "references": ["symbol_id"]}

@@ -20,8 +20,8 @@ DEDUP = ("repo_path_line", "repo_path", "none")
 
 def definition_lines(ix: Index, terms: list[str], contents: DataFrame) -> DataFrame:
     """(content_hash, line) where one of the terms is defined, in the given contents."""
-    names = search.among(ix.symbols, contents).filter(F.col("name_lc").isin(*terms)).select("symbol_id", "content_hash")
-    return names.join(ix.references.filter("kind = 'definition'"), "symbol_id").select("content_hash", F.col("line_number").alias("line"))
+    names = ix.occurrences().filter(F.col("name_lc").isin(*terms) & (F.col("kind") == "definition"))
+    return search.among(names, contents).select("content_hash", F.col("line_number").alias("line"))
 
 
 def with_snippets(ix: Index, results: DataFrame, r: Request, context: int = 3) -> DataFrame:

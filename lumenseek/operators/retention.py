@@ -60,13 +60,15 @@ def collect_orphans(ix: Index) -> Index:
     used = ix.files.select("content_hash").distinct()
     mapping = ix.mapping.join(used, "content_hash", "left_semi")
     symbols = ix.symbols.join(used, "content_hash", "left_semi")
+    joined = None if ix.joined is None else ix.joined.join(used, "content_hash", "left_semi")
     return replace(
         ix,
         blobs=ix.blobs.join(used.withColumnRenamed("content_hash", "hash"), "hash", "left_semi"),
         mapping=mapping,
         chunks=ix.chunks.join(mapping.select("chunk_hash").distinct(), "chunk_hash", "left_semi"),
         symbols=symbols,
-        references=ix.references.join(symbols.select("symbol_id"), "symbol_id", "left_semi"),
+        references=ix.references.join(symbols.select("symbol_id"), "symbol_id", "left_semi") if joined is None else joined.select(ix.references.columns),
+        joined=joined,
     )
 
 

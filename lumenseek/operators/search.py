@@ -202,9 +202,7 @@ def definition_scores(ix: Index, terms: list[str]) -> DataFrame:
     """(content_hash, definition_matches): 2 if a term is defined, 1 if a name that begins with it is. Symbols are stored in
     the order of their names, so that few row groups are read."""
     n = F.col("name_lc")
-    names = ix.symbols.filter(_any([(n == t) | F.like(n, F.lit(f"{t}%")) for t in terms])).select("symbol_id", "content_hash", n.isin(*terms).alias("same"))
-    defined = ix.references.filter("kind = 'definition'").select("symbol_id")
-    found = names.join(defined, "symbol_id", "left_semi")
+    found = ix.occurrences().filter(_any([(n == t) | F.like(n, F.lit(f"{t}%")) for t in terms]) & (F.col("kind") == "definition")).select("content_hash", n.isin(*terms).alias("same"))
     return found.groupBy("content_hash").agg(F.max(F.when(F.col("same"), 2).otherwise(1)).alias("definition_matches"))
 
 
@@ -233,9 +231,10 @@ def first_chunks(rows: DataFrame) -> DataFrame:
 
 def branch_columns(ix: Index) -> DataFrame:
     """For each (repository, commit_sha) of a branch: branches with such a snapshot, else such a head; live ones of these
-    likewise; the last snapshot's time. One aggregate over the branch tables, which are small next to files."""
+    likewise; the last snapshot's time. One aggregate over the branches that have files: others are let go before it."""
     columns = ["repository", "branch", "commit_sha", "indexed_at"]
     every = ix.snapshots.select(*columns, F.lit(True).alias("snap")).unionByName(ix.branches.select(*columns, F.lit(False).alias("snap")))
+    every = every.join(ix.files.select("repository", "commit_sha").distinct(), ["repository", "commit_sha"], "left_semi")
     every = every.join(ix.live.select("repository", "branch").distinct().withColumn("on", F.lit(True)), ["repository", "branch"], "left")
 
     def names(test: Column) -> Column:

@@ -39,17 +39,23 @@ class SymbolRequest:
 
 def places(ix: Index) -> DataFrame:
     """Every reference of every symbol in every file that has its blob."""
-    refs = ix.symbols.join(ix.references, "symbol_id").join(ix.namespaces, "namespace_id")
+    refs = ix.occurrences().join(ix.namespaces, "namespace_id")
     blobs = ix.blobs.select(F.col("hash").alias("content_hash"), "language")
     return refs.join(ix.files, "content_hash").join(blobs, "content_hash", "left")
 
 
+def named(rows: DataFrame, r: SymbolRequest) -> DataFrame:
+    """Rows whose name the request wants."""
+    for test in (r.name and F.col("name") == r.name, r.name_regex and F.col("name").rlike(r.name_regex)):
+        if isinstance(test, Column):
+            rows = rows.filter(test)
+    return rows
+
+
 def filtered(ix: Index, r: SymbolRequest) -> DataFrame:
-    rows = places(ix)
+    rows = named(places(ix), r)
     kind = F.coalesce("kind", F.lit("definition"))
     for test in (
-        r.name and F.col("name") == r.name,
-        r.name_regex and F.col("name").rlike(r.name_regex),
         r.namespace and F.col("namespace") == r.namespace,
         r.namespace_prefix and F.col("namespace").like(r.namespace_prefix + "%"),
         r.kinds and kind.isin(*r.kinds),
@@ -84,7 +90,7 @@ def search_symbols(ix: Index, r: SymbolRequest) -> DataFrame:
     if r.limit is not None:
         out = out.orderBy(F.desc("score"), "symbol", "content_hash").limit(max(1, min(r.limit, 1000)))
     if r.include_references:
-        own = ix.references.join(out.select("symbol_id"), "symbol_id", "left_semi").join(ix.namespaces, "namespace_id")
+        own = named(ix.occurrences(), r).join(out.select("symbol_id"), "symbol_id", "left_semi").join(ix.namespaces, "namespace_id")
         each = own.select("symbol_id", F.struct("line_number", "column_number", "kind", F.nullif(F.col("namespace"), F.lit("")).alias("namespace")).alias("ref"))
         refs = each.groupBy("symbol_id").agg(F.array_sort(F.collect_list("ref")).alias("refs"))
         place = lambda r: F.struct(r["namespace"].alias("namespace"), F.col("symbol").alias("name"), r["kind"].alias("kind"), r["line_number"].alias("line"), r["column_number"].alias("column"), "repository", "commit_sha", "file_path")

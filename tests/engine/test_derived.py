@@ -1,11 +1,14 @@
 """Queries over small tables of odd documents against their SQL."""
 
 from datetime import datetime
+from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lumenseek.catalog import ORACLES, QUERIES
+from lumenseek.sources import corpus
 
 from .test_catalog import norm
 
@@ -15,9 +18,9 @@ TEXTS = [
     ("en", "none\nthonin one\nThonin two, thonin\nnone"),
     ("de", "none\nthonin one\nThonin two, thonin\nnone"),
     ("fr", "\n".join(["x thonin", "y", "x thonin", "y", "y", "x thonin", "y"] * 9)),
+    ("en", "ontion the and ontion\nontion (ontion) thonin\n"),
     ("es", "\n".join(["all thonin alike"] * 12 + ["other"])),
     ("fr", ""),
-    ("en", "ontion the and ontion\nontion (ontion) thonin\n"),
 ]
 
 
@@ -48,3 +51,22 @@ def compare(spark, tables, name):
 @pytest.mark.parametrize("name", ["snippet_spans", "snippet_merge"])
 def test_lines_that_repeat(spark, tables, name):
     compare(spark, tables, name)
+
+
+@pytest.mark.parametrize("name", ["search_plain", "symbol_insights", "attach_references", "file_views", "blob_line_counts", "search_page_with_snippets"])
+def test_copies_of_a_text_count_once(spark, tables, name):
+    compare(spark, tables, name)
+
+
+def test_index_is_not_larger_than_its_texts(spark, tmp_path):
+    """Only hashes of copied texts are stored."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.sha2((F.col("id") % 2900 * 7 + k).cast("string"), 256) for k in range(9))).alias("text"), F.lit("en").alias("lang"), F.lit("src1").alias("source"), F.lit(9).cast("long").alias("n_chars"))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, datetime(2024, 1, 1), 1, "view", 1.0, "{}")], "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    used = lambda at: sum(p.stat().st_size for p in at.rglob("*") if p.is_file())
+    before = used(shared)
+    ix = corpus.stored(spark, str(tmp_path))
+    assert ix.references.count() > ix.symbols.count() > 2900
+    assert ix.blobs.count() == 2900
+    assert used(shared) - before < used(tmp_path / "documents.parquet") / 4

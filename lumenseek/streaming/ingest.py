@@ -22,11 +22,16 @@ from ..index import SCHEMAS, Index
 from ..operators.textindex import postings
 from ..operators.upkeep import first_by, missing, upsert
 from ..sources.ingest import blobs_of, walk
+from ..sources.shared import new_folder
 
 RECORD = "repository string, commit_sha string, file_path string, text string"
 HEAD = "repository string, branch string, commit_sha string"
 FILE = "repository string, commit_sha string, file_path string, hash string, language string, byte_len long, line_count int, text string"
-KEYS = {"files": ["repository", "commit_sha", "file_path"], "blobs": ["hash"], "mapping": ["content_hash", "chunk_index"], "chunks": ["chunk_hash"], "symbols": ["symbol_id"], "namespaces": ["namespace_id"], "references": ["symbol_id", "namespace_id", "kind", "line_number", "column_number"], "branches": ["repository", "branch"], "live": ["repository", "branch"], "snapshots": ["repository", "branch", "commit_sha"]}
+#: Bytes of text that a task should have: where it is cut into chunks and grams, and where names are extracted.
+CHUNKED_A_TASK, EXTRACTED_A_TASK = 32 << 20, 4 << 20
+KEYS = {"files": ["repository", "commit_sha", "file_path"], "blobs": ["hash"], "mapping": ["content_hash", "chunk_index"], "chunks": ["chunk_hash"]}
+#: Those of what is found in texts, and of branches.
+MORE_KEYS = {"symbols": ["symbol_id"], "namespaces": ["namespace_id"], "references": ["symbol_id", "namespace_id", "kind", "line_number", "column_number"], "branches": ["repository", "branch"], "live": ["repository", "branch"], "snapshots": ["repository", "branch", "commit_sha"]}
 
 
 def stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -57,10 +62,14 @@ def number(text: Column) -> Column:
 
 
 def extracted(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Symbols, namespaces and references of texts(content_hash, language, file_path, text)."""
+    """Symbols, namespaces and references of texts(content_hash, language, file_path, text). Names are extracted once and
+    written to the shared folder."""
     rust = F.col("language") == "rust"
     own = F.when(rust, namespace_from_path(F.col("file_path"), rust=True)).otherwise(namespace_from_path(F.col("file_path")))
     rows = extract(texts.select("content_hash", "language", own.alias("namespace"), "text"))
+    spark, folder = texts.sparkSession, new_folder(texts.sparkSession, "extracted")
+    rows.write.parquet(folder)
+    rows = spark.read.schema(rows.schema).parquet(folder)
     namespace = F.coalesce("namespace", F.lit(""))
     rows = rows.select("content_hash", "name", F.lower("name").alias("name_lc"), number(F.concat("content_hash", F.lit(":"), "name")).alias("symbol_id"), namespace.alias("namespace"), number(namespace).alias("namespace_id"), "kind", F.col("line").alias("line_number"), F.col("column").alias("column_number"))
     return (
@@ -77,16 +86,24 @@ def ingest_files(files: DataFrame, path: str) -> None:
     spark = files.sparkSession
     blobs = files.select("hash", "language", "byte_len", "line_count")
     unknown = missing(blobs, stored(spark, f"{path}/blobs", blobs), "hash")
-    texts = files.filter("text is not null").join(unknown, "hash").groupBy(F.col("hash").alias("content_hash")).agg(F.min(F.struct("file_path", "language")).alias("at"), F.first("text").alias("text"))
-    texts = texts.select("content_hash", "at.*", "text")
-    chunks = chunk(texts.select("content_hash", "text"))
+    own = files.filter("text is not null").join(unknown, "hash")
+    size = own.agg(F.sum("byte_len")).first()[0] or 0
+
+    def texts(most: int) -> DataFrame:
+        """Each text once, at most so many bytes a task, but for a longer text."""
+        rows = own.repartition(max(1, -(-size // most)), "hash").groupBy(F.col("hash").alias("content_hash")).agg(F.min(F.struct("file_path", "language")).alias("at"), F.first("text").alias("text"))
+        return rows.select("content_hash", "at.*", "text")
+
+    chunks = chunk(texts(CHUNKED_A_TASK).select("content_hash", "text"))
     new = chunks.select("chunk_hash", "text_content")
-    lacking = new.dropDuplicates(["chunk_hash"]).join(stored(spark, f"{path}/chunks", new).select("chunk_hash"), "chunk_hash", "left_anti")
+    known = stored(spark, f"{path}/chunks", new).select("chunk_hash")
+    # texts with the same hash are the same: none is sorted by
+    lacking = new.repartition(max(1, -(-size // CHUNKED_A_TASK)), "chunk_hash").dropDuplicates(["chunk_hash"]).join(known, "chunk_hash", "left_anti")
     postings(lacking).write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")  # repetitions do no harm there
-    append_new(new, f"{path}/chunks", KEYS["chunks"])
+    lacking.write.mode("append").parquet(f"{path}/chunks")
     append_new(chunks.select("content_hash", "chunk_hash", "chunk_index", "chunk_line_count"), f"{path}/mapping", KEYS["mapping"])
-    for name, rows in zip(("symbols", "namespaces", "references"), extracted(texts), strict=True):
-        append_new(rows, f"{path}/{name}", KEYS[name])
+    for name, rows in zip(("symbols", "namespaces", "references"), extracted(texts(EXTRACTED_A_TASK)), strict=True):
+        append_new(rows, f"{path}/{name}", MORE_KEYS[name])
     append_new(blobs, f"{path}/blobs", KEYS["blobs"])
     key = F.concat_ws("\0", "repository", "commit_sha", "file_path")
     append_new(files.select(number(key).alias("file_id"), "repository", "commit_sha", "file_path", F.col("hash").alias("content_hash")), f"{path}/files", KEYS["files"])
@@ -98,12 +115,12 @@ def index_repository(spark: SparkSession, root: str, repository: str, branch: st
     own = [F.lit(repository).alias("repository"), F.lit(commit_sha).alias("commit_sha"), F.col("path").alias("file_path")]
     ingest_files(blobs_of(walk(spark, root, ignored)).select(*own, "hash", "language", "byte_len", "line_count", "text"), path)
     head = spark.createDataFrame([(repository, branch, commit_sha, indexed_at)], SCHEMAS["branches"])
-    append_new(head, f"{path}/snapshots", KEYS["snapshots"])
+    append_new(head, f"{path}/snapshots", MORE_KEYS["snapshots"])
     heads = stored(spark, f"{path}/branches", head)
-    renewed = upsert(heads, head, KEYS["branches"], F.desc("indexed_at")).collect()  # a row for each branch
+    renewed = upsert(heads, head, MORE_KEYS["branches"], F.desc("indexed_at")).collect()  # a row for each branch
     spark.createDataFrame(renewed, head.schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/branches")
     if live:
-        append_new(spark.createDataFrame([(repository, branch, indexed_at)], SCHEMAS["live"]), f"{path}/live", KEYS["live"])
+        append_new(spark.createDataFrame([(repository, branch, indexed_at)], SCHEMAS["live"]), f"{path}/live", MORE_KEYS["live"])
     for name, schema in SCHEMAS.items():  # tables that nothing went into
         like = spark.createDataFrame([], schema)
         if stored(spark, f"{path}/{name}", like).limit(1).count() == 0:

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenseek.catalog import ORACLES, QUERIES
+from lumenseek.functions.extractors import extract
 from lumenseek.sources import corpus
+from lumenseek.streaming import ingest
 
 from .test_catalog import norm
 
@@ -78,3 +80,15 @@ def test_sources_made_from_one_file_are_several_tasks(spark, tmp_path, name):
     df = QUERIES[name](spark, str(tmp_path))
     assert df.rdd.getNumPartitions() == 3
     assert df.select(df.columns[0]).distinct().count() == 25_001
+
+
+def test_names_are_extracted_once_and_apart(spark, tmp_path, monkeypatch):
+    """Texts come to extract() in parts bounded by bytes, a single time for three tables."""
+    seen = []
+    monkeypatch.setattr(ingest, "EXTRACTED_A_TASK", 1 << 10, raising=False)
+    monkeypatch.setattr(ingest, "extract", lambda blobs: seen.append(blobs.rdd.getNumPartitions()) or extract(blobs))
+    records = [("r", "c", f"{k}.py", f"def f{k}(x):\n    return x\n" * 20) for k in range(20)]
+    ingest.ingest_batch(spark.createDataFrame(records, ingest.RECORD), str(tmp_path))
+    assert len(seen) == 1 and seen[0] > 4
+    assert spark.read.parquet(f"{tmp_path}/symbols").filter("name_lc = 'f7'").count() == 1
+    assert spark.read.parquet(f"{tmp_path}/chunks").count() == 20

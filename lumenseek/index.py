@@ -28,6 +28,9 @@ class Index:
     postings: DataFrame | None = None
     #: symbols joined to references, where that comes without a join; whoever replaces one of them replaces this.
     joined: DataFrame | None = None
+    #: (content_hash, namespace, names, words) with all names and references of a content in one row, where they come so;
+    #: whoever replaces symbols or references replaces this.
+    contents: DataFrame | None = None
 
     def occurrences(self) -> DataFrame:
         """Every symbol with each of its references."""
@@ -37,7 +40,7 @@ class Index:
         """Parquet tables; files lie by repository so that repository filters prune partitions, symbols and references by
         a name's or a symbol's order so that row groups are skipped. The trigram index is made from the stored chunks."""
         for f in fields(self):
-            if f.name not in ("postings", "joined"):
+            if f.name not in ("postings", *DERIVED):
                 rows = getattr(self, f.name)
                 if f.name in ORDER:
                     rows = rows.repartitionByRange(*ORDER[f.name]).sortWithinPartitions(*ORDER[f.name])
@@ -47,9 +50,11 @@ class Index:
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Index:
-        return Index(**{f.name: spark.read.schema(SCHEMAS[f.name]).parquet(f"{path}/{f.name}") for f in fields(Index) if f.name != "joined"})
+        return Index(**{f.name: spark.read.schema(SCHEMAS[f.name]).parquet(f"{path}/{f.name}") for f in fields(Index) if f.name not in DERIVED})
 
 
+#: What a stored index doesn't have.
+DERIVED = ("joined", "contents")
 ORDER = {"symbols": ["name_lc", "content_hash"], "references": ["symbol_id"]}
 SCHEMAS = {
     "files": schema.FILES,

@@ -37,6 +37,22 @@ def attach_references(refs: DataFrame, symbols: DataFrame, namespaces: DataFrame
     return refs.join(symbols, ["content_hash", "name"]).join(namespaces, "namespace").select("symbol_id", "namespace_id", "kind", "line_number", "column_number").distinct()
 
 
+#: Up to so many namespaces are sent to every task.
+NAMESPACES_SENT = 10_000
+
+
+def attach_within(contents: DataFrame, namespaces: DataFrame) -> DataFrame:
+    """attach_references where all of a content lies in one row: contents(content_hash, namespace, names, words), each content
+    once, its words without repetitions. They meet their symbols inside the row, so that no reference is shuffled; as a
+    symbol's id is made of its content and name, these stand for it."""
+    few = namespaces.limit(NAMESPACES_SENT + 1).count() <= NAMESPACES_SENT
+    rows = contents.join(F.broadcast(namespaces) if few else namespaces, "namespace")
+    rows = rows.select("content_hash", "namespace", "namespace_id", "words", F.array_except("words.name", "names").alias("unknown"))
+    # used twice, unknown stays a column of its own: a lambda would compute it again for each word
+    own = F.when(F.size("unknown") == 0, F.col("words")).otherwise(F.filter("words", lambda w: ~F.array_contains("unknown", w["name"])))
+    return rows.select("content_hash", "namespace", "namespace_id", F.explode(own).alias("w")).select("content_hash", "w.name", "namespace", "namespace_id", "w.kind", "w.line_number", "w.column_number")
+
+
 def upsert_policy(policies: DataFrame, snapshot_policies: DataFrame, live: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Policies after requests(repository, branch, latest_keep_count?, specs array<struct<interval_seconds, keep_count>>?,
     live boolean?). No count: 1. Given specs replace all of the branch's; of an interval given twice the first counts. live

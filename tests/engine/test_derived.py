@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenseek.catalog import ORACLES, QUERIES
 from lumenseek.functions.extractors import extract
+from lumenseek.operators import upkeep
 from lumenseek.sources import corpus
 from lumenseek.streaming import ingest
 
@@ -60,6 +61,22 @@ def test_copies_of_a_text_count_once(spark, tables, name):
     compare(spark, tables, name)
 
 
+def test_references_are_attached_inside_their_texts(spark, tables):
+    """No word is shuffled, and references of unknown names and namespaces go as they do by joins."""
+    plan = QUERIES["attach_references"](spark, tables)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Window" not in plan and "Exchange hashpartitioning(content_hash" not in plan
+    words = [("a", 1, 1, "definition"), ("a", 1, 2, "reference"), ("b", 2, 1, "definition"), ("c", 2, 2, "definition")]
+    rows = [("h1", "n", ["a", "b"], words), ("h2", "n", ["c"], words), ("h3", "m", ["a", "c"], words), ("h4", "n", [], words), ("h5", "n", ["a"], [])]
+    contents = spark.createDataFrame(rows, "content_hash string, namespace string, names array<string>, words array<struct<name string, line_number int, column_number int, kind string>>")
+    namespaces = spark.createDataFrame([(1, "n"), (2, "k")], "namespace_id long, namespace string")
+    symbols = contents.select("content_hash", F.explode("names").alias("name")).withColumn("symbol_id", F.xxhash64("content_hash", "name"))
+    refs = contents.select("content_hash", "namespace", F.explode("words").alias("w")).select("content_hash", "namespace", "w.*")
+    columns = ["symbol_id", "namespace_id", "kind", "line_number", "column_number"]
+    found = upkeep.attach_within(contents, namespaces).withColumn("symbol_id", F.xxhash64("content_hash", "name")).select(columns).collect()
+    assert len(found) == 4
+    assert sorted(found) == sorted(upkeep.attach_references(refs, symbols, namespaces).select(columns).collect())
+
+
 def test_index_is_not_larger_than_its_texts(spark, tmp_path):
     """Only hashes of copied texts are stored."""
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.sha2((F.col("id") % 2900 * 7 + k).cast("string"), 256) for k in range(9))).alias("text"), F.lit("en").alias("lang"), F.lit("src1").alias("source"), F.lit(9).cast("long").alias("n_chars"))

@@ -47,8 +47,8 @@ ADD = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
 BAND_SEED = _rng.integers(0, 1 << 63, BANDS, np.uint64) | np.uint64(1)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, w: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of the w-character shingles of the rows in padded data, and the rows' offsets among them."""
+def mixed_characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the characters of the rows in padded data, and the rows' offsets among them."""
     n = int(offsets[-1])
     head = (data[:n] & 0xC0) != 0x80
     head[offsets[:-1][offsets[:-1] < n]] = True
@@ -59,7 +59,11 @@ def shingles(data: np.ndarray, offsets: np.ndarray, w: int = SHINGLE) -> tuple[n
     c *= np.uint32(0x9E3779B1)
     c ^= c >> np.uint32(15)
     c *= np.uint32(0x85EBCA77)
-    rows = np.searchsorted(at, offsets)
+    return c, np.searchsorted(at, offsets)
+
+
+def shingles_of(c: np.ndarray, rows: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the w-character shingles of rows of mixed characters, and the rows' offsets among them."""
     h, span = c, 1
     while 2 * span <= w:
         h = h[: len(h) - span] * np.uint32(0x27D4EB2F) + h[span:] if len(h) > span else h[:0]
@@ -78,6 +82,11 @@ def shingles(data: np.ndarray, offsets: np.ndarray, w: int = SHINGLE) -> tuple[n
     return h, np.concatenate([[0], np.cumsum(count)])
 
 
+def shingles(data: np.ndarray, offsets: np.ndarray, w: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """shingles_of the rows in padded data."""
+    return shingles_of(*mixed_characters(data, offsets), w)
+
+
 def of_rows(h: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the wanted rows only, and their offsets."""
     count = np.diff(rows)
@@ -93,24 +102,22 @@ def kinds_of(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """MinHash signatures of rows, each of one shingle at least."""
-    out = np.empty((len(rows) - 1, BANDS * ROWS), np.uint32)
+    """MinHash signatures of rows, each of one shingle at least. They lie hash by hash, as band_keys() reads them."""
+    out = np.empty((BANDS * ROWS, len(rows) - 1), np.uint32)
+    v = np.empty_like(h)
     for k in range(BANDS * ROWS):
-        v = h * MULTIPLY[k]
-        v += ADD[k]
-        out[:, k] = np.minimum.reduceat(v, rows[:-1])
-    return out
+        np.multiply(h, MULTIPLY[k], out=v)
+        np.add(v, ADD[k], out=v)
+        np.minimum.reduceat(v, rows[:-1], out=out[k])
+    return out.T
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    out = np.empty((len(sig), BANDS), np.uint64)
-    for b in range(BANDS):
-        s = sig[:, b * ROWS : (b + 1) * ROWS].astype(np.uint64)
-        k = np.full(len(sig), BAND_SEED[b])
-        for r in range(ROWS):
-            k = mix((k ^ s[:, r]) * C1)
-        out[:, b] = k
-    return out
+    s = sig.T.reshape(BANDS, ROWS, len(sig))
+    k = np.repeat(BAND_SEED[:, None], len(sig), axis=1)
+    for r in range(ROWS):
+        k = mix((k ^ s[:, r]) * C1)
+    return k.T
 
 
 def shards(keys: np.ndarray, columns: list[np.ndarray], n: int, salt: np.ndarray | None = None, ways: int = 1) -> Iterator[pa.RecordBatch]:
@@ -304,11 +311,13 @@ def similar_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
             keys, own = [], []
             for i, j in blocks(offsets, 1 << 17):
                 text, at = padded(data, int(offsets[i]), int(offsets[j])), offsets[i : j + 1] - offsets[i]
-                h, rows = shingles(text, at)
+                c, ends = mixed_characters(text, at)
+                h, rows = shingles_of(c, ends, SHINGLE)
                 short, long = kinds_of(h, rows)
                 for wanted, w in ((short, SHINGLE), (long, LONG_SHINGLE)):
                     if wanted.any():
-                        k = band_keys(signatures(*of_rows(*((h, rows) if w == SHINGLE else shingles(text, at, w)), wanted)))
+                        # shingles don't reach into the next row, so characters of other rows can go first
+                        k = band_keys(signatures(*(of_rows(h, rows, wanted) if w == SHINGLE else shingles_of(*of_rows(c, ends, wanted), w))))
                         keys.append(k.ravel())
                         own.append(np.repeat(ids[i:j][wanted], BANDS))
             if keys:

@@ -1,6 +1,10 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from lumenseek.llm import line_dedup as op
+from lumenseek.llm.common import padded, text_buffers
 
 from .fixtures import clash, doc, frame, odd_rows, words
 
@@ -206,3 +210,25 @@ def test_rows_that_differ_in_other_columns_only(spark):
 def test_string_ids(spark):
     df = spark.createDataFrame([("b", "the very same line of text"), ("a", "the very same line of text")], "doc_id string, text string")
     assert [(r.doc_id, r.kept_doc_id) for r in op.duplicate_lines(df).collect()] == [("b", "a")]
+
+
+def test_both_kinds_of_shingles_share_their_characters():
+    """Characters are read once; of one kind only the wanted lines, with the same shingles, signatures and bands."""
+    lines = ["x", "", "eine längere Zeile über 日本語", "aaaaaaa", "", "short", "the last one, long enough for seven"]
+    data, offsets = text_buffers(pa.array(lines))
+    text, wanted = padded(data, 0, int(offsets[-1])), np.array([len(x) >= 7 for x in lines])
+    c, ends = op.mixed_characters(text, offsets)
+    assert np.diff(ends).tolist() == [len(x) for x in lines]
+    h, rows = op.shingles_of(*op.of_rows(c, ends, wanted), 7)
+    every, all_rows = op.of_rows(*op.shingles(text, offsets, 7), wanted)
+    assert h.tolist() == every.tolist() and rows.tolist() == all_rows.tolist() and len(rows) == 4
+    sig = op.signatures(h, rows)
+    for i in range(3):
+        own = h[rows[i] : rows[i + 1]].astype(np.uint64)
+        assert sig[i].tolist() == [int(((own * m + a) & np.uint64(0xFFFFFFFF)).min()) for m, a in zip(op.MULTIPLY.astype(np.uint64), op.ADD.astype(np.uint64), strict=True)]
+    keys = op.band_keys(sig)
+    for b in range(op.BANDS):
+        k = np.full(3, op.BAND_SEED[b])
+        for r in range(op.ROWS):
+            k = op.mix((k ^ sig[:, b * op.ROWS + r].astype(np.uint64)) * op.C1)
+        assert keys[:, b].tolist() == k.tolist()

@@ -110,3 +110,19 @@ def test_columns_are_bytes_and_strings_and_comments_are_left_out():
 def test_any_text_is_read(language, text):
     for r in extractors.references(text, language):
         assert r.name and r.line >= 1 and r.column >= 1
+
+
+def test_names_and_brackets_are_read_without_trying_every_sign():
+    class Counted(str):
+        tried = 0
+
+        def startswith(self, *args):
+            Counted.tried += 1
+            return super().startswith(*args)
+
+    tokens = extractors.lex(Counted("foo(bar, [baz]);\n\tü²x == 'a' // b\n"), "ts")
+    assert [(t.text, t.line, t.column) for t in tokens] == [
+        ("foo", 1, 1), ("(", 1, 4), ("bar", 1, 5), (",", 1, 8), ("[", 1, 10), ("baz", 1, 11), ("]", 1, 14), (")", 1, 15), (";", 1, 16), ("\n", 1, 17),
+        ("ü²x", 2, 2), ("==", 2, 8), ("\n", 2, 19),
+    ]
+    assert 0 < Counted.tried < 25

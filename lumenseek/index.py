@@ -31,11 +31,19 @@ class Index:
     #: (content_hash, namespace, names, words) with all names and references of a content in one row, where they come so;
     #: whoever replaces symbols or references replaces this.
     contents: DataFrame | None = None
+    #: mapping with the texts of its chunks, where that comes without a join; whoever replaces one of them replaces this.
+    places: DataFrame | None = None
 
     def occurrences(self) -> DataFrame:
         """Every symbol with each of its references."""
         return self.symbols.join(self.references, "symbol_id") if self.joined is None else self.joined
 
+    def placed(self) -> DataFrame:
+        """(content_hash, chunk_hash, chunk_index, text_content): every chunk at each of its places."""
+        if self.places is not None:
+            return self.places
+        return self.mapping.select("content_hash", "chunk_hash", "chunk_index").join(self.chunks.select("chunk_hash", "text_content"), "chunk_hash")
+
     def write(self, path: str) -> None:
         """Parquet tables; files lie by repository so that repository filters prune partitions, symbols and references by
         a name's or a symbol's order so that row groups are skipped. The trigram index is made from the stored chunks."""
@@ -54,7 +62,7 @@ class Index:
 
 
 #: What a stored index doesn't have.
-DERIVED = ("joined", "contents")
+DERIVED = ("joined", "contents", "places")
 ORDER = {"symbols": ["name_lc", "content_hash"], "references": ["symbol_id"]}
 SCHEMAS = {
     "files": schema.FILES,

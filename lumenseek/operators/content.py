@@ -26,8 +26,8 @@ def chunk_start_lines(ix: Index) -> DataFrame:
 
 def reassembled(ix: Index, hashes: DataFrame | None = None) -> DataFrame:
     """(content_hash, text): chunks joined in their order. hashes: only these blobs, filtered before the texts move."""
-    places = ix.mapping if hashes is None else ix.mapping.join(hashes.select("content_hash").distinct(), "content_hash", "left_semi")
-    parts = places.join(ix.chunks, "chunk_hash").groupBy("content_hash").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text_content"))).alias("parts"))
+    places = ix.placed() if hashes is None else ix.placed().join(hashes.select("content_hash").distinct(), "content_hash", "left_semi")
+    parts = places.groupBy("content_hash").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text_content"))).alias("parts"))
     return parts.select("content_hash", F.array_join(F.col("parts.text_content"), "").alias("text"))
 
 

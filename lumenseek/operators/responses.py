@@ -27,7 +27,10 @@ def definition_lines(ix: Index, terms: list[str], contents: DataFrame) -> DataFr
 def with_snippets(ix: Index, results: DataFrame, r: Request, context: int = 3) -> DataFrame:
     """results with match_line and snippets, the best first; only the results' own chunks are read."""
     own = Index(**{**ix.__dict__, "mapping": search.among(ix.mapping, results)})
-    texts = ix.chunks.join(results.select("chunk_hash").distinct(), "chunk_hash", "left_semi")
+    if ix.places is None:
+        texts = ix.chunks.join(results.select("chunk_hash").distinct(), "chunk_hash", "left_semi")
+    else:
+        texts = ix.places.join(results.select("content_hash", "chunk_index").distinct(), ["content_hash", "chunk_index"], "left_semi").select("chunk_hash", "text_content").distinct()
     defined = definition_lines(ix, r.definition_terms, results) if r.definition_terms else None
     found = snippets.page_snippets(results, texts, content.chunk_start_lines(own), defined, context)
     each = F.struct("nth", "start_line", "end_line", "match_line", "content_text", "match_spans")

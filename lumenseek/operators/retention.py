@@ -70,6 +70,7 @@ def collect_orphans(ix: Index) -> Index:
         references=ix.references.join(symbols.select("symbol_id"), "symbol_id", "left_semi") if joined is None else joined.select(ix.references.columns),
         joined=joined,
         contents=None if ix.contents is None else ix.contents.join(used, "content_hash", "left_semi"),
+        places=None if ix.places is None else ix.places.join(used, "content_hash", "left_semi"),
     )
 
 

@@ -6,6 +6,7 @@ only keys are shuffled. Branch tables are small next to files; Spark broadcasts
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
@@ -92,15 +93,23 @@ def candidate_chunks(ix: Index, plans: list[Plan]) -> DataFrame:
     return ix.chunks.withColumn("chunk_id", chunk_id()).join(found, "chunk_id", "left_semi").drop("chunk_id")
 
 
+def tested_places(ix: Index, plans: list[Plan], test: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Places of the chunks that test keeps, with what it adds to them. Where places come with their texts, they are tested
+    there, and no text is shuffled."""
+    if ix.places is not None:
+        return test(ix.places).drop("text_content")
+    chunks = test(candidate_chunks(ix, plans)).drop("text_content")
+    return ix.mapping.select("content_hash", "chunk_hash", "chunk_index").join(chunks, "chunk_hash")
+
+
 def plan_matches(ix: Index, plan: Plan) -> DataFrame:
     """One row for each matching chunk of each file of the plan."""
-    if plan.repos and not any(t.regex for t in plan.required):
+    if ix.places is None and plan.repos and not any(t.regex for t in plan.required):
         # few files are known beforehand: their chunks alone are read
         files = plan_files(ix, plan)
         places = ix.mapping.join(files.select("content_hash").distinct(), "content_hash", "left_semi")
         ix = replace(ix, mapping=places, chunks=ix.chunks.join(places.select("chunk_hash").distinct(), "chunk_hash", "left_semi"))
-    chunks = candidate_chunks(ix, [plan]).filter(chunk_filter(plan, F.col("text_content"))).select("chunk_hash")
-    places = ix.mapping.select("content_hash", "chunk_hash", "chunk_index").join(chunks, "chunk_hash")
+    places = tested_places(ix, [plan], lambda rows: rows.filter(chunk_filter(plan, F.col("text_content"))))
     out = places.join(plan_files(ix, plan), "content_hash")
     return out.select(
         "file_id", "repository", "commit_sha", "file_path", "content_hash", "chunk_hash", "chunk_index",
@@ -128,8 +137,8 @@ def plans_matches(ix: Index, plans: list[Plan]) -> DataFrame:
     texts = list(dict.fromkeys((p.required, p.excluded, p.case_sensitive) for p in plans))
     first = [next(p for p in plans if (p.required, p.excluded, p.case_sensitive) == t) for t in texts]
     of_text = [texts.index((p.required, p.excluded, p.case_sensitive)) for p in plans]
-    chunks = candidate_chunks(ix, first).select("chunk_hash", _numbers([chunk_filter(p, F.col("text_content")) for p in first]).alias("held")).filter(F.size("held") > 0)
-    places = ix.mapping.select("content_hash", "chunk_hash", "chunk_index").join(chunks, "chunk_hash")
+    held = _numbers([chunk_filter(p, F.col("text_content")) for p in first])
+    places = tested_places(ix, first, lambda rows: rows.withColumn("held", held).filter(F.size("held") > 0))
     files = ix.files
     if any(p.langs or p.no_langs for p in plans):
         files = files.join(ix.blobs.select(F.col("hash").alias("content_hash"), "language"), "content_hash", "left")

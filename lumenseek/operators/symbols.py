@@ -70,7 +70,7 @@ def filtered(ix: Index, r: SymbolRequest) -> DataFrame:
         if isinstance(test, Column):  # else that part of the request is empty
             rows = rows.filter(test)
     if r.q:
-        hashes = ix.chunks.filter(F.col("text_content").like(f"%{r.q}%")).join(ix.mapping, "chunk_hash").select("content_hash").distinct()
+        hashes = ix.placed().filter(F.col("text_content").like(f"%{r.q}%")).select("content_hash").distinct()
         rows = rows.join(hashes, "content_hash", "left_semi")
     return rows
 

@@ -1,5 +1,6 @@
 """Queries over small tables of odd documents against their SQL."""
 
+from dataclasses import replace
 from datetime import datetime
 from pathlib import Path
 
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from lumenseek.catalog import ORACLES, QUERIES
 from lumenseek.functions.extractors import extract
-from lumenseek.operators import upkeep
+from lumenseek.operators import search, upkeep
+from lumenseek.plans.language import request
 from lumenseek.sources import corpus
 from lumenseek.streaming import ingest
 
@@ -77,6 +79,30 @@ def test_references_are_attached_inside_their_texts(spark, tables):
     assert sorted(found) == sorted(upkeep.attach_references(refs, symbols, namespaces).select(columns).collect())
 
 
+SEARCHES = ["search_or_counts_twice", "filter_historical", "filter_branch_excluded", "filter_lang", "facet_branches", "batch_dedup_none"]
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_searches_shuffle_no_text(spark, tables, name):
+    """Chunks are tested at their places: neither they nor the list of places meet by a shuffle."""
+    plan = QUERIES[name](spark, tables)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(chunk_hash" not in plan
+    compare(spark, tables, name)
+
+
+def test_contents_are_shuffled_once(spark, tables):
+    plan = QUERIES["file_views"](spark, tables)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(chunk_hash" not in plan
+    compare(spark, tables, "snippet_needle")
+
+
+@pytest.mark.parametrize("text", ["thonin", "thonin repo:src0", "(thonin or ontion) historical:yes", "ontion (lang:en or repo:src0)", '"the and" -branch:dev', "regex:th.nin -other"])
+def test_places_give_what_their_join_gives(spark, tables, text):
+    ix, r = corpus.stored(spark, tables), request(text)
+    rows = lambda ix: sorted(search.matches(ix, r).collect())
+    assert rows(ix) == rows(replace(ix, places=None)) != []
+
+
 def test_index_is_not_larger_than_its_texts(spark, tmp_path):
     """Only hashes of copied texts are stored."""
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.sha2((F.col("id") % 2900 * 7 + k).cast("string"), 256) for k in range(9))).alias("text"), F.lit("en").alias("lang"), F.lit("src1").alias("source"), F.lit(9).cast("long").alias("n_chars"))
